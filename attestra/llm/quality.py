@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from .common import ASCII_SPACE, str_texts
 
 SYMBOLS = "#*$%&|<>"
-#: Bytes that end a sentence or shout.
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -83,7 +82,7 @@ class Measured:
 
     @cached_property
     def n_upper(self) -> int:
-        return sum(map(str.isupper, self.text))
+        return sum(map(str.isupper, filter(str.isalpha, self.text)))
 
     @cached_property
     def n_letters(self) -> int:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, pii, quality, simhash
+from . import exact_dedup, licenses, ngram_lm, packing, pii, quality, secrets, simhash, unigram
 from .common import documents, staged
 
 
@@ -23,6 +23,20 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = licenses.documents_as_files(documents(spark, sf_dir))
+    return licenses.scan(files, "doc_id").select(F.col("id").alias("doc_id"), "license", "score", "origin", "of")
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return unigram.digested(unigram.decode(unigram.encode(documents(spark, sf_dir), path), path))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact_dedup.DigestIndex(spark, exact_dedup.new_table_name())
     rows = staged(exact_dedup.digests(documents(spark, sf_dir)), "digests")
@@ -38,21 +52,72 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality.MEASURES, failed.alias("base_failed"), "kept")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(documents(spark, sf_dir))
+    base = F.filter("spans", lambda x: x["kind"] < 3)
+    count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{secrets.KINDS[k]}")
+    return found.select("doc_id", *map(count, range(3)), F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.scores(documents(spark, sf_dir)).select("doc_id", "n_pairs", F.round("score", 6).alias("score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_license_scan": op3_license_scan,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op5_token_counts": op5_token_counts,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "op8_secrets": op8_secrets,
     "op9_simhash": op9_simhash,
+    "op10_lm_scores": op10_lm_scores,
 }
 
-SPACE = "chr(9), chr(10), chr(11), chr(12), chr(13)"
+QUALITY_SQL = r"""
+    WITH d AS (
+        SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    l AS (
+        SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
+        WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+    g AS (
+        SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n
+        FROM (SELECT doc_id, unnest(generate_series(1, len(w) - 2)) AS i, unnest(w[:-3]) AS a, unnest(w[2:-2]) AS b, unnest(w[3:]) AS c FROM d WHERE len(w) > 2)),
+    r AS (
+        SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words
+        FROM g, (VALUES (0), (1), (2)) AS x(k) WHERE n > 1 GROUP BY doc_id),
+    m AS (
+        SELECT doc_id, len(w) AS n_words, length(text) - length(regexp_replace(text, '[^\x20\x09-\x0D]', '', 'g')) AS word_chars,
+               length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines,
+               coalesce(n_repeat_words, 0) AS n_repeat_words, length(regexp_replace(text, '[^!]', '', 'g')) AS n_exclamations,
+               length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS n_letters
+        FROM d LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
+    b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_exclamations > n_words OR 2 * n_upper > n_letters
+                OR (10 * n_dup_lines > 3 * n_lines AND n_dup_lines >= 3)
+                OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
+    FROM b"""
 SQL: dict[str, str] = {
+    "op3_license_scan": licenses.oracle(),
+    "op7_quality_rules": QUALITY_SQL,
+    "op10_lm_scores": r"""
+        WITH t AS (
+            SELECT doc_id, list_concat(['<s>'], list_transform(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda x: 'w' || x), ['</s>']) AS w
+            FROM documents),
+        p AS (SELECT doc_id, unnest(w[:-2]) AS v, unnest(w[2:]) AS w FROM t),
+        c AS (SELECT v, w, count(*) AS n FROM p GROUP BY v, w),
+        s AS (SELECT v, w, ln(n) - ln(sum(n) OVER (PARTITION BY v)) AS s FROM c)
+        SELECT doc_id, count(*) AS n_pairs, round(sum(s), 6) AS score
+        FROM p JOIN s USING (v, w) GROUP BY doc_id""",
     "op6_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS chars,
