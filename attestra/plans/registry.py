@@ -1,10 +1,542 @@
-"""Registered queries of the readiness engine and their DuckDB SQL."""
+"""Registered queries of the readiness engine and their DuckDB SQL.
+
+The rules run over the benchmark tables seen as inspection records
+(``sources.shapes``): once with every kind of defect, once with all references in
+place, so that the whole chain is reached. An assessment is evaluated once for a
+session and folder; queries that read the same one share it.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import grammar
+from ..functions.schema import DATASETS
+from ..operators import adapter, chain, coverage, findings, integrity, rules
+from ..operators.case import Case, Pack
+from ..sources import shapes
+from ..sources.staging import staged
+from . import oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+_DONE: dict[tuple, tuple[Case, chain.Evaluated, DataFrame]] = {}
+
+
+def register(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def keep(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def assessed(spark: SparkSession, sf_dir: str, binding: str = "digest", dangling: bool = False) -> tuple[Case, chain.Evaluated, DataFrame]:
+    """The case, its evaluation and all findings, made once for a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, binding, dangling)
+    if key not in _DONE:
+        case = shapes.case_of(spark, sf_dir, binding, dangling)
+        case.raw.update({n: staged(df, f"raw-{n}") for n, df in case.raw.items()})
+        case = Case(**(case.__dict__ | {"files": staged(case.files, "files")}))
+        done = chain.evaluate(case)
+        done = chain.Evaluated(done.records, done.defects, done.coverage, done.project, staged(done.chain, "chain"))
+        _DONE[key] = case, done, staged(chain.all_findings(case, done), "findings")
+    return _DONE[key]
+
+
+def joined(c: str | Column) -> Column:
+    return F.array_join(c, ",")
+
+
+def step1(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Rows that pass the grammars; duplicates stay."""
+    _, done, _ = assessed(spark, sf_dir, dangling=True)
+    return done.records.rows[name].where("size(violations) = 0 AND NOT malformed")
+
+
+VALID = ", ".join(f"{a} AS (SELECT * FROM v_{n} WHERE n_bad = 0)" for a, n in (("si", "inspections"), ("sa", "artifacts"), ("ss", "scope")))
+
+
+# --- grammars -------------------------------------------------------------------
+
+WORD = "CASE {d} % 12 WHEN 0 THEN 'ID-' || {w} WHEN 1 THEN {w} WHEN 2 THEN ' ' || {w} WHEN 3 THEN lower({w}) || '_x' WHEN 4 THEN {w} || '.' WHEN 5 THEN {w} || chr(10) WHEN 6 THEN 'sha256:' || {sha} WHEN 7 THEN 'SHA256:' || {sha} WHEN 8 THEN repeat({w}, 20) WHEN 9 THEN '' WHEN 10 THEN {w} || chr(9) || 'x' ELSE {w} || ':v1-2' END"
+WORDS_SPARK = "SELECT doc_id, " + WORD.format(d="doc_id", w="regexp_extract(text, '[A-Za-z]+', 0)", sha="sha2(text, 256)") + " AS s FROM {documents}"
+WORDS_DUCK = "SELECT doc_id, " + WORD.format(d="doc_id", w="regexp_extract(text, '[A-Za-z]+')", sha="sha256(text)") + " AS s FROM documents"
+
+
+@register(f"SELECT doc_id, {', '.join(f'regexp_full_match(s, $${p}$$) AS is_{k}' for k, p in oracle.GRAMMAR.items())}, length(s) BETWEEN 1 AND 200 AND NOT regexp_matches(s, '\\p{{Cc}}') AS is_text FROM ({WORDS_DUCK})")
+def q_grammar_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spark.sql(WORDS_SPARK, documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return words.select("doc_id", *[F.col("s").rlike(p).alias(f"is_{k}") for k, p in grammar.PATTERNS.items()], grammar.is_text(F.col("s")).alias("is_text"))
+
+
+TIMES = """CASE event_id % 14 WHEN 0 THEN {t} || 'Z' WHEN 1 THEN {t} || '+02:30' WHEN 2 THEN {t} || '-23:59' WHEN 3 THEN {t} || '+24:00' WHEN 4 THEN {t} || '.5Z' WHEN 5 THEN {t} || '.1234567Z'
+    WHEN 6 THEN {t} WHEN 7 THEN lower({t}) || 'Z' WHEN 8 THEN '0001-01-01T00:30:00+01:00' WHEN 9 THEN '2023-02-29T00:00:00Z' WHEN 10 THEN substr({t}, 1, 17) || '60Z' WHEN 11 THEN '0000-01-01T00:00:00Z'
+    WHEN 12 THEN {t} || '.000001+23:59' ELSE {t} || 'Z' || chr(10) END"""
+
+
+@register(f"SELECT event_id, {oracle.time('s')} AS utc FROM (SELECT event_id, {TIMES.format(t="strftime(ts, '%Y-%m-%dT%H:%M:%S')")} AS s FROM events)")
+def q_parse_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = TIMES.format(t="date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\")")
+    made = spark.sql(f"SELECT event_id, {text} AS s FROM {{events}}", events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return made.select("event_id", grammar.parse_ts(F.col("s")).alias("utc"))
+
+
+PATHS = """CASE page_id % 14 WHEN 0 THEN '/' || u WHEN 1 THEN u WHEN 2 THEN replace(u, ':', '') WHEN 3 THEN 'a/' || split_part(u, '/', 3) || '.txt' WHEN 4 THEN 'a/../' || page_id WHEN 5 THEN 'docs/' || page_id || '.'
+    WHEN 6 THEN 'docs/nul.txt' WHEN 7 THEN 'docs/com1 .x' WHEN 8 THEN repeat('a/', 130) || 'b' WHEN 9 THEN 'x/' || repeat('b', 101) WHEN 10 THEN 'a' || chr(9) || '?b' WHEN 11 THEN 'a?' || chr(9) WHEN 12 THEN 'docs//' || page_id ELSE 'docs/' || page_id || '/x.pdf' END"""
+
+
+@register(f"SELECT page_id, {oracle.path('s')} AS rule FROM (SELECT page_id, {PATHS} AS s FROM (SELECT page_id, url AS u FROM pages))")
+def q_path_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = spark.sql(f"SELECT page_id, {PATHS} AS s FROM (SELECT page_id, url AS u FROM {{pages}})", pages=spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return made.select("page_id", grammar.path_rule(F.col("s")).alias("rule"))
+
+
+@register("SELECT doc_id, 'sha256:' || sha256(coalesce(text, '')) AS digest, substr('sha256:' || sha256(coalesce(text, '')), 1, 19) AS short FROM documents")
+def q_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = F.concat(F.lit("sha256:"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", digest.alias("digest"), F.substring(digest, 1, 19).alias("short"))
+
+
+NAMES = "CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN split_part(url, '/', 3) || '...' WHEN 2 THEN '...' WHEN 3 THEN 'con.txt' WHEN 4 THEN repeat(url, 4) || '.pdf' ELSE 'été ' || page_id || '.jpg' END"
+
+
+@register(f"""
+    WITH a AS (SELECT page_id, {NAMES} AS raw FROM pages),
+    b AS (SELECT *, regexp_replace(regexp_replace(raw, '[^A-Za-z0-9._-]', '_', 'g'), '\\.+$', '') AS t FROM a),
+    c AS (SELECT *, CASE WHEN t = '' THEN 'file' ELSE t END AS u FROM b),
+    d AS (SELECT *, CASE WHEN upper(string_split(u, '.')[1]) IN {oracle.RESERVED} THEN '_' || u ELSE u END AS v FROM c)
+    SELECT page_id, CASE WHEN length(v) > 100 THEN substr(substr(v, 1, 83) || '~' || substr(sha256(raw), 1, 8) || regexp_extract(v, '.(\\.[^.]*)$', 1), 1, 100) ELSE v END AS name FROM d""")
+def q_sanitize_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = spark.sql(f"SELECT page_id, {NAMES} AS raw FROM {{pages}}", pages=spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return made.select("page_id", grammar.sanitized_file_name(F.col("raw")).alias("name"))
+
+
+# --- R0 -------------------------------------------------------------------------
+
+
+@register(oracle.over_shapes(" UNION ALL ".join(f"SELECT '{n}' AS dataset, locator, '{f.name}' AS field, r_{f.name} AS rule, raw_{f.name} AS value FROM v_{n} WHERE r_{f.name} IS NOT NULL" for n, s in DATASETS.items() for f in s.fields)))
+def q_validate_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, done, _ = assessed(spark, sf_dir, dangling=True)
+    parts = [rows.select("dataset", "locator", F.explode("violations").alias("v")).select("dataset", "locator", "v.field", "v.rule", "v.value") for rows in done.records.rows.values()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register(oracle.over_shapes(" UNION ALL ".join(f"SELECT '{n}' AS dataset, subject, copies, identical FROM g_{n}" for n in DATASETS)))
+def q_r0_duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, done, _ = assessed(spark, sf_dir, dangling=True)
+    parts = [integrity.duplicate_keys(rows.drop("copies", "identical")).select(F.lit(n).alias("dataset"), "subject", "copies", "identical") for n, rows in done.records.rows.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+R0_COLUMNS = "kind, subject, code, outcome, required, CAST(n_rows AS BIGINT) AS n_rows"
+
+
+def r0(spark: SparkSession, sf_dir: str, *codes: str) -> DataFrame:
+    _, _, found = assessed(spark, sf_dir, dangling=True)
+    rows = found.where("check_id = 'R0'").select(F.col("subject_kind").alias("kind"), F.col("subject_id").alias("subject"), F.col("reason").alias("code"), "outcome", "required", "observed")
+    return rows.where(F.col("code").isin(*codes)) if codes else rows
+
+
+def _r0_sql(where: str, observed: str) -> str:
+    return oracle.over_integrity(f"SELECT kind, subject, code, outcome, required, {observed} AS observed FROM r0 WHERE {where}")
+
+
+LISTED = "'{\"count\":' || n_rows || ',\"%s\":[' || array_to_string(details, ',') || ']}'"
+
+
+@register(_r0_sql("code IN ('INVALID_VALUE', 'INVALID_PATH', 'UNMAPPED_VALUE')", LISTED % "violations"))
+def q_r0_invalid_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r0(spark, sf_dir, *integrity.CELL_CODES)
+
+
+@register(_r0_sql("code = 'MULTIPLE_CURRENT_REVISIONS'", "'{\"current_revisions\":[\"' || array_to_string(details, '\",\"') || '\"]}'"))
+def q_r0_multiple_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r0(spark, sf_dir, "MULTIPLE_CURRENT_REVISIONS")
+
+
+@register(_r0_sql("code = 'COMPLETED_WITHOUT_TIMESTAMP'", "'{\"count\":' || n_rows || '}'"))
+def q_completed_without_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r0(spark, sf_dir, "COMPLETED_WITHOUT_TIMESTAMP")
+
+
+@register(_r0_sql("code = 'TIMESTAMP_AFTER_AS_OF'", "'{\"count\":' || n_rows || ',' || substr(details[1], 2)"))
+def q_ts_after_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r0(spark, sf_dir, "TIMESTAMP_AFTER_AS_OF")
+
+
+@register(_r0_sql("code = 'DANGLING_REFERENCE' AND kind IN ('artifact', 'approval')", LISTED % "missing"))
+def q_r0_dangling_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r0(spark, sf_dir, "DANGLING_REFERENCE").where("kind IN ('artifact', 'approval')")
+
+
+@register(_r0_sql("code = 'DANGLING_REFERENCE' AND kind = 'approval_item'", LISTED % "missing"))
+def q_r0_dangling_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r0(spark, sf_dir, "DANGLING_REFERENCE").where("kind = 'approval_item'")
+
+
+@register(oracle.over_integrity(f"SELECT {R0_COLUMNS} FROM r0"))
+def q_r0_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, done, _ = assessed(spark, sf_dir, dangling=True)
+    n = done.defects.groupBy("kind", "subject", "code").agg(F.countDistinct("dataset", "locator").alias("n_rows"))
+    return r0(spark, sf_dir).drop("observed").join(n, ["kind", "subject", "code"])
+
+
+@register(oracle.over_integrity("SELECT code, required, count(*) AS n FROM r0 GROUP BY ALL"))
+def q_r0_requiredness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r0(spark, sf_dir).groupBy("code", "required").agg(F.count("*").alias("n"))
+
+
+@register(oracle.over_integrity(" UNION ALL ".join(f"SELECT '{n}' AS dataset, locator, array_to_string(obligations, ',') AS obligations, lost AS unattributable FROM a_{n}" for n in DATASETS)))
+def q_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, done, _ = assessed(spark, sf_dir, dangling=True)
+    out = None
+    for n in DATASETS:
+        part = integrity.attributed(done.records, n).select(F.lit(n).alias("dataset"), "locator", joined("obligations").alias("obligations"), "unattributable")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register(oracle.over_integrity("SELECT obligation_id, array_to_string(keys, ',') AS keys FROM blocking"))
+def q_r0_blocking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, done, _ = assessed(spark, sf_dir, dangling=True)
+    return integrity.blocking(done.defects, done.records).select("obligation_id", joined("keys").alias("keys"))
+
+
+@register(oracle.over_integrity("SELECT obligation_id FROM obligations"))
+def q_scope_obligations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assessed(spark, sf_dir, dangling=True)[1].records.obligations
+
+
+@register(oracle.over_integrity("SELECT dataset, count(*) AS n FROM lost_rows GROUP BY dataset"))
+def q_unattributable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integrity.unattributable(assessed(spark, sf_dir, dangling=True)[1].records)
+
+
+@register(oracle.over_integrity("SELECT dataset, count(*) AS n FROM wrong GROUP BY dataset"))
+def q_contradicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    case, done, _ = assessed(spark, sf_dir, dangling=True)
+    return integrity.contradicted(case, done.records)
+
+
+# --- R1 -------------------------------------------------------------------------
+
+EFFECT = "CASE WHEN len(reasons) = 0 THEN 'complete_for_declared_scope' ELSE 'partial' END"
+
+
+@register(oracle.over_integrity(f"SELECT dataset, array_to_string(reasons, ',') AS reasons, {EFFECT} AS effective FROM coverage"))
+def q_effective_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assessed(spark, sf_dir, dangling=True)[1].coverage.select("dataset", joined("reasons").alias("reasons"), "effective")
+
+
+@register(oracle.over_integrity("SELECT dataset AS subject_id, CASE WHEN len(reasons) = 0 THEN 'PASS' ELSE 'UNKNOWN' END AS outcome, coalesce(reasons[1], 'COVERAGE_COMPLETE') AS reason FROM coverage"))
+def q_r1_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.dataset_findings(assessed(spark, sf_dir, dangling=True)[1].coverage).select("subject_id", "outcome", "reason")
+
+
+@register(oracle.over_integrity(f"""
+    SELECT '{shapes.PROJECT}' AS subject_id, CASE WHEN reason = 'SCOPE_ESTABLISHED' THEN 'PASS' ELSE 'UNKNOWN' END AS outcome, reason, n AS obligations FROM (
+        SELECT count(DISTINCT obligation_id) AS n, CASE WHEN bool_or(NOT keyed) THEN 'SCOPE_INVALID' WHEN count(DISTINCT obligation_id) = 0 THEN 'SCOPE_EMPTY'
+               WHEN bool_or(NOT quarantined AND scope_revision <> '{shapes.REVISION}') THEN 'SCOPE_REVISION_MISMATCH' WHEN bool_or(NOT quarantined AND project_id <> '{shapes.PROJECT}') THEN 'SCOPE_PROJECT_MISMATCH'
+               ELSE 'SCOPE_ESTABLISHED' END AS reason FROM v_scope)"""))
+def q_r1_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    case, done, _ = assessed(spark, sf_dir, dangling=True)
+    found = coverage.project_finding(case, done.records)
+    return found.select("subject_id", "outcome", "reason", F.get_json_object("observed", "$.obligation_count").cast("long").alias("obligations"))
+
+
+BASIS_ROWS = "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'attested_export' WHEN 1 THEN 'query_total_matched,two_pass_stable' WHEN 2 THEN 'query_total_matched,two_pass_stable,operator_attestation' WHEN 3 THEN 'other,attested_export' ELSE '' END AS s FROM "
+
+
+@register(f"SELECT event_id, list_has_all(string_split(s, ','), ['attested_export']) OR list_has_all(string_split(s, ','), ['query_total_matched', 'two_pass_stable', 'operator_attestation']) AS accepted FROM ({BASIS_ROWS} events)")
+def q_basis_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(BASIS_ROWS + "{events}", events=spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn("basis", F.split("s", ","))
+    return rows.select("event_id", coverage.accepted_basis(Pack("", "", {}, shapes.BASES)).alias("accepted"))
+
+
+# --- R2 to R4, R7 over rows that pass the grammars -----------------------------------
+
+
+@register(oracle.over_shapes("""
+    SELECT s.obligation_id, count(i.inspection_id) AS current_count, CASE WHEN count(i.inspection_id) = 0 THEN 'NO_CURRENT_INSPECTION' WHEN count(i.inspection_id) > 1 THEN 'MULTIPLE_CURRENT'
+           WHEN count(*) FILTER (WHERE i.completion_status = 'completed') = 1 THEN 'SINGLE_CURRENT_COMPLETED' ELSE 'NOT_COMPLETED' END AS r2_reason
+    FROM (SELECT DISTINCT obligation_id FROM ss) s LEFT JOIN si i ON i.obligation_id = s.obligation_id AND i.is_current GROUP BY s.obligation_id""", VALID))
+def q_r2_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scope = step1(spark, sf_dir, "scope").dropDuplicates(["obligation_id"])
+    found = rules.cardinality(scope, step1(spark, sf_dir, "inspections"))
+    return found.select("obligation_id", F.col("n_current").alias("current_count"), rules.r2_verdict(True)[1].alias("r2_reason"))
+
+
+@register(oracle.over_shapes("SELECT s.obligation_id, count(i.inspection_id) AS superseded FROM (SELECT DISTINCT obligation_id FROM ss) s LEFT JOIN si i ON i.obligation_id = s.obligation_id AND NOT i.is_current GROUP BY s.obligation_id", VALID))
+def q_r2_superseded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scope = step1(spark, sf_dir, "scope").dropDuplicates(["obligation_id"])
+    return rules.cardinality(scope, step1(spark, sf_dir, "inspections")).select("obligation_id", F.col("n_superseded").alias("superseded"))
+
+
+SINGLE = """cand AS (SELECT s.*, i.inspection_id, i.revision AS i_revision, i.project_id AS i_project, i.asset_id AS i_asset, i.activity_kind AS i_activity, i.completion_status
+    FROM (SELECT DISTINCT obligation_id, project_id, asset_id, activity_kind FROM ss) s JOIN si i ON i.obligation_id = s.obligation_id AND i.is_current
+    WHERE (SELECT count(*) FROM si x WHERE x.obligation_id = s.obligation_id AND x.is_current) = 1)"""
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.single_candidates(step1(spark, sf_dir, "scope").dropDuplicates(["obligation_id"]), step1(spark, sf_dir, "inspections"))
+
+
+@register(oracle.over_shapes("SELECT obligation_id, inspection_id, i_revision AS revision FROM cand", VALID, SINGLE))
+def q_single_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates(spark, sf_dir).select("obligation_id", "inspection_id", "revision")
+
+
+@register(oracle.over_shapes("""
+    SELECT obligation_id, 'inspection' AS subject, inspection_id AS subject_id, 'project_id' AS field FROM cand WHERE i_project <> project_id
+    UNION ALL SELECT obligation_id, 'inspection', inspection_id, 'asset_id' FROM cand WHERE i_asset <> asset_id
+    UNION ALL SELECT obligation_id, 'inspection', inspection_id, 'activity_kind' FROM cand WHERE i_activity <> activity_kind
+    UNION ALL SELECT obligation_id, 'artifact', a.artifact_id, 'project_id' FROM cand c JOIN sa a ON a.inspection_id = c.inspection_id AND a.is_current WHERE a.project_id <> c.project_id
+    UNION ALL SELECT obligation_id, 'artifact', a.artifact_id, 'asset_id' FROM cand c JOIN sa a ON a.inspection_id = c.inspection_id AND a.is_current WHERE a.asset_id <> c.asset_id""", VALID, SINGLE))
+def q_r3_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.mismatches(candidates(spark, sf_dir), step1(spark, sf_dir, "artifacts")).select("obligation_id", "subject", "subject_id", "field")
+
+
+@register(oracle.over_shapes(f"""
+    SELECT obligation_id, document_kind AS missing_kind FROM cand c JOIN (VALUES {oracle.KINDS}) AS k(activity_kind, document_kind) ON k.activity_kind = c.i_activity
+    WHERE completion_status = 'completed' AND NOT EXISTS (SELECT 1 FROM sa a WHERE a.inspection_id = c.inspection_id AND a.is_current AND a.document_kind = k.document_kind)""", VALID, SINGLE))
+def q_r4_missing_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = rules.required_kinds(shapes.case_of(spark, sf_dir).pack, spark)
+    return rules.missing_kinds(candidates(spark, sf_dir), step1(spark, sf_dir, "artifacts"), kinds)
+
+
+@register(oracle.over_shapes("SELECT DISTINCT inspection_id FROM si WHERE is_current AND (obligation_id IS NULL OR obligation_id NOT IN (SELECT obligation_id FROM ss))", VALID))
+def q_r7_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.unmatched(step1(spark, sf_dir, "inspections"), step1(spark, sf_dir, "scope")).select("inspection_id").distinct()
+
+
+@register(oracle.over_shapes("""
+    SELECT inspection_id, array_to_string(list_sort(list(revision)), ',') AS revisions, coalesce(array_to_string(list_sort(list_distinct(list(obligation_id))), ','), '') AS obligation_ids, bool_or(obligation_id IS NULL) AS unlinked
+    FROM si WHERE is_current AND NOT EXISTS (SELECT 1 FROM ss WHERE ss.obligation_id = si.obligation_id) GROUP BY inspection_id""", VALID))
+def q_r7_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.unmatched_entities(step1(spark, sf_dir, "inspections"), step1(spark, sf_dir, "scope"))
+    return found.select("inspection_id", joined("revisions").alias("revisions"), joined("obligation_ids").alias("obligation_ids"), F.exists("obligation_ids", lambda o: o.isNull()).alias("unlinked"))
+
+
+# --- the chain -------------------------------------------------------------------
+
+
+def of_check(check: str, dangling: bool = False, binding: str = "digest") -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        _, _, found = assessed(spark, sf_dir, binding, dangling)
+        rows = found.where(F.col("check_id") == check)
+        return rows.select("subject_id", "outcome", "reason", joined("blocked_by").alias("blocked_by"), joined("caused_by").alias("caused_by"))
+
+    return run
+
+
+for _check in ("R2", "R3", "R4", "R5", "R6"):
+    _sql = f"SELECT subject_id, outcome, reason, coalesce(array_to_string(blocked_by, ','), '') AS blocked_by, coalesce(caused_by, '') AS caused_by FROM findings WHERE check_id = '{_check}'"
+    QUERIES[f"q_{_check.lower()}_findings"], ORACLE_SQL[f"q_{_check.lower()}_findings"] = of_check(_check), oracle.over_chain(_sql)
+    QUERIES[f"q_{_check.lower()}_findings_partial"], ORACLE_SQL[f"q_{_check.lower()}_findings_partial"] = of_check(_check, True), oracle.over_chain(_sql, dangling=True)
+    if _check == "R6":
+        QUERIES["q_r6_revision_binding"], ORACLE_SQL["q_r6_revision_binding"] = of_check(_check, binding="revisions"), oracle.over_chain(_sql, "revisions")
+
+
+@register(oracle.over_chain("SELECT obligation_id, r2_reason, r3_reason, r4_reason, r5_reason, r6_reason FROM chain"))
+def q_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assessed(spark, sf_dir)[1].chain.select("obligation_id", "r2_reason", "r3_reason", "r4_reason", "r5_reason", "r6_reason")
+
+
+@register(oracle.over_chain("SELECT obligation_id, digest FROM chain WHERE digest IS NOT NULL"))
+def q_evidence_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assessed(spark, sf_dir)[1].chain.where("digest IS NOT NULL").select("obligation_id", "digest")
+
+
+@register(oracle.over_chain("SELECT obligation_id, coalesce(array_to_string(missing, ','), '') AS missing, CAST(n_files AS BIGINT) AS n_files FROM r45v"))
+def q_r4_r5_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = assessed(spark, sf_dir)[1].chain.where("n_files IS NOT NULL")
+    return rows.select("obligation_id", F.coalesce(joined("missing"), F.lit("")).alias("missing"), F.col("n_files").cast("long").alias("n_files"))
+
+
+@register(oracle.over_chain("SELECT obligation_id, approval_id, class FROM classed JOIN latest USING (obligation_id) WHERE class = 'MATCH' AND decided_at = t"))
+def q_r6_latest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    case, done, _ = assessed(spark, sf_dir)
+    live = done.records.live
+    kinds = rules.required_kinds(case.pack, spark)
+    picked = done.chain.where("r3_outcome IN ('PASS', 'UNKNOWN')").select("obligation_id", "candidate.*")
+    evidence = rules.required_evidence(picked, live("artifacts"), kinds, case.files)
+    ready = rules.evidence_verdicts(picked, evidence, kinds, True, True).where("r4_outcome = 'PASS' AND r5_outcome = 'PASS'").select("obligation_id", "inspection_id", "revision", "digest", "required_set")
+    matched = rules.classified_approvals(ready, live("approvals"), live("approval_items"), "digest").where("class = 'MATCH'")
+    newest = matched.groupBy("obligation_id").agg(F.max("decided_at").alias("decided_at"))  # all of the last, not one of them
+    return matched.join(newest, ["obligation_id", "decided_at"]).select("obligation_id", "approval_id", "class")
+
+
+# --- findings ---------------------------------------------------------------------
+
+
+@register(oracle.over_chain("SELECT key, check_id, outcome, reason, required FROM findings", dangling=True))
+def q_all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.keyed(assessed(spark, sf_dir, dangling=True)[2]).select("key", "check_id", "outcome", "reason", "required")
+
+
+@register(oracle.over_chain("""
+    SELECT outcome, 'by_outcome' AS tally, (SELECT count(*) FROM findings f WHERE f.outcome = o.outcome) AS n FROM (VALUES ('PASS'), ('FAIL'), ('UNKNOWN'), ('NOT_EVALUATED')) AS o(outcome)
+    UNION ALL SELECT outcome, 'required', (SELECT count(*) FROM findings f WHERE f.outcome = o.outcome AND required) FROM (VALUES ('PASS'), ('FAIL'), ('UNKNOWN'), ('NOT_EVALUATED')) AS o(outcome)
+    UNION ALL SELECT outcome, 'advisory', (SELECT count(*) FROM findings f WHERE f.outcome = o.outcome AND NOT required) FROM (VALUES ('PASS'), ('FAIL'), ('UNKNOWN'), ('NOT_EVALUATED')) AS o(outcome)
+    UNION ALL SELECT outcome, 'roots', (SELECT count(*) FROM findings f WHERE f.outcome = o.outcome AND required AND caused_by IS NULL) FROM (VALUES ('FAIL'), ('UNKNOWN')) AS o(outcome)""", dangling=True))
+def q_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.counts(assessed(spark, sf_dir, dangling=True)[2])
+
+
+@register(oracle.over_chain("SELECT key FROM findings WHERE required AND outcome IN ('FAIL', 'UNKNOWN') AND caused_by IS NULL", dangling=True))
+def q_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.roots(findings.keyed(assessed(spark, sf_dir, dangling=True)[2])).select("key")
+
+
+@register(oracle.over_chain("SELECT CASE WHEN bool_or(outcome = 'FAIL') THEN 'BLOCKED' WHEN bool_or(outcome IN ('UNKNOWN', 'NOT_EVALUATED')) THEN 'UNKNOWN' ELSE 'READY_FOR_REVIEW' END AS status FROM findings WHERE required"))
+def q_project_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.status(assessed(spark, sf_dir)[2])
+
+
+@register(oracle.over_chain("""
+    , edges AS (SELECT unnest(blocked_by) AS top, key AS below FROM findings), reach AS (SELECT top, below FROM edges UNION SELECT r.top, e.below FROM reach r JOIN edges e ON e.top = r.below)
+    SELECT key, count(below) AS n FROM findings LEFT JOIN reach ON top = key GROUP BY key""", recursive=True).replace("\n\n    , edges", ",\n edges").replace("\n    , edges", ",\n edges"))
+def q_blocks_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.blocks(assessed(spark, sf_dir)[2])
+
+
+@register(oracle.over_chain("SELECT subject_id, " + ", ".join(f"max(outcome) FILTER (WHERE check_id = 'R{k}') AS \"R{k}\"" for k in range(2, 7)) + " FROM findings WHERE subject_kind = 'obligation' GROUP BY subject_id"))
+def q_obligation_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.grid(assessed(spark, sf_dir)[2])
+
+
+@register(oracle.over_chain("""
+    SELECT key, row_number() OVER (ORDER BY check_id, list_position(['snapshot','project','dataset','obligation','scope_row','inspection','artifact','approval','approval_item','unattributable_row'], subject_kind), subject_id, coalesce(code_suffix, '')) AS place
+    FROM findings WHERE check_id IN ('R1', 'R7')"""))
+def q_findings_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = findings.keyed(assessed(spark, sf_dir)[2]).where("check_id IN ('R1', 'R7')")
+    # a report's numbering of the project-level findings; partitions by check keep it from one task
+    start = rows.groupBy("check_id").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("check_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("check_id").orderBy(*findings.rank_columns()))
+    return rows.withColumn("rank", place).join(start, "check_id").select("key", (F.col("rank") + F.col("before")).alias("place"))
+
+
+@register(oracle.over_shapes("SELECT coalesce(a.key, b.key) AS key, CASE WHEN a.key IS NULL THEN 'added' WHEN b.key IS NULL THEN 'removed' WHEN a.outcome = b.outcome AND a.reason = b.reason AND a.blocked = b.blocked THEN 'unchanged' ELSE 'changed' END AS change FROM before a FULL JOIN after b ON a.key = b.key",
+    oracle.chain(), "before AS (SELECT 'R6:obligation:' || obligation_id AS key, " + oracle.outcome("r6_reason") + " AS outcome, r6_reason AS reason, r6_blocked AS blocked FROM chain WHERE CAST(substr(obligation_id, 3) AS BIGINT) % 7 <> 0)",
+    "after AS (SELECT 'R6:obligation:' || obligation_id AS key, " + oracle.outcome("r6_reason") + " AS outcome, CASE WHEN r6_reason = 'APPROVAL_REJECTED' THEN 'APPROVAL_REVOKED' ELSE r6_reason END AS reason, r6_blocked AS blocked FROM chain WHERE CAST(substr(obligation_id, 3) AS BIGINT) % 5 <> 0)", dangling=False))
+def q_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = assessed(spark, sf_dir)[2].where("check_id = 'R6'")
+    number = F.substring("subject_id", 3, 20).cast("long")
+    later = run.where(number % 5 != 0).withColumn("reason", F.when(F.col("reason") == "APPROVAL_REJECTED", "APPROVAL_REVOKED").otherwise(F.col("reason")))
+    return findings.compare(run.where(number % 7 != 0), later).select("key", "change")
+
+
+@register("SELECT o_custkey, CASE WHEN count(*) > 1 THEN min(o_orderkey) || ' (and ' || (count(*) - 1) || ' more)' ELSE CAST(min(o_orderkey) AS VARCHAR) END AS shown FROM (SELECT o_custkey, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS o_orderkey FROM orders) GROUP BY o_custkey")
+def q_first_and_more(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_custkey").agg(F.collect_list(F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("keys"))
+    return keys.select("o_custkey", findings.first_and_more(F.col("keys")).alias("shown"))
+
+
+# --- adapter -------------------------------------------------------------------------
+
+
+@register("SELECT user_id AS rid, arg_min(event_id, event_id) AS event_id, arg_min(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def q_dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = e.select(F.col("user_id").alias("rid"), F.floor(F.col("event_id") / 100).alias("page"), (F.col("event_id") % 100).alias("pos"), "event_id", "event_type")
+    return adapter.first_occurrences(rows).select("rid", "event_id", "event_type")
+
+
+@register("""
+    SELECT l_orderkey, l_linenumber, l_suppkey, CASE WHEN l_partkey % 10 = 9 THEN 'part ' || l_partkey WHEN l_partkey < 1 THEN CAST(l_partkey AS VARCHAR) WHEN p_partkey IS NULL THEN 'rid.parts.' || l_partkey ELSE p_name END AS resolved, p_partkey IS NULL AND l_partkey % 10 <> 9 AND l_partkey >= 1 AS unresolved
+    FROM lineitem LEFT JOIN (SELECT p_partkey, CASE WHEN p_partkey % 8 = 0 THEN NULL ELSE p_name END AS p_name FROM part WHERE p_partkey % 6 <> 0) ON p_partkey = l_partkey AND l_partkey % 10 <> 9""")
+def q_reference_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    text = F.when(F.col("l_partkey") % 10 == 9, F.concat(F.lit("part "), F.col("l_partkey").cast("string"))).when(F.col("l_partkey") % 10 == 8, F.concat(F.col("l_partkey").cast("string"), F.lit(".0"))).otherwise(F.col("l_partkey").cast("string"))
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey % 6 <> 0").select(F.col("p_partkey").alias("rid"), F.when(F.col("p_partkey") % 8 != 0, F.col("p_name")).alias("canonical"))
+    out = adapter.resolved_references(lines.select("l_orderkey", "l_linenumber", "l_suppkey", text.alias("ref")), parts, "ref", "parts")
+    return out.select("l_orderkey", "l_linenumber", "l_suppkey", "resolved", "unresolved")
+
+
+STATUSES = {"purchase": "completed", "click": "in_progress", "view": "not_started"}
+
+
+@register(f"SELECT event_id, CASE {' '.join(f"WHEN event_type = '{a}' THEN '{b}'" for a, b in STATUSES.items())} ELSE event_type END AS cell, event_type NOT IN ('purchase', 'click', 'view') AS unmapped FROM events")
+def q_value_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cell, unmapped = adapter.mapped_labels(F.col("event_type"), STATUSES)
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", cell.alias("cell"), unmapped.alias("unmapped"))
+
+
+@register(oracle.over_shapes("SELECT artifact_id, revision FROM sa WHERE is_current AND inspection_id IN (SELECT inspection_id FROM si WHERE obligation_id IN (SELECT obligation_id FROM ss))", VALID))
+def q_in_scope_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapter.in_scope_artifacts(step1(spark, sf_dir, "artifacts"), step1(spark, sf_dir, "inspections"), step1(spark, sf_dir, "scope")).select("artifact_id", "revision")
+
+
+@register("SELECT event_id AS rid, CASE WHEN event_id % 89 = 1 THEN 'vanished' WHEN event_id % 83 = 2 THEN 'appeared' ELSE 'modified' END AS change FROM events WHERE (event_id % 89 = 1) <> (event_id % 83 = 2) OR (event_id % 97 = 0 AND NOT (event_id % 89 = 1))")
+def q_two_pass_stable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("rid"), F.col("event_type").alias("modified"))
+    second = e.withColumn("modified", F.when(F.col("rid") % 97 == 0, F.concat(F.lit("x"), F.col("modified"))).otherwise(F.col("modified")))
+    return adapter.unstable(e.where("rid % 83 <> 2"), second.where("rid % 89 <> 1"))
+
+
+PAGE = "SELECT event_type AS \"table\", event_id // 1000 AS page, count(*) AS n FROM events GROUP BY ALL"
+
+
+@register(f"""
+    WITH p AS ({PAGE}), t AS (SELECT "table", page, n, sum(n) OVER (PARTITION BY "table") - coalesce(sum(n) OVER w, 0) + CASE WHEN page % 7 = 3 THEN 1 ELSE 0 END AS total,
+        sum(n) OVER (PARTITION BY "table") + first_value(CASE WHEN page % 7 = 3 THEN 1 ELSE 0 END) OVER (PARTITION BY "table" ORDER BY page) - coalesce(sum(n) OVER w, 0) AS expected
+        FROM p WINDOW w AS (PARTITION BY "table" ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    SELECT "table", page, CAST(expected AS BIGINT) AS expected, total = expected AS fits FROM t""")
+def q_page_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    pages = e.groupBy(F.col("event_type").alias("table"), F.floor(F.col("event_id") / 1000).alias("page")).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("table").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    total = F.sum("n").over(Window.partitionBy("table")) - F.coalesce(F.sum("n").over(before), F.lit(0)) + F.when(F.col("page") % 7 == 3, 1).otherwise(0)
+    return adapter.page_accounting(pages.withColumn("total", total)).select("table", "page", "expected", "fits")
+
+
+@register("""
+    SELECT "table", bool_and(rid > before OR before IS NULL) AS ok FROM (
+        SELECT event_type AS "table", CASE WHEN event_id % 5003 = 77 AND event_type = 'click' THEN 0 ELSE event_id END AS rid,
+               lag(CASE WHEN event_id % 5003 = 77 AND event_type = 'click' THEN 0 ELSE event_id END) OVER (PARTITION BY event_type ORDER BY event_id) AS before FROM events) GROUP BY "table\"""")
+def q_ascending_rids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rid = F.when((F.col("event_id") % 5003 == 77) & (F.col("event_type") == "click"), 0).otherwise(F.col("event_id"))
+    return adapter.ascending(e.select(F.col("event_type").alias("table"), F.floor(F.col("event_id") / 100).alias("page"), F.col("event_id").alias("pos"), rid.alias("rid")))
+
+
+@register("SELECT user_id AS rid, max(version) AS version, arg_min(file_name, (-version, event_id)) AS file_name FROM (SELECT user_id, event_id, event_id % 5 AS version, 'f' || event_id || '.pdf' AS file_name FROM events) WHERE version >= 1 GROUP BY user_id")
+def q_latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return adapter.latest_versions(e.select(F.col("user_id").alias("rid"), F.col("event_id").alias("pos"), (F.col("event_id") % 5).alias("version"), F.concat(F.lit("f"), F.col("event_id").cast("string"), F.lit(".pdf")).alias("file_name")))
+
+
+@register("""
+    SELECT event_id, CASE WHEN w AND s AND a THEN 'complete_for_declared_scope' WHEN NOT w THEN 'partial' ELSE 'unverified' END AS coverage, CASE WHEN s THEN 'stable_verified' ELSE 'changed_during_capture' END AS consistency,
+           CASE WHEN NOT w THEN 'pagination_incomplete' ELSE 'query_total_matched' || CASE WHEN s THEN ',two_pass_stable' ELSE '' END || CASE WHEN a THEN ',operator_attestation' ELSE '' END END AS basis
+    FROM (SELECT event_id, event_id % 2 = 0 AS w, event_id % 3 = 0 AS s, event_id % 5 = 0 AS a FROM events)""")
+def q_earned_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    facts = e.select("event_id", (F.col("event_id") % 2 == 0).alias("whole"), (F.col("event_id") % 3 == 0).alias("stable"), (F.col("event_id") % 5 == 0).alias("attested"))
+    return adapter.earned(facts).select("event_id", "coverage", "consistency", joined("basis").alias("basis"))
+
+
+@register("""
+    SELECT event_id, CASE event_id % 6 WHEN 0 THEN event_type WHEN 1 THEN CAST(event_id AS VARCHAR) WHEN 2 THEN CAST(event_id AS VARCHAR) || '.5' WHEN 3 THEN NULL WHEN 4 THEN 'true' ELSE CAST(event_id AS VARCHAR) END AS cell, event_id % 6 IN (0, 2, 4) AS unexpected
+    FROM (SELECT event_id, '"' || event_type || '"' AS event_type FROM events)""")
+def q_convert_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    n = F.col("event_id").cast("string")
+    kind = F.col("event_id") % 6
+    body = F.when(kind == 0, F.concat(F.lit('"'), F.col("event_type"), F.lit('"'))).when(kind == 1, n).when(kind == 2, F.concat(n, F.lit(".5"))).when(kind == 3, "null").when(kind == 4, "true").otherwise(F.concat(n, F.lit(".0")))
+    cell, odd = adapter.converted("numeric", F.parse_json(body))
+    return e.select("event_id", cell.alias("cell"), odd.alias("unexpected"))
