@@ -183,31 +183,33 @@ def scores(docs: DataFrame, train: DataFrame | None = None, alpha: float = 0.4,
         if part < 0:  # the ids of one batch
             return pa.table([block, [0] * len(block), body], schema=schema)
         opened = [_unpack(x) for x in body]
-        counts = table.column("train").to_pylist() if not own else [True] * len(body)
-        # the count table of this partition
-        learn = [o for o, t in zip(opened, counts, strict=True) if t]
-        cs = np.concatenate([np.repeat(o[0], o[1]) for o in learn]) if learn else np.zeros(0, np.uint64)
-        ws = np.concatenate([o[2] for o in learn]) if learn else np.zeros(0, np.uint64)
-        ns = np.concatenate([np.add.reduceat(o[5].astype(np.int64), np.r_[0, np.cumsum(o[3][:-1], dtype=np.int64)]) if len(o[3]) else np.zeros(0, np.int64) for o in learn]) if learn else np.zeros(0, np.int64)
+        trains = np.array(table.column("train").to_pylist()) if not own else np.ones(len(body), bool)
+        # every batch's pairs at once: sorted, equal ones are one row of this partition's count table
+        sizes = [len(o[2]) for o in opened]
+        cs, ws = np.concatenate([np.repeat(o[0], o[1]) for o in opened]), np.concatenate([o[2] for o in opened])
+        ns = np.concatenate([np.add.reduceat(o[5].astype(np.int64), np.r_[0, np.cumsum(o[3][:-1], dtype=np.int64)]) for o in opened])
+        ns *= np.repeat(trains, sizes)
         order = np.lexsort((ws, cs))
-        cs, ws, ns = cs[order], ws[order], ns[order]
+        cs, ws = cs[order], ws[order]
         first = _runs(cs, ws)
-        ns = np.add.reduceat(ns, first) if len(first) else ns
-        cs, ws = cs[first], ws[first]
-        at = _runs(cs)
-        context = np.add.reduceat(ns, at) if len(at) else ns
+        count = np.add.reduceat(ns[order], first)
+        at = _runs(cs[first])
+        context = np.add.reduceat(count, at)
         whole = counted.value
-        for k in np.flatnonzero(np.isin(cs[at], np.fromiter(whole, np.uint64, len(whole)))):
-            context[k] = whole[int(cs[at][k])]
-        value = np.log(ns) - np.log(np.repeat(context, np.diff(np.r_[at, len(cs)])))
+        for k in np.flatnonzero(np.isin(cs[first][at], np.fromiter(whole, np.uint64, len(whole)))):
+            context[k] = whole[int(cs[first][at][k])]
+        context = np.repeat(context, np.diff(np.r_[at, len(first)]))
+        value = np.log(np.maximum(count, 1)) - np.log(np.maximum(context, 1))
+        slot = np.empty(len(cs), np.int64)
+        slot[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(cs)]))
+        slots = np.split(slot, np.cumsum(sizes)[:-1])
         out: list[list] = [[], [], []]
-        for o, blk, t in zip(opened, block, table.column("train").to_pylist(), strict=True):
+        for o, blk, mine, t in zip(opened, block, slots, table.column("train").to_pylist(), strict=True):
             if t:
                 continue
-            slot = _find(cs, ws, np.repeat(o[0], o[1]), o[2])
-            seen = slot >= 0
+            seen = count[mine] > 0
             holders, doc, times = o[3].astype(np.int64), o[4].astype(np.int64), o[5].astype(np.float64)
-            logs = np.repeat(np.where(seen, value[slot] if len(value) else 0.0, 0.0), holders)
+            logs = np.repeat(np.where(seen, value[mine], 0.0), holders)
             n = int(doc.max()) + 1
             sums = np.bincount(doc, times * logs, n)
             for column, v in zip(out, (blk, 1, _pack(sums.view(np.int64), np.bincount(doc, times, n).astype(np.int64))), strict=True):
@@ -227,19 +229,6 @@ def scores(docs: DataFrame, train: DataFrame | None = None, alpha: float = 0.4,
     return back.groupBy("block").applyInArrow(_summed, "doc_id long, n_pairs long, score double")
 
 
-def _find(cs: np.ndarray, ws: np.ndarray, c: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Places of (c, w) in the table sorted by (cs, ws), -1 where there is none."""
-    if not len(cs):
-        return np.full(len(c), -1)
-    both_c, both_w = np.r_[cs, c], np.r_[ws, w]
-    order = np.lexsort((np.arange(len(both_c)) >= len(cs), both_w, both_c))
-    first = _runs(both_c[order], both_w[order])
-    head = np.repeat(order[first], np.diff(np.r_[first, len(order)]))  # the table's own row comes first in its run
-    out = np.empty(len(both_c), np.int64)
-    out[order] = np.where(head < len(cs), head, -1)
-    return out[len(cs) :]
-
-
 def _backed_off(lost: DataFrame, words: DataFrame, total: int, alpha: float) -> DataFrame:
     """Partial sums of pairs that the training texts lack, by their words' counts."""
 
