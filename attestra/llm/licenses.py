@@ -76,36 +76,37 @@ def template_vectors(templates: tuple[tuple[str, str], ...] = TEMPLATES) -> tupl
 
 
 def passages(files: DataFrame) -> DataFrame:
-    """``id``, ``passage`` (bare) of every header and licence file; ``files`` has ``id``, ``path``, ``text``."""
+    """``id``, ``passage`` (bare), ``key`` (its hash) of every header and licence file; ``files`` has ``id``, ``path``, ``text``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     headers = F.regexp_extract_all(text, F.lit(PASSAGE), F.lit(0))
     whole = F.when(F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False)), F.array(text)).otherwise(F.array().cast("array<string>"))
     found = F.when(text.rlike(CUE), F.concat(headers, whole)).otherwise(whole)
-    return files.select("id", F.explode(found).alias("p")).select("id", bare(F.col("p")).alias("passage")).where("passage <> ''")
+    out = files.select("id", F.explode(found).alias("p")).select("id", bare(F.col("p")).alias("passage")).where("passage <> ''")
+    return out.withColumn("key", F.sha2("passage", 256))
 
 
 def scored(found: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """``passage``, ``license``, ``score`` of distinct passages that reach the threshold."""
+    """``key``, ``license``, ``score`` of distinct passages that reach the threshold; words travel with the key only."""
     vectors, unseen = template_vectors(templates)
     spark = found.sparkSession
     table = spark.createDataFrame([(w, idf, v) for w, (idf, v) in vectors.items()], "word string, idf double, weights array<double>")
-    terms = found.select("passage").distinct().select("passage", F.explode(F.split("passage", " ")).alias("word"))
-    terms = terms.groupBy("passage", "word").agg(F.count("*").alias("tf")).join(F.broadcast(table), "word", "left")  # a few hundred words
+    terms = found.groupBy("key").agg(F.first("passage").alias("passage")).select("key", F.explode(F.split("passage", " ")).alias("word"))
+    terms = terms.groupBy("key", "word").agg(F.count("*").alias("tf")).join(F.broadcast(table), "word", "left")  # a few hundred words
     w = (1 + F.log("tf")) * F.coalesce("idf", F.lit(unseen))
-    sums = terms.withColumn("w", w).groupBy("passage").agg(
+    sums = terms.withColumn("w", w).groupBy("key").agg(
         F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"),
         *[F.sum(F.col("w") * F.coalesce(F.get("weights", F.lit(k)), F.lit(0.0))).alias(f"dot{k}") for k in range(len(templates))],
     )
     rank = [F.struct((-F.round(F.col(f"dot{k}") / F.col("size"), 6)).alias("minus"), F.lit(name).alias("license")) for k, (name, _) in enumerate(templates)]
-    best = sums.select("passage", F.array_min(F.array(*rank)).alias("best"))
-    return best.select("passage", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("score")).where(F.col("score") >= threshold)
+    best = sums.select("key", F.array_min(F.array(*rank)).alias("best"))
+    return best.select("key", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("score")).where(F.col("score") >= threshold)
 
 
 def scan(files: DataFrame, id_col: str = "id", path_col: str = "path", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``id``, ``path``, ``license``, ``score``, ``origin`` (own, inherited or null), ``of`` (the directory inherited from)."""
     picked = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.col(text_col).cast("string").alias("text"))
     found = staged(passages(picked), "license-passages")
-    named = found.join(scored(found, threshold=threshold), "passage")
+    named = found.select("id", "key").join(scored(found, threshold=threshold), "key")
     best = named.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("best"))
     own = staged(best.select("id", F.col("best.license").alias("own"), (-F.col("best.minus")).alias("own_score")), "license-own")
     folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", r"/[^/]*$", "")).otherwise(F.lit(""))
