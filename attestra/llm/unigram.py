@@ -23,12 +23,10 @@ a space; any other text decodes to itself.
 from __future__ import annotations
 
 import re
-import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,20 +34,24 @@ from pyspark.sql import functions as F
 from .common import str_texts
 
 MARK = "▁"
-UNIT = re.compile(f"{MARK}+[^{MARK}]*")
+#: A word with its marks; a line end stands alone, as no piece holds one.
+UNIT = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
+#: Less than any path's score.
+LEAST = float("-inf")
 #: Entries of a worker's cache of words; it starts anew when full.
-CACHE = 300_000
+CACHE = 150_000
+#: Bytes of ids that one batch of results holds.
+BATCH = 8 << 20
 
 
 class Unigram:
     """A vocabulary of scored pieces; ``path`` is a SentencePiece file with bytes for unknown characters."""
 
     def __init__(self, path: str):
-        import ahocorasick
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.automaton = ahocorasick.Automaton()
+        self.scored: list[tuple[str, tuple[int, int, float]]] = []
         self.text_of: list[bytes] = []
         self.byte_ids = [0] * 256
         self.singles: set[str] = set()
@@ -68,48 +70,62 @@ class Unigram:
                 self.text_of.append(piece.replace(MARK, " ").encode())
                 score = model.get_score(i)
                 least = min(least, score)
-                self.automaton.add_word(piece, (i, len(piece), score))
-                whole_words &= MARK not in piece.lstrip(MARK)
+                self.scored.append((piece, (i, len(piece), score)))
+                whole_words &= MARK not in piece.lstrip(MARK) and "\n" not in piece
                 if len(piece) == 1:
                     self.singles.add(piece)
-        self.automaton.make_automaton()
         self.unknown = least - 10
         self.cut = UNIT.findall if whole_words else lambda text: [text]
         self.ids_cache: dict[str, bytes] = {}
         self.count_cache: dict[str, tuple[int, float]] = {}
 
+    @cached_property
+    def automaton(self):
+        """Built when a worker first encodes; decoding needs none."""
+        import ahocorasick
+
+        out = ahocorasick.Automaton()
+        for piece, value in self.scored:
+            out.add_word(piece, value)
+        out.make_automaton()
+        return out
+
     def units(self, text: str) -> list[str]:
         return self.cut(MARK + text.replace(" ", MARK)) if text else []
 
     def best_ids(self, unit: str) -> bytes:
         """Ids of the best path of one unit, as unsigned 32-bit integers."""
         n = len(unit)
-        best, back = [0.0] + [-np.inf] * n, [(0, 0)] * (n + 1)
+        best, piece, length_of = [0.0] + [LEAST] * n, [-1] * (n + 1), [1] * (n + 1)
         done = n if self.singles.issuperset(unit) else 0  # positions whose unknown character has been tried
+
+        def unknown(at: int) -> None:
+            if unit[at - 1] not in self.singles and (found := best[at - 1] + self.unknown) > best[at]:
+                best[at], piece[at], length_of[at] = found, -1, 1
+
         for end, (i, length, score) in self.automaton.iter(unit):
             while done < end:
                 done += 1
-                self._unknown(unit, done, best, back)
-            if (found := best[end + 1 - length] + score) > best[end + 1]:
-                best[end + 1], back[end + 1] = found, (i, length)
+                unknown(done)
+            end += 1
+            if (found := best[end - length] + score) > best[end]:
+                best[end], piece[end], length_of[end] = found, i, length
         while done < n:
             done += 1
-            self._unknown(unit, done, best, back)
+            unknown(done)
         out: list[int] = []
         while n:
-            i, length = back[n]
-            out += [i] if i >= 0 else [self.byte_ids[x] for x in reversed(unit[n - 1].encode())]
-            n -= length
+            if piece[n] >= 0:
+                out.append(piece[n])
+            else:
+                out += [self.byte_ids[x] for x in reversed(unit[n - 1].encode())]
+            n -= length_of[n]
         return array("I", reversed(out)).tobytes()
 
-    def _unknown(self, unit: str, at: int, best: list[float], back: list[tuple[int, int]]) -> None:
-        if unit[at - 1] not in self.singles and (found := best[at - 1] + self.unknown) > best[at]:
-            best[at], back[at] = found, (-1, 1)
-
     def best_count(self, unit: str) -> tuple[int, float]:
         """Tokens and score of the best path of one unit, without the path."""
         n = len(unit)
-        best, count = [0.0] + [-np.inf] * n, [0] * (n + 1)
+        best, count = [0.0] + [LEAST] * n, [0] * (n + 1)
         done = n if self.singles.issuperset(unit) else 0
 
         def unknown(at: int) -> None:
@@ -120,8 +136,9 @@ class Unigram:
             while done < end:
                 done += 1
                 unknown(done)
-            if (found := best[end + 1 - length] + score) > best[end + 1]:
-                best[end + 1], count[end + 1] = found, count[end + 1 - length] + 1
+            end += 1
+            if (found := best[end - length] + score) > best[end]:
+                best[end], count[end] = found, count[end - length] + 1
         while done < n:
             done += 1
             unknown(done)
@@ -144,8 +161,8 @@ class Unigram:
         found = list(map(cache.__getitem__, units))
         return sum(n for n, _ in found), float(sum(s for _, s in found))
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.text_of.__getitem__, ids)).removeprefix(b" ").decode("utf-8", "replace")
+    def decode(self, ids: bytes) -> str:
+        return b"".join(map(self.text_of.__getitem__, array("I", ids))).removeprefix(b" ").decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -155,20 +172,27 @@ def vocabulary(path: str) -> Unigram:
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``ids`` of each row's text."""
+    """``doc_id``, ``ids`` of each row's text: packed little-endian unsigned 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = vocabulary(path)
+
+        def out(names: list, ids: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+
         for b in batches:
-            for at in range(0, b.num_rows, 1024):  # bounds what a batch of ids holds
-                part = b.slice(at, 1024)
-                ids = [model.encode(t) for t in str_texts(part.column(1))]
-                ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-                values = np.frombuffer(b"".join(ids), np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["doc_id", "ids"])
+            names, ids, size = [], [], 0
+            for name, text in zip(b.column(0).to_pylist(), str_texts(b.column(1)), strict=True):
+                names.append(name)
+                ids.append(model.encode(text))
+                size += len(ids[-1])
+                if size > BATCH:
+                    yield out(names, ids)
+                    names, ids, size = [], [], 0
+            yield out(names, ids)
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, ids array<int>")
+    return picked.mapInArrow(run, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -177,10 +201,10 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = vocabulary(path)
         for b in batches:
-            texts = [model.decode(ids or []) for ids in b.column(1).to_pylist()]
+            texts = [model.decode(ids or b"") for ids in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
 
 
 def counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,14 +222,7 @@ def counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 
 def digested(decoded: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_ids``, ``ids_crc32`` (little-endian unsigned 32-bit ids), ``text_sha256`` of what ``decode`` returns."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column(1)
-            values, ends = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy()
-            crc = [zlib.crc32(values[s:e].tobytes()) for s, e in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64()), b.column(2)], ["doc_id", "n_ids", "ids_crc32", "text_sha256"])
-
-    narrow = decoded.select("doc_id", "ids", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
-    return narrow.mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, text_sha256 string")
+    """``doc_id``, ``n_ids``, ``ids_crc32``, ``text_sha256`` of what ``decode`` returns."""
+    return decoded.select(
+        "doc_id", (F.length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")
+    )
