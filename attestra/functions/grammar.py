@@ -15,7 +15,7 @@ PATTERNS = {
     "kind": r"\A[a-z][a-z0-9_]{0,63}\z",
     "digest": r"\Asha256:[0-9a-f]{64}\z",
 }
-TIMESTAMP = r"\A([0-9]{4})-([0-9]{2})-([0-9]{2})T([0-9]{2}):([0-9]{2}):([0-9]{2})(?:\.([0-9]{1,6}))?(?:Z|([+-])([0-9]{2}):([0-9]{2}))\z"
+TIMESTAMP = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]{1,6})?(?:Z|[+-][0-9]{2}:[0-9]{2})\z"
 RESERVED = ["CON", "PRN", "AUX", "NUL", *(f"COM{i}" for i in range(1, 10)), *(f"LPT{i}" for i in range(1, 10))]
 ODD_CHARACTER = r'[\p{Cc}\\<>:"|?*]'
 CANONICAL_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
@@ -37,15 +37,18 @@ def parse_ts(c: Column) -> Column:
     The parts are checked before they make a timestamp, as the built-in parser
     takes second 60, year 0 and no offset beyond 18 hours.
     """
-    part = [None] + [F.regexp_extract(c, TIMESTAMP, i) for i in range(1, 11)]
-    number = [None] + [p.try_cast("int") for p in part[1:]]
-    second = F.concat(part[6], F.lit("."), F.rpad(part[7], 6, "0")).try_cast("decimal(8,6)")
-    local = F.try_make_timestamp_ntz(number[1], number[2], number[3], number[4], number[5], second)
-    offset = F.when(part[8] == "", 0).otherwise((number[9] * 60 + number[10]) * F.when(part[8] == "-", -1).otherwise(1))
-    fits = (number[1] >= 1) & (number[4] <= 23) & (number[5] <= 59) & (number[6] <= 59)
-    fits &= (part[8] == "") | ((number[9] <= 23) & (number[10] <= 59))
+    n = F.length(c)
+    zulu = c.endswith("Z")
+    year, hour, minute, second = (F.substr(c, F.lit(at), F.lit(size)).try_cast("int") for at, size in ((1, 4), (12, 2), (15, 2), (18, 2)))
+    fraction = F.rpad(F.substr(c, F.lit(21), F.greatest(n - F.when(zulu, 21).otherwise(26), F.lit(0))), 6, "0")
+    local = F.concat(F.substr(c, F.lit(1), F.lit(10)), F.lit(" "), F.substr(c, F.lit(12), F.lit(8)), F.lit("."), fraction).try_cast("timestamp_ntz")
+    hours, minutes = F.substr(c, n - 4, F.lit(2)).try_cast("int"), F.substr(c, n - 1, F.lit(2)).try_cast("int")
+    offset = F.when(zulu, 0).otherwise((hours * 60 + minutes) * F.when(F.substr(c, n - 5, F.lit(1)) == "-", -1).otherwise(1))
+    fits = (year >= 1) & (hour <= 23) & (minute <= 59) & (second <= 59) & (zulu | ((hours <= 23) & (minutes <= 59)))
     utc = F.timestamp_add("MINUTE", -offset, local)
-    return F.when(c.rlike(TIMESTAMP) & fits & F.year(utc).between(1, 9999), F.date_format(utc, CANONICAL_TIME))
+    text = F.date_format(F.when(c.rlike(TIMESTAMP) & fits, utc), CANONICAL_TIME)
+    # beyond year 9999 the text has a sign and more digits
+    return F.when((F.length(text) == 27) & ~text.startswith("0000"), text)
 
 
 def path_rule(c: Column) -> Column:
@@ -67,25 +70,29 @@ def path_rule(c: Column) -> Column:
     return F.concat(F.lit("path:"), rule)
 
 
-def checked(kind: str, c: Column, required: bool) -> tuple[Column, Column]:
-    """The cell's value (null if it breaks a rule), and the rule it breaks (null if none)."""
+def parsed(kind: str, c: Column) -> Column | None:
+    """What a second column must hold for ``checked`` to judge a cell of this kind; null for kinds that need none."""
+    return {"bool": parse_bool, "ts": parse_ts, "path": path_rule}.get(kind, lambda _: None)(c)
+
+
+def checked(kind: str, c: Column, extra: Column, required: bool) -> tuple[Column, Column]:
+    """The cell's value (null if it breaks a rule), and the rule it breaks (null if none).
+
+    ``extra`` is a column that holds ``parsed`` of the cell, so that it is computed once.
+    """
+    value = c
     if kind in PATTERNS:
         rule = F.when(~c.rlike(PATTERNS[kind]), f"grammar:{kind.upper()}")
-        value = c
     elif kind == "text":
-        rule, value = F.when(~is_text(c), "grammar:TEXT"), c
-    elif kind == "bool":
-        value = parse_bool(c)
-        rule = F.when(value.isNull(), "grammar:BOOL")
-    elif kind == "ts":
-        value = parse_ts(c)
-        rule = F.when(value.isNull(), "grammar:TS")
+        rule = F.when(~is_text(c), "grammar:TEXT")
+    elif kind in ("bool", "ts"):
+        rule, value = F.when(extra.isNull(), f"grammar:{kind.upper()}"), extra
     elif kind == "path":
-        rule, value = path_rule(c), c
+        rule = extra
     else:
-        rule, value = F.when(~c.isin(kind.split("|")), f"enum:{kind}"), c
+        rule = F.when(~c.isin(kind.split("|")), f"enum:{kind}")
     rule = F.when(c.isNull(), F.lit("required" if required else None).cast("string")).otherwise(rule)
-    return F.when(rule.isNull(), value), rule
+    return value, rule
 
 
 def sanitized_file_name(c: Column) -> Column:

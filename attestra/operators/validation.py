@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.grammar import checked
+from ..functions.grammar import checked, parsed
 from ..functions.schema import DATASETS
 
 VIOLATIONS = "array<struct<code:string,field:string,value:string,rule:string>>"
@@ -36,17 +36,18 @@ def validated(raw: DataFrame, dataset: str, unmapped: DataFrame | None = None) -
         listed = unmapped.where(F.col("dataset") == dataset).groupBy(F.col("source").alias("__source")).agg(F.collect_set("field").alias("__listed"))
         rows = rows.join(listed, F.coalesce("x_source", F.lit("")) == F.col("__source"), "left")
         rows = rows.withColumn("__listed", F.coalesce("__listed", F.array().cast("array<string>")))
+    # three projections, each naming what the one before computed: cells, then values and rules, then codes
+    rows = rows.withColumns({f"__x_{f.name}": e for f in spec.fields if (e := parsed(f.kind, F.col(f.name))) is not None})
+    judged = {f.name: checked(f.kind, F.col(f.name), F.col(f"__x_{f.name}"), f.required) for f in spec.fields}
+    rows = rows.withColumns({f"__r_{n}": rule for n, (_, rule) in judged.items()})
     values, violations, bad = {}, [], {}
     for f in spec.fields:
-        cell = F.col(f.name)
-        value, rule = checked(f.kind, cell, f.required)
-        listed = F.array_contains("__listed", f.name)
-        code = F.when(listed, "UNMAPPED_VALUE").when(rule.startswith("path:"), "INVALID_PATH").when(rule.isNotNull(), "INVALID_VALUE")
-        code = F.when(~F.col("malformed"), code)
-        bad[f.name] = code.isNotNull()
-        values[f.name] = F.when(code.isNull() & ~F.col("malformed"), value)
+        cell, rule, listed = F.col(f.name), F.col(f"__r_{f.name}"), F.array_contains("__listed", f.name)
+        bad[f.name] = ~F.col("malformed") & (listed | rule.isNotNull())
+        values[f.name] = F.when(~bad[f.name] & ~F.col("malformed"), judged[f.name][0])
+        code = F.when(listed, "UNMAPPED_VALUE").when(rule.startswith("path:"), "INVALID_PATH").otherwise("INVALID_VALUE")
         found = F.struct(code.alias("code"), F.lit(f.name).alias("field"), cell.alias("value"), F.when(listed, "unmapped").otherwise(rule).alias("rule"))
-        violations.append(F.when(code.isNotNull(), found))
+        violations.append(F.when(bad[f.name], found))
     readable = ~F.col("malformed")
     for k in spec.key:
         readable &= ~bad[k]
