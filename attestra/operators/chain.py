@@ -36,7 +36,7 @@ def evaluate(case: Case, detect_duplicates: bool = True) -> Evaluated:
     rec = integrity.records(case, detect_duplicates)
     rec = integrity.Records({name: staged(rows, f"records-{name}") for name, rows in rec.rows.items()})
     defects = staged(integrity.defects(case, rec), "defects")
-    covered = staged(coverage.effective_coverage(case, rec), "coverage")
+    covered = staged(coverage.effective_coverage(case, rec, defects), "coverage")
     # four rows and one row: the declarations and the project's finding
     complete = {r.dataset: r.effective == COMPLETE for r in covered.collect()}
     project = staged(coverage.project_finding(case, rec), "project")

@@ -47,8 +47,8 @@ def effective(claimed: DataFrame, wrong: DataFrame, lost: DataFrame, pack: Pack)
     )
 
 
-def effective_coverage(case: Case, rec: Records) -> DataFrame:
-    return effective(claims(case), contradicted(case, rec), unattributable(rec), case.pack)
+def effective_coverage(case: Case, rec: Records, defects: DataFrame) -> DataFrame:
+    return effective(claims(case), contradicted(defects), unattributable(rec), case.pack)
 
 
 def dataset_findings(coverage: DataFrame) -> DataFrame:

@@ -54,7 +54,10 @@ def records(case: Case, detect_duplicates: bool = True) -> Records:
         else:
             rows = rows.withColumns({"copies": F.lit(None).cast("long"), "identical": F.lit(None).cast("boolean")})
         bad = F.col("malformed") | (F.size("violations") > 0) | F.col("copies").isNotNull()
-        out[name] = rows.withColumn("quarantined", bad)
+        out[name] = rows.withColumns({
+            "quarantined": bad, "named": F.coalesce("subject", unattributable_id(name)),
+            "kind": F.when(F.col("row_key").isNull(), "unattributable_row").otherwise(DATASETS[name].subject),
+        })
     return Records(out)
 
 
@@ -105,70 +108,70 @@ def unattributable_id(dataset: str) -> Column:
     return F.concat(F.lit(f"{dataset}."), F.substring(F.sha2(F.concat(F.lit('{"cells":'), cells, F.lit(f',"dataset":"{dataset}"}}')).cast("binary"), 256), 1, 16))
 
 
-def defects(case: Case, rec: Records) -> DataFrame:
-    """One row for each defect and row that has it: ``DEFECT`` columns."""
-    rows = {name: attributed(rec, name) for name in DATASETS}
-    parts = []
-
-    def add(df: DataFrame, dataset: str, code: Column, detail: Column, subject: Column | None = None) -> None:
-        kind = F.when(F.col("row_key").isNull(), "unattributable_row").otherwise(DATASETS[dataset].subject)
-        named = F.coalesce(F.col("subject"), unattributable_id(dataset)) if subject is None else subject
-        parts.append(df.select(
-            F.lit(dataset).alias("dataset"), kind.alias("kind"), named.alias("subject"), code.alias("code"), "locator",
-            detail.alias("detail"), "obligations", "unattributable",
-        ))
-
-    for name, df in rows.items():
-        cells = df.where(F.size("violations") > 0).withColumn("__v", F.explode("violations"))
-        add(cells, name, F.col("__v.code"), _json(field=F.col("__v.field"), value=F.col("__v.value"), rule=F.col("__v.rule")))
-        add(df.where("malformed"), name, F.lit("MALFORMED_ROW"), F.lit(None).cast("string"))
-        twice = df.where("copies IS NOT NULL")
-        add(twice, name, F.lit("DUPLICATE_KEY"), F.col("identical").cast("string"))
-    for name, key in (("inspections", "inspection_id"), ("artifacts", "artifact_id")):
-        now = rows[name].where("NOT quarantined AND is_current")
-        many = now.groupBy(key).agg(F.count("*").alias("__n")).where("__n > 1").drop("__n")
-        add(now.join(many, key, "left_semi"), name, F.lit("MULTIPLE_CURRENT_REVISIONS"), F.col("revision"), F.col(key))
-    live = rows["inspections"].where("NOT quarantined")
-    untimed = live.where("is_current AND completion_status = 'completed' AND completed_at IS NULL")
-    add(untimed, "inspections", F.lit("COMPLETED_WITHOUT_TIMESTAMP"), F.lit(None).cast("string"))
-    for name, column in (("inspections", "completed_at"), ("approvals", "decided_at")):
-        # canonical times have one width, so their text sorts as they do
-        late = rows[name].where((~F.col("quarantined")) & (F.col(column) > case.as_of))
-        add(late, name, F.lit("TIMESTAMP_AFTER_AS_OF"), _json(field=F.lit(column), value=F.col(column)))
-    for name, column, target, missing in dangling(case, rec, rows):
-        shown = F.concat_ws("@", "artifact_id", "artifact_revision") if target == "artifacts" else F.col(column)
-        add(missing, name, F.lit("DANGLING_REFERENCE"), _json(field=F.lit(column), target=F.lit(target), target_key=shown))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def dangling(case: Case, rec: Records, rows: dict[str, DataFrame] | None = None) -> list[tuple[str, str, str, DataFrame]]:
-    """(dataset, column, target, rows whose reference has no target); only targets that claim to be complete are tested.
+def reference_tests(rec: Records) -> list[tuple[str, str, str, DataFrame, list[str], Column]]:
+    """(dataset, column, target, ids that are there, columns to join on, the target as text).
 
     A target counts as there if its id can be read, in quarantined rows too.
     """
-    rows = rows or rec.rows
     ids = rec.rows["inspections"].where("inspection_id IS NOT NULL").select("inspection_id").distinct()
     approvals = rec.rows["approvals"].where("row_key IS NOT NULL").select("approval_id").distinct()
     keys = rec.rows["artifacts"].where("row_key IS NOT NULL").select("artifact_id", F.col("revision").alias("artifact_revision")).distinct()
-    tests = [
-        ("artifacts", "inspection_id", "inspections", ids, ["inspection_id"]),
-        ("approvals", "inspection_id", "inspections", ids, ["inspection_id"]),
-        ("approval_items", "approval_id", "approvals", approvals, ["approval_id"]),
-        ("approval_items", "artifact_id", "artifacts", keys, ["artifact_id", "artifact_revision"]),
+    return [
+        ("artifacts", "inspection_id", "inspections", ids, ["inspection_id"], F.col("inspection_id")),
+        ("approvals", "inspection_id", "inspections", ids, ["inspection_id"], F.col("inspection_id")),
+        ("approval_items", "approval_id", "approvals", approvals, ["approval_id"], F.col("approval_id")),
+        ("approval_items", "artifact_id", "artifacts", keys, ["artifact_id", "artifact_revision"], F.concat_ws("@", "artifact_id", "artifact_revision")),
     ]
-    return [(n, c, t, rows[n].where("NOT quarantined").join(there, on, "left_anti")) for n, c, t, there, on in tests if case.is_declared_complete(t)]
 
 
-def contradicted(case: Case, rec: Records) -> DataFrame:
-    """``dataset``, ``n``: references into each complete dataset that it does not hold."""
-    parts = [missing.select(F.lit(target).alias("dataset")) for _, _, target, missing in dangling(case, rec)]
-    out = case.files.sparkSession.createDataFrame([], "dataset string")
-    for p in parts:
-        out = out.unionByName(p)
-    return out.groupBy("dataset").agg(F.count("*").alias("n"))
+def defects(case: Case, rec: Records) -> DataFrame:
+    """One row for each defect and row that has it: ``DEFECT`` columns.
+
+    Each dataset is read once: what other rows decide (several current revisions, a
+    missing target) is joined to it as flags, and all defects of a row are exploded
+    together. References are tested only into targets that claim to be complete.
+    """
+    tests = reference_tests(rec)
+    live = ~F.col("quarantined")
+    out = None
+    for name, spec in DATASETS.items():
+        rows = attributed(rec, name)
+        found: list[Column] = []
+
+        def defect(code: str, when: Column, detail: Column | None = None, subject: Column | None = None, found: list[Column] = found, spec=spec) -> None:
+            kind, named = (F.col("kind"), F.col("named")) if subject is None else (F.lit(spec.subject), subject)
+            text = F.lit(None).cast("string") if detail is None else detail
+            found.append(F.when(when, F.struct(kind.alias("kind"), named.alias("subject"), F.lit(code).alias("code"), text.alias("detail"))))
+
+        defect("MALFORMED_ROW", F.col("malformed"))
+        defect("DUPLICATE_KEY", F.col("copies").isNotNull(), F.col("identical").cast("string"))
+        if name in ("inspections", "artifacts"):
+            entity = spec.key[0]
+            many = rec.live(name).where("is_current").groupBy(entity).agg(F.count("*").alias("__n")).where("__n > 1")
+            rows = rows.join(many, entity, "left")
+            defect("MULTIPLE_CURRENT_REVISIONS", live & F.col("is_current") & F.col("__n").isNotNull(), F.col("revision"), F.col(entity))
+        if name == "inspections":
+            defect("COMPLETED_WITHOUT_TIMESTAMP", live & F.col("is_current") & (F.col("completion_status") == "completed") & F.col("completed_at").isNull())
+        if (at := {"inspections": "completed_at", "approvals": "decided_at"}.get(name)) is not None:
+            # canonical times have one width, so their text sorts as they do
+            defect("TIMESTAMP_AFTER_AS_OF", live & (F.col(at) > case.as_of), _json(field=F.lit(at), value=F.col(at)))
+        for k, (dataset, column, target, there, on, shown) in enumerate(tests):
+            if dataset == name and case.is_declared_complete(target):
+                rows = rows.join(there.withColumn(f"__there{k}", F.lit(True)), on, "left")
+                defect("DANGLING_REFERENCE", live & F.col(f"__there{k}").isNull(), _json(field=F.lit(column), target=F.lit(target), target_key=shown))
+        cells = F.transform("violations", lambda v: F.struct(
+            F.col("kind").alias("kind"), F.col("named").alias("subject"), v["code"].alias("code"), _json(field=v["field"], value=v["value"], rule=v["rule"]).alias("detail")))
+        every = F.concat(cells, F.filter(F.array(*found), lambda d: d.isNotNull()))
+        part = rows.select("dataset", "locator", "obligations", "unattributable", F.explode(every).alias("d"))
+        part = part.select("dataset", "d.kind", "d.subject", "d.code", "locator", "d.detail", "obligations", "unattributable")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def contradicted(found: DataFrame) -> DataFrame:
+    """``dataset``, ``n``: references into each complete dataset that it does not hold, from the defects."""
+    target = F.get_json_object("detail", "$.target")
+    return found.where("code = 'DANGLING_REFERENCE'").groupBy(target.alias("dataset")).agg(F.count("*").alias("n"))
 
 
 def unattributable(rec: Records) -> DataFrame:

@@ -135,7 +135,7 @@ def q_validate_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(oracle.over_shapes(" UNION ALL ".join(f"SELECT '{n}' AS dataset, subject, copies, identical FROM g_{n}" for n in DATASETS)))
 def q_r0_duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, done, _ = assessed(spark, sf_dir, dangling=True)
-    parts = [integrity.duplicate_keys(rows.drop("copies", "identical")).select(F.lit(n).alias("dataset"), "subject", "copies", "identical") for n, rows in done.records.rows.items()]
+    parts = [integrity.duplicate_keys(rows).select(F.lit(n).alias("dataset"), "subject", "copies", "identical") for n, rows in done.records.rows.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -228,8 +228,7 @@ def q_unattributable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(oracle.over_integrity("SELECT dataset, count(*) AS n FROM wrong GROUP BY dataset"))
 def q_contradicted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    case, done, _ = assessed(spark, sf_dir, dangling=True)
-    return integrity.contradicted(case, done.records)
+    return integrity.contradicted(assessed(spark, sf_dir, dangling=True)[1].defects)
 
 
 # --- R1 -------------------------------------------------------------------------
