@@ -51,6 +51,11 @@ def assessed(spark: SparkSession, sf_dir: str, binding: str = "digest", dangling
     return _DONE[key]
 
 
+def forget() -> None:
+    """Evaluate anew from here on."""
+    _DONE.clear()
+
+
 def joined(c: str | Column) -> Column:
     return F.array_join(c, ",")
 
