@@ -1,4 +1,8 @@
-"""Unigram tokens by Viterbi over an Aho-Corasick automaton: encoding, decoding, counting.
+"""SentencePiece tokens by the file's own kind of model: encoding, decoding, counting.
+
+A BPE file is encoded by its merges: ``sentencepiece`` itself over whole texts, as
+its scores are merge ranks and their largest sum is not the encoding. Any other
+file counts as a unigram model, by Viterbi over an Aho-Corasick automaton.
 
 The automaton holds the pieces of a SentencePiece file with their scores. One
 pass over a text meets every piece at the position where it ends, longest first
@@ -12,7 +16,7 @@ text is the best paths of its words one after the other. Each worker keeps the
 words it has met in a bounded cache.
 
 Sums are exact (integers or doubles), where the tokenizer's are single-precision
-and round beyond 2^24.
+and round beyond 2^24. The score of a BPE encoding is the sum of its pieces' scores.
 
 Edge cases: a null or empty text has no tokens; texts are read whole; repeated
 rows and null ids are handled row by row; extra columns are ignored. An empty
@@ -27,6 +31,7 @@ from array import array
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -165,10 +170,59 @@ class Unigram:
         return b"".join(map(self.text_of.__getitem__, array("I", ids))).removeprefix(b" ").decode("utf-8", "replace")
 
 
+class Merges(Unigram):
+    """A BPE file: the library's own merges over whole texts, decoded by the same table."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        super().__init__(path)
+        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.scores = np.array([self.library.get_score(i) for i in range(self.library.get_piece_size())])
+
+    def encode(self, text: str) -> bytes:
+        return array("I", self.library.encode(text)).tobytes()
+
+    def count(self, text: str) -> tuple[int, float]:
+        ids = np.array(self.library.encode(text), np.int64)
+        return len(ids), float(self.scores[ids].sum())
+
+
+def _fields(body: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Numbers and values of a protobuf message's fields."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value, shift = 0, 0
+        while True:
+            at += 1
+            value |= (body[at - 1] & 127) << shift
+            shift += 7
+            if body[at - 1] < 128:
+                return value
+
+    while at < len(body):
+        key = varint()
+        if key & 7 == 0:
+            yield key >> 3, varint()
+        else:
+            size = {1: 8, 5: 4}.get(key & 7) or varint()
+            yield key >> 3, body[at : at + size]
+            at += size
+
+
+def is_bpe(path: str) -> bool:
+    """Whether the file's trainer (field 2) made a BPE model (field 3 is 2; 1, a unigram model, if unset)."""
+    with open(path, "rb") as f:
+        trainer = b"".join(v for k, v in _fields(f.read()) if k == 2)
+    return dict(_fields(trainer)).get(3, 1) == 2
+
+
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Unigram:
-    """One automaton for each worker process."""
-    return Unigram(path)
+    """One model for each worker process, of the file's own kind."""
+    return Merges(path) if is_bpe(path) else Unigram(path)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,7 +262,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``n_tokens``, ``score`` (of the best path) of each row's text."""
+    """``doc_id``, ``n_tokens``, ``score`` (sum over the tokens) of each row's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = vocabulary(path)
