@@ -31,3 +31,12 @@ def test_ids_are_the_library_s(spark):
     back = unigram.decode(unigram.encode(docs, PATH), PATH).collect()
     assert {r.doc_id: list(array("I", r.ids)) for r in back} == dict(enumerate(map(LIBRARY.encode, texts())))
     assert {r.doc_id: r.text for r in back} == {k: t.replace("▁", " ") for k, t in enumerate(texts())}
+
+
+def test_counts_are_the_library_s(spark):
+    docs = spark.createDataFrame(list(enumerate(texts())), "doc_id long, text string")
+    want = {}
+    for k, t in enumerate(texts()):
+        ids = LIBRARY.encode(t)
+        want[k] = len(ids), float(sum(map(LIBRARY.get_score, ids)))
+    assert {r.doc_id: (r.n_tokens, r.score) for r in unigram.counts(docs, PATH).collect()} == want
