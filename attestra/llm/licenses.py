@@ -2,10 +2,14 @@
 
 A header is any stretch of a line around a licence cue, anywhere in a file; a
 licence file (by its name) also counts as a whole. Equal passages are scored
-once. Passages and templates are sparse vectors of words weighted
+once. A notice may also stand inside a longer line or run over several: blocks of
+words with a cue in them are cut into overlapping windows of each template's length
+that hold its rarest words, scored by the same cosine against more templates
+(standard headers, titles and key clauses of licence texts, SPDX ids). Passages and templates are sparse vectors of words weighted
 ``(1 + ln tf) * idf``, with idf over the templates (a word that no template has
 gets the largest); only a passage's own words are ever looked up. The best cosine
-of at least ``threshold`` names the file's licence, ties going to the first name.
+of at least ``threshold`` names the file's licence, ties going to the first name; "all
+rights reserved" names it only if nothing else does.
 
 A file without a licence takes that of the nearest directory above it, or its
 own, that holds a licence file: directories are listed once, each joined to its
@@ -47,6 +51,41 @@ TEMPLATES = (
     ("Proprietary", "All rights reserved"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 )
+GNU = "{} under the terms of the GNU {} Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version"
+FREE = "This program is free software: you can redistribute it and/or modify it"
+SPDX = ("AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense")
+#: Licence, notice and the words that a window must hold to be tried: fixed values as well.
+WINDOWED = (
+    *((name, text, {"AGPL-3.0": "affero 3", "Apache-2.0": "apache 2.0", "CC0-1.0": "cc0", "GPL-2.0": "gnu 2", "GPL-3.0": "gnu 3", "LGPL-3.0": "lesser 3", "MPL-2.0": "mozilla 2.0", "Proprietary": "all rights reserved", "Unlicense": "unencumbered"}.get(name, need))
+      for (name, text), need in zip(TEMPLATES, ("", "", "", "redistribution binary", "bsd", "cc by 4.0", "cc by nc 4.0", "cc by sa 4.0", "", "", "", "", "mit", "permission granted charge", "spdx mit", "", "", ""), strict=True)),
+    *((name, f"SPDX License Identifier {name}", f"spdx {name}") for name in SPDX),
+    ("AGPL-3.0", GNU.format(FREE, "Affero General", 3), "affero 3"),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007", "affero 3"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "apache 2.0"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004", "apache 2.0"),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file", "bsd"),
+    ("BSD-3-Clause", "Licensed under the BSD License", "bsd"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "neither contributors"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International", "commons attribution 4.0"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International", "commons noncommercial 4.0"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International", "commons sharealike 4.0"),
+    ("CC0-1.0", "Creative Commons CC0 1.0 Universal", "cc0"),
+    ("GPL-2.0", GNU.format(FREE, "General", 2), "gnu 2"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991", "gnu 2"),
+    ("GPL-3.0", GNU.format(FREE, "General", 3), "gnu 3"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007", "gnu 3"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "permission fee"),
+    ("LGPL-2.1", GNU.format(FREE, "Lesser General", 2.1), "lesser 2.1"),
+    ("LGPL-2.1", "GNU Lesser General Public License Version 2.1, February 1999", "lesser 2.1"),
+    ("LGPL-3.0", GNU.format(FREE, "Lesser General", 3), "lesser 3"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007", "lesser 3"),
+    ("MIT", "Licensed under the MIT License", "mit"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/", "mozilla 2.0"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0", "mozilla 2.0"),
+)
+#: Words of a block, no fewer than the longest template's.
+BLOCK = 64
+CUE_WORD = r"licen[sc]e|copyright|spdx|^(?:rights|reserved|domain|commons|hereby|redistribution)$"
 CUE = r"(?i)licen[sc]e|copyright|spdx|rights reserved|public domain|creative commons|permission is hereby|redistribution and use"
 PASSAGE = r"[^\n]{0,160}(?:" + CUE + r")[^\n]{0,160}"
 LICENCE_FILE = r"(?i)(?:^|/)(?:licen[sc]e|unlicense|copying|notice)(?:\.[a-z]+)?$"
@@ -102,12 +141,42 @@ def scored(found: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES,
     return best.select("key", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("score")).where(F.col("score") >= threshold)
 
 
+def blocks(files: DataFrame) -> DataFrame:
+    """``id``, ``block``, ``block_key``: each stretch of ``BLOCK`` words with a cue, and the stretches beside it; at most three times the text."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    split = files.where(text.rlike(CUE)).select("id", F.split(bare(text), " ").alias("ws"))
+    cues = F.filter(F.transform("ws", lambda w, i: F.when(w.rlike(CUE_WORD), F.floor(i / BLOCK).cast("int"))), lambda x: x.isNotNull())
+    cut = lambda b: F.array_join(F.slice("ws", F.greatest((b - 1) * BLOCK, F.lit(0)) + 1, F.when(b > 0, 3 * BLOCK).otherwise(2 * BLOCK)), " ")
+    out = split.select("id", F.explode(F.transform(F.array_distinct(cues), cut)).alias("block"))
+    return out.withColumn("block_key", F.sha2("block", 256))
+
+
+def windows(found: DataFrame) -> DataFrame:
+    """``block_key``, ``passage``, ``key``: overlapping windows of the distinct blocks, of the length of each template whose words they hold."""
+    rows = [(len(words(text)), words(need)) for _, text, need in WINDOWED]
+    table = found.sparkSession.createDataFrame(sorted({(n, max(1, n // 8), tuple(need)) for n, need in rows}), "length int, step int, need array<string>")
+    once = found.groupBy("block_key").agg(F.first("block").alias("block")).select("block_key", F.split("block", " ").alias("ws"))
+    holds = lambda ws: F.size(F.array_except("need", ws)) == 0
+    tried = once.crossJoin(F.broadcast(table)).where(holds("ws"))  # some fifty templates
+    starts = F.sequence(F.lit(1), F.size("ws"), F.col("step"))
+    cut = F.filter(F.transform(starts, lambda at: F.slice("ws", at, F.col("length"))), holds)
+    out = tried.select("block_key", F.explode(cut).alias("w")).select("block_key", F.array_join("w", " ").alias("passage")).distinct()
+    return out.withColumn("key", F.sha2("passage", 256))
+
+
 def scan(files: DataFrame, id_col: str = "id", path_col: str = "path", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``id``, ``path``, ``license``, ``score``, ``origin`` (own, inherited or null), ``of`` (the directory inherited from)."""
     picked = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.col(text_col).cast("string").alias("text"))
     found = staged(passages(picked), "license-passages")
     named = found.select("id", "key").join(scored(found, threshold=threshold), "key")
-    best = named.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("best"))
+    around = staged(blocks(picked), "license-blocks")
+    cut = staged(windows(around), "license-windows")
+    of_block = cut.select("block_key", "key").join(scored(cut, tuple((n, t) for n, t, _ in WINDOWED), threshold), "key").groupBy("block_key")
+    last = (F.col("license") == "Proprietary").alias("last")
+    of_block = of_block.agg(F.min(F.struct(last, (-F.col("score")).alias("minus"), "license")).alias("best"))
+    of_block = of_block.select("block_key", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("score"))
+    named = named.select("id", "license", "score").unionByName(around.select("id", "block_key").join(of_block, "block_key").drop("block_key"))
+    best = named.groupBy("id").agg(F.min(F.struct(last, (-F.col("score")).alias("minus"), "license")).alias("best"))
     own = staged(best.select("id", F.col("best.license").alias("own"), (-F.col("best.minus")).alias("own_score")), "license-own")
     folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", r"/[^/]*$", "")).otherwise(F.lit(""))
     placed = picked.select("id", "path", F.when(F.col("path").isNotNull(), folder).alias("folder"))
