@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, ngram_lm, packing, pii, quality, secrets, simhash, unigram
+from . import backoff_lm, exact_dedup, licenses, ngram_lm, packing, pii, quality, secrets, simhash, unigram
 from .common import documents, staged
 
 
@@ -68,6 +68,10 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.scores(documents(spark, sf_dir)).select("doc_id", "n_pairs", F.round("score", 6).alias("score"))
 
 
+def op10_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_lm.scores(documents(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_simhash": op9_simhash,
     "op10_lm_scores": op10_lm_scores,
+    "op10_backoff_scores": op10_backoff_scores,
 }
 
 QUALITY_SQL = r"""
