@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.schema import CHECKS, OUTCOMES, SUBJECTS
+from ..sources.staging import staged
 from .integrity import finding_key
 
 COMPARED = ("outcome", "reason", "required", "expected", "observed", "blocked_by", "caused_by")
@@ -25,6 +26,23 @@ def ordered(findings: DataFrame) -> DataFrame:
     return findings.orderBy(*rank_columns())
 
 
+def numbered(findings: DataFrame) -> DataFrame:
+    """``key``, ``place``: where each finding stands in the order, from 1.
+
+    Rows go to ranges of the order; a place is the row's number in its range and the
+    count of the ranges before, of which there are as many as partitions.
+    """
+    columns = [c.alias(f"by{k}") for k, c in enumerate(rank_columns())]
+    by = [f"by{k}" for k in range(len(columns))]
+    ranged = keyed(findings).select("key", *columns).repartitionByRange(*by).sortWithinPartitions(*by)
+    # the id holds the partition above bit 33 and the row's number below
+    ranged = staged(ranged.select("key", F.monotonically_increasing_id().alias("id")), "findings-order")
+    rows = ranged.select("key", F.shiftright("id", 33).alias("part"), F.col("id").bitwiseAND((1 << 33) - 1).alias("at"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = rows.groupBy("part").agg(F.count("*").alias("n")).select("part", before.alias("before"))
+    return rows.join(F.broadcast(start), "part").select("key", (F.col("at") + F.col("before") + 1).alias("place"))
+
+
 def roots(findings: DataFrame) -> DataFrame:
     """Required findings that failed or can't be told, and that no coverage caused."""
     return findings.where("required AND outcome IN ('FAIL', 'UNKNOWN') AND size(caused_by) = 0")

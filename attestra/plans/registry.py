@@ -427,11 +427,14 @@ def q_obligation_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT key, row_number() OVER (ORDER BY check_id, list_position(['snapshot','project','dataset','obligation','scope_row','inspection','artifact','approval','approval_item','unattributable_row'], subject_kind), subject_id, coalesce(code_suffix, '')) AS place
     FROM findings WHERE check_id IN ('R1', 'R7')"""))
 def q_findings_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = findings.keyed(assessed(spark, sf_dir)[2]).where("check_id IN ('R1', 'R7')")
-    # a report's numbering of the project-level findings; partitions by check keep it from one task
-    start = rows.groupBy("check_id").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("check_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("check_id").orderBy(*findings.rank_columns()))
-    return rows.withColumn("rank", place).join(start, "check_id").select("key", (F.col("rank") + F.col("before")).alias("place"))
+    return findings.numbered(assessed(spark, sf_dir)[2].where("check_id IN ('R1', 'R7')"))
+
+
+@register(oracle.over_chain("""
+    SELECT key, row_number() OVER (ORDER BY check_id, list_position(['snapshot','project','dataset','obligation','scope_row','inspection','artifact','approval','approval_item','unattributable_row'], subject_kind), subject_id, coalesce(code_suffix, '')) AS place
+    FROM findings"""))
+def q_all_findings_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.numbered(assessed(spark, sf_dir)[2])
 
 
 @register(oracle.over_shapes("SELECT coalesce(a.key, b.key) AS key, CASE WHEN a.key IS NULL THEN 'added' WHEN b.key IS NULL THEN 'removed' WHEN a.outcome = b.outcome AND a.reason = b.reason AND a.blocked = b.blocked THEN 'unchanged' ELSE 'changed' END AS change FROM before a FULL JOIN after b ON a.key = b.key",
@@ -444,6 +447,17 @@ def q_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.compare(run.where(number % 7 != 0), later).select("key", "change")
 
 
+@register(oracle.over_chain("""
+    , before AS (SELECT * FROM findings WHERE ascii(right(key, 1)) % 7 <> 0), after AS (SELECT * REPLACE (CASE WHEN reason = 'APPROVAL_REJECTED' THEN 'APPROVAL_REVOKED' ELSE reason END AS reason) FROM findings WHERE ascii(right(key, 1)) % 5 <> 0)
+    SELECT coalesce(a.key, b.key) AS key, CASE WHEN a.key IS NULL THEN 'added' WHEN b.key IS NULL THEN 'removed' WHEN a.outcome = b.outcome AND a.reason = b.reason AND a.blocked_by = b.blocked_by THEN 'unchanged' ELSE 'changed' END AS change
+    FROM before a FULL JOIN after b ON a.key = b.key""").replace("\n\n    , before", ",\n before").replace("\n    , before", ",\n before"))
+def q_compare_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = findings.keyed(assessed(spark, sf_dir)[2])
+    number = F.ascii(F.substring("key", -1, 1))
+    later = run.where(number % 5 != 0).withColumn("reason", F.when(F.col("reason") == "APPROVAL_REJECTED", "APPROVAL_REVOKED").otherwise(F.col("reason")))
+    return findings.compare(run.where(number % 7 != 0), later).select("key", "change")
+
+
 @register("SELECT o_custkey, CASE WHEN count(*) > 1 THEN min(o_orderkey) || ' (and ' || (count(*) - 1) || ' more)' ELSE CAST(min(o_orderkey) AS VARCHAR) END AS shown FROM (SELECT o_custkey, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS o_orderkey FROM orders) GROUP BY o_custkey")
 def q_first_and_more(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_custkey").agg(F.collect_list(F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("keys"))
