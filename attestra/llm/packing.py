@@ -10,11 +10,13 @@ on length and on the step that holds their rank within the length.
 
 Ranks are dealt without bringing a length together: pieces get a salt whose
 number grows with the length's count, each (length, salt) is ranked on its own,
-and running sums of their sizes give the first rank of each.
+and running sums of their sizes give the first rank of each. The salt comes from
+the number that a piece got when it was written, so equal rows spread as well.
 
-Edge cases: a null or empty text is one piece that holds the end token only.
-Repeated rows are documents of their own. Null ids are packed like others. Extra
-columns are ignored by ``pack``. An empty table gives an empty result.
+Edge cases: a null or empty text is one piece that holds the end token only; long
+runs of white space are encoded like any text. Repeated rows are documents of
+their own. Null ids are packed like others. Extra columns are ignored by
+``pack``. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import staged, str_texts
 
 RUN_OF_SPACE = re.compile(r"\s\s")
+#: tiktoken's pattern recurses over such runs and overflows its stack on very long ones.
+LONG_SPACE = re.compile(r"\s{1000}")
 #: Least rows that one (length, salt) group holds on average.
 SALTED = 256
 
@@ -51,7 +55,8 @@ class ByteBpe:
     tiktoken runs the merges over the file's vocabulary, at several times the
     speed and with the same ids. The pattern's look-ahead only matters where white
     space follows white space, so texts without that use the pattern without it.
-    A text that holds one of the file's added tokens goes to tokenizers itself.
+    A text that holds one of the file's added tokens or a long run of white space
+    goes to tokenizers itself.
     """
 
     def __init__(self, path: str):
@@ -70,10 +75,11 @@ class ByteBpe:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit bytes."""
-        if any(map(text.__contains__, self.added)):
+        runs = RUN_OF_SPACE.search(text)
+        if any(map(text.__contains__, self.added)) or (runs and LONG_SPACE.search(text, runs.start())):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         else:
-            ids = (self.any if RUN_OF_SPACE.search(text) else self.plain)(text)
+            ids = (self.any if runs else self.plain)(text)
         return array("I", ids).tobytes()
 
 
@@ -163,12 +169,12 @@ def plan(histogram: dict[int, int], capacity: int = 1024) -> tuple[list[Step], i
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``pieces`` with the ``sequence_id`` and ``offset`` that the plan gives each."""
-    made = staged(pieces(docs, tokenizer, end_id, capacity, id_col, text_col), "pieces")
-    return placed(made, capacity)
+    made = pieces(docs, tokenizer, end_id, capacity, id_col, text_col).withColumn("number", F.monotonically_increasing_id())
+    return placed(staged(made, "pieces"), capacity)
 
 
 def placed(made: DataFrame, capacity: int = 1024) -> DataFrame:
-    """Give slots to pieces; ``made`` has ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``."""
+    """Give slots to pieces; ``made`` has ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``, and ``number``, another for each row."""
     spark = made.sparkSession
     # at most `capacity` rows
     histogram = {r.length: r["count"] for r in made.groupBy("length").count().collect()}
@@ -178,11 +184,11 @@ def placed(made: DataFrame, capacity: int = 1024) -> DataFrame:
     salts = F.broadcast(spark.createDataFrame(sizes or [(0, 1)], "length long, salts long"))  # at most `capacity` rows
     schema = "length long, lo long, hi long, first long, each long, at long"
     slots = F.broadcast(spark.createDataFrame(steps or [Step(0, 0, 0, 0, 1, 0)], schema))  # a few rows for each length
-    salted = made.join(salts, "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), "salts"))
+    salted = made.join(salts, "length").withColumn("salt", F.pmod(F.xxhash64("number"), "salts"))
     groups = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     groups = groups.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
+    within = Window.partitionBy("length", "salt").orderBy("number")
     ranked = salted.withColumn("rank", F.row_number().over(within) - 1).join(groups, ["length", "salt"])
     ranked = ranked.withColumn("rank", F.col("rank") + F.col("base"))
     out = ranked.join(slots, (ranked.length == slots.length) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))).drop(slots.length)

@@ -22,6 +22,18 @@ def test_ids_equal_the_tokenizers_library():
     assert [own.encode(t) for t in texts] == want
 
 
+def test_long_runs_of_space():
+    library, own = Tokenizer.from_file(PATH), packing.ByteBpe(PATH)
+    for text in (" " * 10**6, "\n" * 10**6, "a  b" + " " * 10**6 + "c d", "x" + " \n\t\r" * 250_000 + "y  z", " " * 999 + "a" + " " * 1001):
+        assert own.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_equal_rows_without_ids_spread(spark):
+    made = spark.range(2000).selectExpr("CAST(NULL AS LONG) AS doc_id", "0 AS piece", "0L AS start", "1L AS length", "7L AS ids_crc32", "id AS number")
+    rows = packing.placed(made, 16).collect()
+    assert len({(r.sequence_id, r.offset) for r in rows}) == 2000
+
+
 def test_plan_fills_without_gaps():
     rng = random.Random(4)
     for _ in range(60):
@@ -82,7 +94,7 @@ def test_pieces_and_places(spark):
 
 
 def test_hot_length_is_salted_and_ranked_once(spark):
-    made = spark.range(3000).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "IF(id % 3 = 0, 5L, 1 + id % 7) AS length", "id AS ids_crc32")
+    made = spark.range(3000).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "IF(id % 3 = 0, 5L, 1 + id % 7) AS length", "7L AS ids_crc32", "id AS number")
     rows = packing.placed(made, 16).collect()
     assert len(rows) == 3000 and len({(r.sequence_id, r.offset) for r in rows}) == 3000
 

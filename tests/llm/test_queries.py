@@ -78,3 +78,12 @@ def test_stages_keep_the_columns_of_documents(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, str(DATA))
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_stages_survive_a_megabyte_of_white_space(spark):
+    prose = " ".join(f"word{k} of line{k}," for k in range(40))
+    rows = [(1, f"{prose}{' ' * 10**6}{prose[::-1]}", "en", "s", 0), (2, prose + "\n" * 10**6, "en", "s", 0), (3, " " * 10**6, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(DATA))
+    assert {r.doc_id for r in docs.select("doc_id").distinct().collect()} == {1, 2}
