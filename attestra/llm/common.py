@@ -15,9 +15,11 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder for cut lineage; a local one only where it is unset."""
+    """The cluster's shared folder for cut lineage; a local one only where it is unset and Spark runs in this one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="attestra-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -37,6 +39,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def bounded_broadcast(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """A staged table of narrow rows, to be broadcast if it has at most ``rows`` of them; else Spark joins it as it sees fit."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

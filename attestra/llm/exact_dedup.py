@@ -3,11 +3,14 @@
 The index is a table bucketed and sorted by digest, one row per distinct text.
 New documents are reduced to one row per digest before they meet the index, so a
 text that fills a third of the input is a single row there; a sort-merge
-anti-join finds the digests that are new, and these are appended.
+anti-join finds the digests that are new, and these are appended. Digests that an
+earlier batch brought go to a second table of the same shape, so that sizes and
+the best row of each text can be told over all batches.
 
 Texts are equal when identical after deleting every ASCII white space character.
 Of equal texts, the row with the most code points in its original text stays,
-then the smallest id. A text that an earlier batch brought keeps that batch's row.
+then the smallest id. ``dedupe`` takes batches as they come: a text that an
+earlier batch brought keeps that batch's row. ``standing`` looks at all batches.
 
 Edge cases: a null text is an empty one. A null id is larger than any other.
 Rows repeated with the same id and text have one winner among them in ``kept``
@@ -24,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, staged
+from .common import ASCII_SPACE, bounded_broadcast, staged
 
 
 def text_digest(text: Column) -> Column:
@@ -40,57 +43,103 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 class DigestIndex:
-    """A table (digest, keep_id, chars, batch), bucketed and sorted by digest."""
+    """A table (digest, keep_id, chars, n, batch), bucketed and sorted by digest, and one like it for digests met again.
+
+    Both are tables of the session's catalogue, in its warehouse. To outlive the
+    session they need a persistent catalogue, and on a cluster a shared warehouse.
+    Batch names are given once; a batch run again after a failure appends nothing twice.
+    """
+
+    COLUMNS = "digest string, keep_id long, chars int, n long, batch string"
 
     def __init__(self, spark: SparkSession, table: str, buckets: int = 64):
-        self.spark, self.table, self.buckets = spark, table, buckets
+        self.spark, self.table, self.again, self.buckets = spark, table, f"{table}_again", buckets
 
-    def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.table)
+    def _append(self, rows: DataFrame, table: str) -> None:
+        # one file a bucket and batch, not one a bucket and task
+        rows = rows.select("digest", "keep_id", "chars", "n", "batch").repartition(self.buckets, "digest")
+        rows.write.mode("append").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(table)
 
-    def append(self, groups: DataFrame, batch: str) -> None:
-        rows = groups.select("digest", "keep_id", "chars", F.lit(batch).alias("batch"))
-        # one file a bucket, not one a bucket and task
-        rows = rows.repartition(self.buckets, "digest")
-        rows.write.mode("append").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
+    def create(self) -> None:
+        """Empty tables, unless they are there."""
+        for table in (self.table, self.again):
+            if not self.spark.catalog.tableExists(table):
+                self._append(self.spark.createDataFrame([], self.COLUMNS), table)
 
     def add(self, rows: DataFrame, batch: str) -> DataFrame:
-        """Append the digests of ``rows`` (as ``digests`` gives them) that are new.
+        """Send ``rows`` (as ``digests`` gives them) through the anti-join with the index and append what is new.
 
-        Returns ``doc_id``, ``digest``, ``keep_id``, ``group_size`` (in this
-        batch), ``kept`` for each row. A batch name that is there already appends
-        nothing more, so a job that is run again after a failure is safe.
+        Returns ``digest``, ``keep_id``, ``chars``, ``n`` of the batch: one row for each
+        distinct text, so a text that fills a third of the batch meets the index once.
         """
-        best = F.struct(F.col("chars"), F.when(F.col("doc_id").isNotNull(), -F.col("doc_id")).alias("by"))
-        groups = rows.groupBy("digest").agg(
-            F.max_by("doc_id", best).alias("keep_id"), F.max("chars").alias("chars"), F.count("*").alias("group_size")
-        )
-        groups = staged(groups, "digest-groups")
-        if not self.exists():
-            self.append(groups, batch)
-        else:
-            known = self.spark.table(self.table).select("digest")
-            self.append(groups.join(known.hint("merge"), "digest", "left_anti"), batch)
-        index = self.spark.table(self.table).select("digest", "keep_id", F.col("batch").alias("of"))
-        found = groups.select("digest", "group_size").join(index.hint("merge"), "digest")
-        found = staged(found, "digest-winners")
-        # a hot digest is split here by adaptive execution: plain rows on the left, one row a digest on the right
-        out = rows.join(found, "digest")
-        return out.select("doc_id", "digest", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("of") == batch)).alias("kept"))
+        self.create()
+        # a larger id has a smaller complement, and no id overflows
+        best = F.struct(F.col("chars"), F.bitwise_not("doc_id").alias("by"))
+        groups = rows.groupBy("digest").agg(F.max_by("doc_id", best).alias("keep_id"), F.max("chars").alias("chars"), F.count("*").alias("n"))
+        groups = staged(groups.withColumn("batch", F.lit(batch)), "digest-groups")
+        known = self.spark.table(self.table).select("digest", F.col("batch").alias("of"))
+        self._append(groups.join(known.hint("merge"), "digest", "left_anti"), self.table)
+        seen = self.spark.table(self.again).where(F.col("batch") == batch).select("digest")
+        more = groups.join(known.where(F.col("of") != batch).hint("merge"), "digest", "left_semi")
+        self._append(more.join(seen.hint("merge"), "digest", "left_anti"), self.again)
+        return groups
+
+    def first(self) -> DataFrame:
+        """``digest``, ``keep_id``, ``batch``: the row that brought each text."""
+        return self.spark.table(self.table).select("digest", "keep_id", "batch")
+
+    def standing(self) -> DataFrame:
+        """``digest``, ``keep_id``, ``group_size``: the best row of each text over all batches, and how many there were."""
+        rank = lambda keep, chars: F.struct(F.col(chars), F.bitwise_not(keep).alias("by"))
+        more = self.spark.table(self.again).groupBy("digest").agg(
+            F.max_by("keep_id", rank("keep_id", "chars")).alias("keep_more"), F.max("chars").alias("chars_more"), F.sum("n").alias("n_more")
+        )
+        # both are bucketed by digest, so nothing is shuffled
+        both = self.spark.table(self.table).join(more.hint("merge"), "digest", "left")
+        later = F.col("n_more").isNotNull() & (rank("keep_more", "chars_more") > rank("keep_id", "chars"))
+        return both.select("digest", F.when(later, F.col("keep_more")).otherwise(F.col("keep_id")).alias("keep_id"), (F.col("n") + F.coalesce("n_more", F.lit(0))).alias("group_size"))
+
+    def compact(self) -> None:
+        """Write both tables anew, one sorted file a bucket; every batch has added its own."""
+        for table in (self.table, self.again):
+            fresh = f"{table}_{uuid.uuid4().hex}"
+            # the files themselves: a bucketed scan would pass for sorted out already
+            files = self.spark.table(table).inputFiles()
+            rows = self.spark.read.schema(self.COLUMNS).parquet(*files) if files else self.spark.createDataFrame([], self.COLUMNS)
+            self._append(rows, fresh)
+            self.spark.sql(f"DROP TABLE {table}")
+            self.spark.sql(f"ALTER TABLE {fresh} RENAME TO {table}")
 
     def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        for table in (self.table, self.again):
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
 def new_table_name(prefix: str = "exact_dedup_index") -> str:
     return f"{prefix}_{uuid.uuid4().hex}"
 
 
+def members(rows: DataFrame, standing: DataFrame) -> DataFrame:
+    """``doc_id``, ``digest``, ``keep_id``, ``group_size``, ``kept`` of each of ``rows``.
+
+    A hot digest is split by adaptive execution: plain rows on the left, one row a digest on the right.
+    """
+    return rows.join(standing, "digest").select("doc_id", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
+
+
 def dedupe(docs: DataFrame, index: DigestIndex, batch: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text is new to ``index``, one for each text."""
+    """The rows of ``docs`` whose text is new to ``index``, one for each text.
+
+    Texts don't travel where the rows to drop are few enough to be broadcast; else they meet in one merge join.
+    """
     narrow = staged(digests(docs, id_col, text_col), "digests")
-    winners = index.add(narrow, batch).where("kept").select(F.col("doc_id").alias("__keep"), F.col("digest").alias("__of"))
-    winners = staged(winners.distinct(), "digest-kept")
+    index.add(narrow, batch)
+    same = narrow.groupBy("digest", "doc_id").agg(F.count("*").alias("copies"))
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("batch") == batch)
+    told = same.join(index.first(), "digest").select(F.col("digest").alias("__of"), F.col("doc_id").alias("__who"), stays.alias("__stays"), "copies")
+    told = staged(told.where(~F.col("__stays") | (F.col("copies") > 1)), "digest-told")
     rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).alias("__id"), text_digest(F.col(text_col)).alias("__digest"))
-    kept = rows.join(winners, (F.col("__digest") == F.col("__of")) & F.col("__id").eqNullSafe(F.col("__keep")), "left_semi")
-    return kept.dropDuplicates(["__digest", "__id"]).select("__row.*")
+    met = rows.join(bounded_broadcast(told), (F.col("__digest") == F.col("__of")) & F.col("__id").eqNullSafe(F.col("__who")), "left")
+    # only rows that repeat an id with its text are still more than one
+    once = met.where("__stays").dropDuplicates(["__digest", "__id"])
+    return met.where("__stays IS NULL").unionByName(once).select("__row.*")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, staged
+from .common import bounded_broadcast, byte_texts, staged
 
 #: (lowest bit, width) of the bands; a radius of 3 leaves two of five intact.
 BANDS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
@@ -286,6 +286,6 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     repeated rows of the id that stays.
     """
     found = near_duplicates(docs, id_col, text_col)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = staged(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-duplicates")
     rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).cast("long").alias("__id"))
-    return rows.join(gone, F.col("__id") == F.col("__gone"), "left_anti").select("__row.*")
+    return rows.join(bounded_broadcast(gone), F.col("__id") == F.col("__gone"), "left_anti").select("__row.*")

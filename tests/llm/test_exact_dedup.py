@@ -16,13 +16,47 @@ def brute(rows):
 
 def test_groups_and_winners(spark):
     index = exact_dedup.DigestIndex(spark, exact_dedup.new_table_name(), buckets=4)
-    got = index.add(exact_dedup.digests(cases.odd(spark)), "a").collect()
+    rows = exact_dedup.digests(cases.odd(spark))
+    index.add(rows, "a")
+    got = exact_dedup.members(rows, index.standing()).collect()
     want = brute(cases.ODD)
     assert {r.digest: (r.keep_id, r.group_size) for r in got} == want
     assert all(r.kept == (r.doc_id == want[r.digest][0]) for r in got)
     index.drop()
 
 
+def test_batches_in_any_order_give_one_answer(spark):
+    want = brute(cases.ODD)
+    for cut in (1, 4, 9):
+        index = exact_dedup.DigestIndex(spark, exact_dedup.new_table_name(), buckets=4)
+        for name, part in (("b", cases.ODD[cut:]), ("a", cases.ODD[:cut]), ("a", cases.ODD[:cut])):  # one of them twice, as after a failure
+            index.add(exact_dedup.digests(spark.createDataFrame(part, cases.TEXT)), name)
+        assert {r.digest: (r.keep_id, r.group_size) for r in index.standing().collect()} == want
+        index.compact()
+        assert {r.digest: (r.keep_id, r.group_size) for r in index.standing().collect()} == want
+        assert len({f.rsplit("_", 1)[-1] for f in spark.table(index.table).inputFiles()}) == len(spark.table(index.table).inputFiles())  # one file a bucket
+        index.drop()
+
+
+def test_new_rows_meet_the_index_in_a_merge_anti_join(spark, capfd):
+    index = exact_dedup.DigestIndex(spark, exact_dedup.new_table_name(), buckets=4)
+    index.create()
+    known = spark.table(index.table).select("digest")
+    groups = exact_dedup.digests(cases.odd(spark)).groupBy("digest").count()
+    groups.join(known.hint("merge"), "digest", "left_anti").explain()
+    plan = capfd.readouterr().out
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan and plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    index.drop()
+
+
+def test_repeated_rows_and_the_least_id(spark):
+    index = exact_dedup.DigestIndex(spark, exact_dedup.new_table_name(), buckets=4)
+    rows = [(-(2**63), "x"), (None, "x"), (3, "x"), (None, "y"), (None, "y"), (5, "z"), (5, "z"), (5, "zz")]
+    out = exact_dedup.dedupe(spark.createDataFrame(rows, "doc_id long, text string"), index, "a").collect()
+    assert sorted(out, key=str) == sorted([(-(2**63), "x"), (None, "y"), (5, "z"), (5, "zz")], key=str)
+    index.drop()
+
+
 def test_second_batch_meets_the_index(spark):
     index = exact_dedup.DigestIndex(spark, exact_dedup.new_table_name(), buckets=4)
     first = exact_dedup.dedupe(cases.odd(spark), index, "a")
