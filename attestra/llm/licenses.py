@@ -1,63 +1,62 @@
 """Licences of files: TF-IDF against templates, then inheritance from directories (DataFrame operations only).
 
-A header is any stretch of a line around a licence cue, anywhere in a file; a
-licence file (by its name) also counts as a whole. Equal passages are scored
-once. A notice may also stand inside a longer line or run over several: blocks of
-words with a cue in them are cut into overlapping windows of each template's length
-that hold its rarest words, scored by the same cosine against more templates
-(standard headers, titles and key clauses of licence texts, SPDX ids). Passages and templates are sparse vectors of words weighted
-``(1 + ln tf) * idf``, with idf over the templates (a word that no template has
-gets the largest); only a passage's own words are ever looked up. The best cosine
-of at least ``threshold`` names the file's licence, ties going to the first name; "all
-rights reserved" names it only if nothing else does.
+One pass over the texts keeps, of each file that names a licence at all, the
+blocks of words around its cues; a licence file (by its name) is kept whole as
+well. Where a block holds the words that a notice needs, a window of the notice's
+length is cut so that the notice's rarest word falls where the notice has it:
+notices inside lines, over several lines and beside each other each get windows of
+their own, and a notice word for word scores 1. Windows and whole licence files are
+sparse vectors of words weighted ``(1 + ln tf) * idf``, with idf over the templates (a
+word that no template has gets the largest); equal ones are scored once, by
+joining their words with the templates' postings. The best cosine of at least
+``threshold`` names the file's licence, ties going to the first name; a licence file that
+is close to a licence's own text (``CLOSE``) takes that licence whatever its parts say, and
+"all rights reserved" names a licence only if nothing else does.
 
 A file without a licence takes that of the nearest directory above it, or its
 own, that holds a licence file: directories are listed once, each joined to its
 ancestors by path, and files join their directory.
 
-Edge cases: null or empty texts have no licence of their own; a null path has no
-directory and inherits nothing; repeated rows stay repeated rows; extra columns
-are ignored. An empty table gives an empty result.
+Edge cases: files are told apart by a number of their own, so null and repeated
+ids are files like any other; null or empty texts have no licence of their own; a
+null path has no directory and inherits nothing; extra columns are ignored. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
 
-#: Licence notices.
-TEMPLATES = (
-    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("Apache-2.0", "SPDX License Identifier Apache 2.0"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("BSD-3-Clause", "Released under the BSD License"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY NC 4.0"),
-    ("CC-BY-SA-4.0", "Licensed under CC BY SA 4.0"),
-    ("CC0-1.0", "Dedicated to the public domain under CC0 1.0"),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3"),
-    ("MIT", "Released under the MIT License"),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
-    ("MIT", "SPDX License Identifier MIT"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0"),
-    ("Proprietary", "All rights reserved"),
-    ("Unlicense", "This is free and unencumbered software released into the public domain"),
-)
 GNU = "{} under the terms of the GNU {} Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version"
 FREE = "This program is free software: you can redistribute it and/or modify it"
 SPDX = ("AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense")
-#: Licence, notice and the words that a window must hold to be tried: fixed values as well.
-WINDOWED = (
-    *((name, text, {"AGPL-3.0": "affero 3", "Apache-2.0": "apache 2.0", "CC0-1.0": "cc0", "GPL-2.0": "gnu 2", "GPL-3.0": "gnu 3", "LGPL-3.0": "lesser 3", "MPL-2.0": "mozilla 2.0", "Proprietary": "all rights reserved", "Unlicense": "unencumbered"}.get(name, need))
-      for (name, text), need in zip(TEMPLATES, ("", "", "", "redistribution binary", "bsd", "cc by 4.0", "cc by nc 4.0", "cc by sa 4.0", "", "", "", "", "mit", "permission granted charge", "spdx mit", "", "", ""), strict=True)),
+#: Licence, notice (standard headers, titles, key clauses, SPDX ids), and the words that a window must hold to be tried.
+NOTICES = (
+    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3", "affero 3"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0", "apache 2.0"),
+    ("Apache-2.0", "SPDX License Identifier Apache 2.0", "apache 2.0"),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "redistribution binary"),
+    ("BSD-3-Clause", "Released under the BSD License", "bsd"),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0", "cc by 4.0"),
+    ("CC-BY-NC-4.0", "Licensed under CC BY NC 4.0", "cc by nc 4.0"),
+    ("CC-BY-SA-4.0", "Licensed under CC BY SA 4.0", "cc by sa 4.0"),
+    ("CC0-1.0", "Dedicated to the public domain under CC0 1.0", "cc0"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2", "gnu 2"),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3", "gnu 3"),
+    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3", "lesser 3"),
+    ("MIT", "Released under the MIT License", "mit"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "permission granted charge"),
+    ("MIT", "SPDX License Identifier MIT", "spdx mit"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0", "mozilla 2.0"),
+    ("Proprietary", "All rights reserved", "all rights reserved"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain", "unencumbered"),
     *((name, f"SPDX License Identifier {name}", f"spdx {name}") for name in SPDX),
     ("AGPL-3.0", GNU.format(FREE, "Affero General", 3), "affero 3"),
     ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007", "affero 3"),
@@ -83,13 +82,24 @@ WINDOWED = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/", "mozilla 2.0"),
     ("MPL-2.0", "Mozilla Public License Version 2.0", "mozilla 2.0"),
 )
-#: Words of a block, no fewer than the longest template's.
+AS_IS = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+TWO = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+#: licences' own texts, for licence files. Others are compared by ``NOTICES`` alone, or by texts given as a parameter.
+TEXTS = (
+    ("BSD-2-Clause", f"Copyright (c) All rights reserved. {TWO} {AS_IS}"),
+    ("BSD-3-Clause", f"Copyright (c) All rights reserved. {TWO} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {AS_IS}"),
+    ("ISC", """ISC License Copyright (c) Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("MIT", """MIT License Copyright (c) Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("Unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <https://unlicense.org>"""),
+)
+#: Words of a block, no fewer than the longest notice's.
 BLOCK = 64
 CUE_WORD = r"licen[sc]e|copyright|spdx|^(?:rights|reserved|domain|commons|hereby|redistribution)$"
 CUE = r"(?i)licen[sc]e|copyright|spdx|rights reserved|public domain|creative commons|permission is hereby|redistribution and use"
-PASSAGE = r"[^\n]{0,160}(?:" + CUE + r")[^\n]{0,160}"
 LICENCE_FILE = r"(?i)(?:^|/)(?:licen[sc]e|unlicense|copying|notice)(?:\.[a-z]+)?$"
 THRESHOLD = 0.6
+#: Cosine from which a whole licence file takes the licence of the text that it is near to.
+CLOSE = 0.9
 
 
 def words(text: str) -> list[str]:
@@ -104,84 +114,105 @@ def bare(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(one, r"\.+(?: |$)", " "), " +", " "))
 
 
-def template_vectors(templates: tuple[tuple[str, str], ...] = TEMPLATES) -> tuple[dict[str, tuple[float, list[float]]], float]:
-    """word -> (idf, its weight in each unit-length template), and the idf of a word that no template has."""
-    counts = [Counter(words(t)) for _, t in templates]
+@lru_cache(maxsize=4)
+def template_vectors(texts: tuple[tuple[str, str], ...] = TEXTS) -> tuple[dict[str, float], list[tuple[str, int, str, float]], float]:
+    """Idf of each word of the notices and texts, their postings (word, template, licence, weight in its unit-length vector), and the idf of any other word."""
+    templates = [(name, words(text)) for name, text, *_ in (*NOTICES, *texts)]
+    counts = [Counter(ws) for _, ws in templates]
     seen = Counter(w for c in counts for w in c)
     idf = {w: 1 + math.log((1 + len(templates)) / (1 + n)) for w, n in seen.items()}
-    weights = [{w: (1 + math.log(n)) * idf[w] for w, n in c.items()} for c in counts]
-    sizes = [math.sqrt(sum(x * x for x in v.values())) for v in weights]
-    return {w: (idf[w], [v.get(w, 0.0) / s for v, s in zip(weights, sizes, strict=True)]) for w in idf}, 1 + math.log(1 + len(templates))
-
-
-def passages(files: DataFrame) -> DataFrame:
-    """``id``, ``passage`` (bare), ``key`` (its hash) of every header and licence file; ``files`` has ``id``, ``path``, ``text``."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    headers = F.regexp_extract_all(text, F.lit(PASSAGE), F.lit(0))
-    whole = F.when(F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False)), F.array(text)).otherwise(F.array().cast("array<string>"))
-    found = F.when(text.rlike(CUE), F.concat(headers, whole)).otherwise(whole)
-    out = files.select("id", F.explode(found).alias("p")).select("id", bare(F.col("p")).alias("passage")).where("passage <> ''")
-    return out.withColumn("key", F.sha2("passage", 256))
-
-
-def scored(found: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """``key``, ``license``, ``score`` of distinct passages that reach the threshold; words travel with the key only."""
-    vectors, unseen = template_vectors(templates)
-    spark = found.sparkSession
-    table = spark.createDataFrame([(w, idf, v) for w, (idf, v) in vectors.items()], "word string, idf double, weights array<double>")
-    terms = found.groupBy("key").agg(F.first("passage").alias("passage")).select("key", F.explode(F.split("passage", " ")).alias("word"))
-    terms = terms.groupBy("key", "word").agg(F.count("*").alias("tf")).join(F.broadcast(table), "word", "left")  # a few hundred words
-    w = (1 + F.log("tf")) * F.coalesce("idf", F.lit(unseen))
-    sums = terms.withColumn("w", w).groupBy("key").agg(
-        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"),
-        *[F.sum(F.col("w") * F.coalesce(F.get("weights", F.lit(k)), F.lit(0.0))).alias(f"dot{k}") for k in range(len(templates))],
-    )
-    rank = [F.struct((-F.round(F.col(f"dot{k}") / F.col("size"), 6)).alias("minus"), F.lit(name).alias("license")) for k, (name, _) in enumerate(templates)]
-    best = sums.select("key", F.array_min(F.array(*rank)).alias("best"))
-    return best.select("key", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("score")).where(F.col("score") >= threshold)
+    postings = []
+    for k, ((name, _), c) in enumerate(zip(templates, counts, strict=True)):
+        weights = {w: (1 + math.log(n)) * idf[w] for w, n in c.items()}
+        size = math.sqrt(sum(x * x for x in weights.values()))
+        postings += [(w, k, name, x / size) for w, x in weights.items()]
+    return idf, postings, 1 + math.log(1 + len(templates))
+
 
+def anchors() -> list[tuple[str, list[int], int, list[str]]]:
+    """Of each notice the rarest of the words that it needs, its places, the notice's length, and the words."""
+    split = [(words(text), words(need)) for _, text, need in NOTICES]
+    rare = Counter(w for ws, _ in split for w in set(ws))
+    out = []
+    for ws, need in split:
+        anchor = min(need, key=lambda w: (rare[w], w))
+        out.append((anchor, [i for i, w in enumerate(ws) if w == anchor], len(ws), need))
+    return out
 
-def blocks(files: DataFrame) -> DataFrame:
-    """``id``, ``block``, ``block_key``: each stretch of ``BLOCK`` words with a cue, and the stretches beside it; at most three times the text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    split = files.where(text.rlike(CUE)).select("id", F.split(bare(text), " ").alias("ws"))
+
+def marked(files: DataFrame, id_col: str, path_col: str, text_col: str) -> DataFrame:
+    """``row``, ``id``, ``path``, ``blocks`` (words around cues, each with the stretches of ``BLOCK`` words beside it), ``whole`` (a licence file's words).
+
+    At most three times the text of files with cues everywhere; null or empty for all others.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    is_file = F.coalesce(F.col(path_col).rlike(LICENCE_FILE), F.lit(False))
+    picked = files.select(
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(path_col).alias("path"), is_file.alias("is_file"),
+        F.when(text.rlike(CUE) | is_file, bare(text)).alias("bare"),
+    ).withColumn("ws", F.split("bare", " "))
     cues = F.filter(F.transform("ws", lambda w, i: F.when(w.rlike(CUE_WORD), F.floor(i / BLOCK).cast("int"))), lambda x: x.isNotNull())
     cut = lambda b: F.array_join(F.slice("ws", F.greatest((b - 1) * BLOCK, F.lit(0)) + 1, F.when(b > 0, 3 * BLOCK).otherwise(2 * BLOCK)), " ")
-    out = split.select("id", F.explode(F.transform(F.array_distinct(cues), cut)).alias("block"))
-    return out.withColumn("block_key", F.sha2("block", 256))
+    return picked.select("row", "id", "path", F.transform(F.array_distinct(cues), cut).alias("blocks"), F.when(F.col("is_file") & (F.col("bare") != ""), F.col("bare")).alias("whole"))
+
+
+def windows(blocks: DataFrame) -> DataFrame:
+    """``block_key``, ``passage``: windows of the distinct blocks (``block_key``, ``block``), one for each way to lay a notice's anchor on a word."""
+    known = anchors()
+    spark = blocks.sparkSession
+    table = spark.createDataFrame(known, "word string, offsets array<int>, length int, need array<string>")  # some seventy rows
+    listed = F.array(*map(F.lit, sorted({a for a, *_ in known})))
+    once = blocks.groupBy("block_key").agg(F.first("block").alias("block")).select("block_key", F.split("block", " ").alias("ws"))
+    places = F.filter(F.transform("ws", lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: F.array_contains(listed, x["word"]))
+    laid = once.select("block_key", "ws", F.explode(places).alias("x")).select("block_key", "ws", "x.at", "x.word").join(F.broadcast(table), "word")
+    laid = laid.select("block_key", "ws", "length", "need", "at", F.explode("offsets").alias("offset"))
+    cut = laid.select("block_key", "need", F.slice("ws", F.greatest(F.col("at") - F.col("offset"), F.lit(0)) + 1, F.col("length")).alias("w"))
+    return cut.where(F.size(F.array_except("need", "w")) == 0).select("block_key", F.array_join("w", " ").alias("passage")).distinct()
+
+
+def scored(passages: DataFrame, texts: tuple[tuple[str, str], ...] = TEXTS, threshold: float = THRESHOLD) -> DataFrame:
+    """``key``, ``license``, ``score`` of distinct ``passage``s that reach the threshold; words travel with the key only."""
+    idf, postings, unseen = template_vectors(texts)
+    spark = passages.sparkSession
+    weights = F.broadcast(spark.createDataFrame(list(idf.items()), "word string, idf double"))  # the templates' words
+    posted = F.broadcast(spark.createDataFrame(postings, "word string, k int, license string, weight double"))
+    once = passages.groupBy("key").agg(F.first("passage").alias("passage"))
+    terms = once.select("key", F.explode(F.split("passage", " ")).alias("word")).groupBy("key", "word").agg(F.count("*").alias("tf"))
+    terms = terms.join(weights, "word", "left").select("key", "word", ((1 + F.log("tf")) * F.coalesce("idf", F.lit(unseen))).alias("w"))
+    terms = staged(terms, "license-terms")
+    sizes = terms.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
+    dots = terms.join(posted, "word").groupBy("key", "k", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    both = dots.join(sizes, "key").select("key", F.struct((-F.round(F.col("dot") / F.col("size"), 6)).alias("minus"), "license").alias("rank"))
+    best = both.groupBy("key").agg(F.min("rank").alias("best"))
+    return best.select("key", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("score")).where(F.col("score") >= threshold)
 
 
-def windows(found: DataFrame) -> DataFrame:
-    """``block_key``, ``passage``, ``key``: overlapping windows of the distinct blocks, of the length of each template whose words they hold."""
-    rows = [(len(words(text)), words(need)) for _, text, need in WINDOWED]
-    table = found.sparkSession.createDataFrame(sorted({(n, max(1, n // 8), tuple(need)) for n, need in rows}), "length int, step int, need array<string>")
-    once = found.groupBy("block_key").agg(F.first("block").alias("block")).select("block_key", F.split("block", " ").alias("ws"))
-    holds = lambda ws: F.size(F.array_except("need", ws)) == 0
-    tried = once.crossJoin(F.broadcast(table)).where(holds("ws"))  # some fifty templates
-    starts = F.sequence(F.lit(1), F.size("ws"), F.col("step"))
-    cut = F.filter(F.transform(starts, lambda at: F.slice("ws", at, F.col("length"))), holds)
-    out = tried.select("block_key", F.explode(cut).alias("w")).select("block_key", F.array_join("w", " ").alias("passage")).distinct()
-    return out.withColumn("key", F.sha2("passage", 256))
+def _rank(close: Column | None = None) -> Column:
+    """What sorts the best licence first."""
+    first = F.lit(1) if close is None else F.when(close, 0).otherwise(1)
+    return F.struct(first.alias("first"), (F.col("license") == "Proprietary").alias("last"), (-F.col("score")).alias("minus"), "license")
 
 
-def scan(files: DataFrame, id_col: str = "id", path_col: str = "path", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def scan(
+    files: DataFrame, id_col: str = "id", path_col: str = "path", text_col: str = "text", threshold: float = THRESHOLD, texts: tuple[tuple[str, str], ...] = TEXTS
+) -> DataFrame:
     """``id``, ``path``, ``license``, ``score``, ``origin`` (own, inherited or null), ``of`` (the directory inherited from)."""
-    picked = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.col(text_col).cast("string").alias("text"))
-    found = staged(passages(picked), "license-passages")
-    named = found.select("id", "key").join(scored(found, threshold=threshold), "key")
-    around = staged(blocks(picked), "license-blocks")
-    cut = staged(windows(around), "license-windows")
-    of_block = cut.select("block_key", "key").join(scored(cut, tuple((n, t) for n, t, _ in WINDOWED), threshold), "key").groupBy("block_key")
-    last = (F.col("license") == "Proprietary").alias("last")
-    of_block = of_block.agg(F.min(F.struct(last, (-F.col("score")).alias("minus"), "license")).alias("best"))
-    of_block = of_block.select("block_key", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("score"))
-    named = named.select("id", "license", "score").unionByName(around.select("id", "block_key").join(of_block, "block_key").drop("block_key"))
-    best = named.groupBy("id").agg(F.min(F.struct(last, (-F.col("score")).alias("minus"), "license")).alias("best"))
-    own = staged(best.select("id", F.col("best.license").alias("own"), (-F.col("best.minus")).alias("own_score")), "license-own")
+    rows = staged(marked(files, id_col, path_col, text_col), "license-rows")
+    around = rows.select("row", F.explode("blocks").alias("block")).select("row", "block", F.sha2("block", 256).alias("block_key"))
+    cut = windows(around).select(F.col("block_key").alias("of"), "passage")
+    whole = rows.where("whole IS NOT NULL").select("row", F.col("whole").alias("passage"))
+    cut = staged(cut.withColumn("key", F.sha2("passage", 256)), "license-windows")
+    whole = whole.withColumn("key", F.sha2("passage", 256))
+    named = staged(scored(cut.select("key", "passage").unionByName(whole.select("key", "passage")), texts, threshold), "license-scores")
+    of_block = cut.select("of", "key").join(named, "key").groupBy("of").agg(F.min(_rank()).alias("rank"))
+    found = around.select("row", F.col("block_key").alias("of")).join(of_block, "of").select("row", "rank")
+    found = found.unionByName(whole.select("row", "key").join(named, "key").select("row", _rank(F.col("score") >= CLOSE).alias("rank")))
+    best = found.groupBy("row").agg(F.min("rank").alias("best"))
+    own = staged(best.select("row", F.col("best.license").alias("own"), (-F.col("best.minus")).alias("own_score")), "license-own")
     folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", r"/[^/]*$", "")).otherwise(F.lit(""))
-    placed = picked.select("id", "path", F.when(F.col("path").isNotNull(), folder).alias("folder"))
+    placed = rows.select("row", "id", "path", F.when(F.col("path").isNotNull(), folder).alias("folder"))
     # as the licence files have licences of their own, they are few
-    of_folder = placed.where(F.col("path").rlike(LICENCE_FILE)).join(own, "id").groupBy("folder")
+    of_folder = placed.where(F.col("path").rlike(LICENCE_FILE)).join(own, "row").groupBy("folder")
     of_folder = of_folder.agg(F.min(F.struct((-F.col("own_score")).alias("minus"), F.col("own").alias("license"))).alias("best"))
     of_folder = of_folder.select(F.col("folder").alias("above"), F.col("best.license").alias("given"), (-F.col("best.minus")).alias("given_score"))
     folders = placed.select("folder").where("folder IS NOT NULL").distinct()
@@ -189,7 +220,7 @@ def scan(files: DataFrame, id_col: str = "id", path_col: str = "path", text_col:
     above = folders.select("folder", F.explode(F.sequence(F.lit(0), F.size(parts))).alias("depth"))
     above = above.select("folder", "depth", F.array_join(F.slice(parts, F.lit(1), F.col("depth")), "/").alias("above"))
     nearest = above.join(of_folder, "above").groupBy("folder").agg(F.max_by(F.struct("above", "given", "given_score"), "depth").alias("near"))
-    out = placed.join(own, "id", "left").join(nearest, "folder", "left")
+    out = placed.join(own, "row", "left").join(nearest, "folder", "left")
     return out.select(
         "id", "path", F.coalesce("own", "near.given").alias("license"), F.coalesce("own_score", "near.given_score").alias("score"),
         F.when(F.col("own").isNotNull(), "own").when(F.col("near").isNotNull(), "inherited").alias("origin"),
@@ -210,38 +241,51 @@ def documents_as_files(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """DuckDB SQL for ``scan`` of ``documents_as_files``."""
-    rows = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(TEMPLATES))
+    """DuckDB SQL for ``scan`` of ``documents_as_files``; documents are told apart by row number."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({k}, {quoted(name)}, {quoted(text)}, {quoted(rest[0]) if rest else 'NULL'})" for k, (name, text, *rest) in enumerate((*NOTICES, *TEXTS)))
+    laid = ", ".join(f"({k}, {quoted(anchor)})" for k, (anchor, *_) in enumerate(anchors()))
+    n = len(NOTICES) + len(TEXTS)
     bare_sql = r"trim(regexp_replace(regexp_replace(lower(regexp_replace({}, '[^A-Za-z0-9.]+', ' ', 'g')), '\.+( |$)', ' ', 'g'), ' +', ' ', 'g'))"
     folder = "concat_ws('/', source, CAST(doc_id // 1000 AS VARCHAR), CAST(doc_id // 100 % 10 AS VARCHAR))"
     return f"""
-    WITH RECURSIVE templates(k, license, notice) AS (VALUES {rows}),
-    tt AS (SELECT k, license, word, count(*) AS tf FROM
-           (SELECT k, license, unnest(string_split({bare_sql.format('notice')}, ' ')) AS word FROM templates) GROUP BY ALL),
-    idf AS (SELECT word, 1 + ln((1.0 + {len(TEMPLATES)}) / (1 + count(DISTINCT k))) AS idf FROM tt GROUP BY word),
+    WITH RECURSIVE templates(k, license, notice, need) AS (VALUES {rows}),
+    laid(k, anchor) AS (VALUES {laid}),
+    tws AS (SELECT k, license, need, string_split({bare_sql.format('notice')}, ' ') AS ws FROM templates),
+    tt AS (SELECT k, license, word, count(*) AS tf FROM (SELECT k, license, unnest(ws) AS word FROM tws) GROUP BY ALL),
+    idf AS (SELECT word, 1 + ln((1.0 + {n}) / (1 + count(DISTINCT k))) AS idf FROM tt GROUP BY word),
     tw AS (SELECT k, license, word, (1 + ln(tf)) * idf AS w FROM tt JOIN idf USING (word)),
     tn AS (SELECT k, sqrt(sum(w * w)) AS size FROM tw GROUP BY k),
-    files AS (SELECT doc_id, {folder} AS folder, coalesce(text, '') AS text,
+    tried AS (SELECT anchor, unnest(list_filter(generate_series(1, len(ws)), lambda i: ws[i] = anchor)) AS shift, len(ws) AS length,
+              string_split({bare_sql.format('need')}, ' ') AS need FROM tws JOIN laid USING (k)),
+    files AS (SELECT row_number() OVER () AS r, doc_id, {folder} AS folder, coalesce(text, '') AS text,
               regexp_matches(regexp_extract(coalesce(text, ''), '^[^\\n]*'), '{CUE}') AS is_file FROM documents),
-    found AS (SELECT doc_id, {bare_sql.format('p')} AS passage FROM
-              (SELECT doc_id, unnest(list_concat(regexp_extract_all(text, '{PASSAGE}'), CASE WHEN is_file THEN [text] ELSE [] END)) AS p
-               FROM files WHERE regexp_matches(text, '{CUE}'))),
+    cued AS (SELECT r, is_file, {bare_sql.format('text')} AS bare FROM files WHERE is_file OR regexp_matches(text, '{CUE}')),
+    ws AS (SELECT r, string_split(bare, ' ') AS ws FROM cued),
+    near AS (SELECT DISTINCT r, (i - 1) // {BLOCK} AS b FROM (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM ws) WHERE regexp_matches(w, '{CUE_WORD}')),
+    block AS (SELECT r, b, ws[greatest(b - 1, 0) * {BLOCK} + 1 : (b + 2) * {BLOCK}] AS ws FROM near JOIN ws USING (r)),
+    hit AS (SELECT r, ws, unnest(ws) AS anchor, generate_subscripts(ws, 1) AS pos FROM block),
+    cut AS (SELECT r, ws[greatest(pos - shift, 0) + 1 : greatest(pos - shift, 0) + length] AS w, need FROM hit JOIN tried USING (anchor)),
+    found AS (SELECT DISTINCT r, array_to_string(w, ' ') AS passage, false AS whole FROM cut WHERE list_has_all(w, need)
+              UNION ALL SELECT r, bare, true FROM cued WHERE is_file AND bare <> ''),
     pt AS (SELECT passage, word, count(*) AS tf FROM
-           (SELECT passage, unnest(string_split(passage, ' ')) AS word FROM (SELECT DISTINCT passage FROM found WHERE passage <> '')) GROUP BY ALL),
-    pw AS (SELECT passage, word, (1 + ln(tf)) * coalesce(idf, 1 + ln(1.0 + {len(TEMPLATES)})) AS w FROM pt LEFT JOIN idf USING (word)),
+           (SELECT passage, unnest(string_split(passage, ' ')) AS word FROM (SELECT DISTINCT passage FROM found)) GROUP BY ALL),
+    pw AS (SELECT passage, word, (1 + ln(tf)) * coalesce(idf, 1 + ln(1.0 + {n})) AS w FROM pt LEFT JOIN idf USING (word)),
     pn AS (SELECT passage, sqrt(sum(w * w)) AS size FROM pw GROUP BY passage),
     cosine AS (SELECT pw.passage, tw.license, round(sum(pw.w * tw.w) / any_value(pn.size) / any_value(tn.size), 6) AS score
                FROM pw JOIN tw USING (word) JOIN pn ON pn.passage = pw.passage JOIN tn ON tn.k = tw.k GROUP BY pw.passage, tw.k, tw.license),
-    own AS (SELECT doc_id, arg_min(license, (-score, license)) AS own, max(score) AS own_score
-            FROM found JOIN cosine USING (passage) WHERE score >= {THRESHOLD} GROUP BY doc_id),
+    named AS (SELECT passage, arg_min(license, (-score, license)) AS license, max(score) AS score FROM cosine WHERE score >= {THRESHOLD} GROUP BY passage),
+    ranked AS (SELECT r, license, score, row_number() OVER (PARTITION BY r ORDER BY CASE WHEN whole AND score >= {CLOSE} THEN 0 ELSE 1 END,
+               license = 'Proprietary', score DESC, license) AS place FROM found JOIN named USING (passage)),
+    own AS (SELECT r, license AS own, score AS own_score FROM ranked WHERE place = 1),
     given AS (SELECT folder, arg_min(own, (-own_score, own)) AS given, max(own_score) AS given_score
-              FROM files JOIN own USING (doc_id) WHERE is_file GROUP BY folder),
+              FROM files JOIN own USING (r) WHERE is_file GROUP BY folder),
     up AS (SELECT DISTINCT folder, folder AS above, 0 AS steps FROM files
            UNION ALL
            SELECT folder, CASE WHEN contains(above, '/') THEN regexp_replace(above, '/[^/]*$', '') ELSE '' END, steps + 1 FROM up WHERE above <> ''),
-    near AS (SELECT up.folder, arg_min(above, steps) AS above, arg_min(given, steps) AS given, arg_min(given_score, steps) AS given_score
+    closest AS (SELECT up.folder, arg_min(above, steps) AS above, arg_min(given, steps) AS given, arg_min(given_score, steps) AS given_score
              FROM up JOIN given ON given.folder = up.above GROUP BY up.folder)
     SELECT doc_id, coalesce(own, given) AS license, coalesce(own_score, given_score) AS score,
            CASE WHEN own IS NOT NULL THEN 'own' WHEN given IS NOT NULL THEN 'inherited' END AS origin,
-           CASE WHEN own IS NULL THEN near.above END AS "of"
-    FROM files LEFT JOIN own USING (doc_id) LEFT JOIN near USING (folder)"""
+           CASE WHEN own IS NULL THEN closest.above END AS "of"
+    FROM files LEFT JOIN own USING (r) LEFT JOIN closest USING (folder)"""

@@ -48,5 +48,5 @@ def test_notices_in_context(spark):
 
 
 def test_templates_fit_blocks():
-    for _, text, need in licenses.WINDOWED:
+    for _, text, need in licenses.NOTICES:
         assert need and set(licenses.words(need)) <= set(licenses.words(text)) and len(licenses.words(text)) <= licenses.BLOCK
