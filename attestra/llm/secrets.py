@@ -5,13 +5,16 @@ each run of at least ``LEAST`` characters of an encoding's alphabet it infers th
 encoding (hexadecimal, base32 or base64), and tests whether its symbols are
 uniform (chi-squared over as many bins as the length can fill), alternate freely
 (runs about the middle of the alphabet) and don't follow from the one before
-(serial correlation). Fisher's method combines the three into one p-value.
+(serial correlation). Fisher's method combines the three into one p-value: small
+for tokens that are not random.
 
-Over all tokens of the corpus a Benjamini-Hochberg step, made anew for each class
-of lengths because power grows with length, picks the tokens that are not
-random, with the share of random ones among them held to ``fdr``. What is left,
-and holds both letters and digits, is added as ``random``. The step works on a
-histogram of p-values, at most ``LENGTHS * BINS`` rows whatever the input's size.
+What is to be held down is the share of natural names among the tokens reported.
+So each token has a decoy: words from around it, joined to a name of its length and
+in its style. Tokens and decoys are counted by class of length (power grows with
+length), by whether they hold digits, and by p-value; in each class the least p is
+taken from which the decoys, one added, are at most ``fdr`` of the tokens. Tokens from
+there on are added as ``random``; a class without such a p adds none. The counts are
+at most ``4 * LENGTHS * BINS`` rows whatever the input's size.
 
 Edge cases: a null or empty text has no spans; texts are read whole; repeated
 rows and null ids are handled row by row; extra columns are ignored. An empty
@@ -22,7 +25,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -36,17 +41,27 @@ ASSIGN = re.compile(r"(?ai)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
-LEAST = 20
+LEAST = 16
 RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}" % LEAST)
+#: Parts of a run that no alphabet holds as a whole.
+PART = re.compile(r"[A-Za-z0-9]{%d,}" % LEAST)
+#: Fixed value: letters by their frequency in prose. In this order symbols of names crowd in few bins and on one side, those of random tokens don't.
+LETTERS = "etaoinsrhldcumfpgwybvkxjqz"
+DIGITS = "0123456789"
 ALPHABETS = (
-    ("hex", "0123456789abcdef"),
-    ("hex", "0123456789ABCDEF"),
-    ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
-    ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
-    ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
+    ("hex", "eadcfb" + DIGITS),
+    ("hex", "EADCFB" + DIGITS),
+    ("base32", LETTERS.upper() + "234567"),
+    ("base64", LETTERS + LETTERS.upper() + DIGITS + "+/"),
+    ("base64", LETTERS + LETTERS.upper() + DIGITS + "-_"),
 )
-#: Classes of lengths (powers of two) and bins of p-values (tenths of a power of ten).
-LENGTHS, BINS = 24, 400
+WORD = re.compile(r"[A-Za-z]{2,15}")
+#: Words of decoys where a text has none of its own.
+NAMES = ("get", "user", "name", "value", "index", "list", "make", "file", "data", "count", "page", "item", "order", "time", "state", "view")
+#: Words of the text that decoys are made of, around the token.
+AROUND = 400
+#: Classes of lengths (powers of the square root of two) and bins of p-values (twentieths of a power of ten).
+LENGTHS, BINS = 48, 400
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -123,62 +138,101 @@ def randomness(token: str) -> float | None:
 
 
 def _bin(p: float) -> int:
-    return min(int(-10 * math.log10(p)), BINS - 1) if p > 0 else BINS - 1
+    return min(int(-20 * math.log10(p)), BINS - 1) if p > 0 else BINS - 1
 
 
-def random_candidates(text: str) -> list[tuple[int, int, int, int]]:
-    """(start, end, class of length, bin of p) of runs with both letters and digits."""
-    out = []
+def size_class(n: int) -> int:
+    return min(int(2 * math.log2(n)), LENGTHS - 1)
+
+
+def decoy(token: str, words: list[str], at: int) -> str:
+    """Words from number ``at`` on, joined to a name of the token's length, case, separators and digits."""
+    mixed = token != token.lower() and token != token.upper()
+    joint = next((c for c in "_-/+" if c in token), "")
+    out = ""
+    for k in range(len(token)):
+        if len(out) >= len(token):
+            break
+        w = words[(at + k) % len(words)].lower()
+        out += joint * (k > 0) + (w.capitalize() if mixed and k else w)
+    out = (out + "".join(NAMES))[: len(token)]
+    if any(map(str.isdigit, token)):  # a version, a year or a number at its end
+        tail = str(10 + (at * 7919 + len(token)) % 90)
+        out = out[: -len(tail)] + tail
+    return out.upper() if token == token.upper() else out
+
+
+def random_candidates(text: str) -> list[tuple[int, int, int, int, int]]:
+    """(start, end, class of length and digits, bin of p, bin of the decoy's p) of runs, or of their parts, that an alphabet holds."""
+    spans = []
     for m in RUN.finditer(text):
-        token = m[0]
-        if any(map(str.isdigit, token)) and any(map(str.isalpha, token)) and (p := randomness(token)) is not None:
-            out.append((m.start(), m.end(), min(len(token).bit_length(), LENGTHS - 1), _bin(p)))
+        parts = [m.span()] if encoding(m[0]) else [(m.start() + x.start(), m.start() + x.end()) for x in PART.finditer(m[0])]
+        spans += parts
+    out = []
+    for start, end in spans:
+        token = text[start:end]
+        before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
+        words = WORD.findall(before) + WORD.findall(after) or list(NAMES)
+        kind = 2 * size_class(len(token)) + any(map(str.isdigit, token))
+        fake = randomness(decoy(token, words, start))
+        out.append((start, end, kind, _bin(randomness(token)), BINS - 1 if fake is None else _bin(fake)))
     return out
 
 
+def apart(tokens: list[tuple[int, int, int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """The tokens that touch no base span."""
+    starts = [s for s, _, _ in base]
+    ends = list(accumulate((e for _, _, e in base), max))  # the furthest end of those that start so far
+    return [t for t in tokens if not (k := bisect_left(starts, t[1])) or ends[k - 1] <= t[0]]
+
+
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``base`` (start, kind, end), ``tokens`` (start, end, size, bin) of each row."""
+    """``doc_id``, ``base`` (start, kind, end), ``tokens`` (start, end, size, bin, fake) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base_type = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-        token_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("size", pa.int32()), ("bin", pa.int32())]))
+        token_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("size", pa.int32()), ("bin", pa.int32()), ("fake", pa.int32())]))
         for b in batches:
             base, tokens = [], []
             for text in str_texts(b.column(1)):
-                base.append([dict(zip(("start", "kind", "end"), x, strict=True)) for x in base_spans(text)])
-                tokens.append([dict(zip(("start", "end", "size", "bin"), x, strict=True)) for x in random_candidates(text)])
+                fixed = base_spans(text)
+                base.append([dict(zip(("start", "kind", "end"), x, strict=True)) for x in fixed])
+                tokens.append([dict(zip(("start", "end", "size", "bin", "fake"), x, strict=True)) for x in apart(random_candidates(text), fixed)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base, base_type), pa.array(tokens, token_type)], ["doc_id", "base", "tokens"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return picked.mapInArrow(
-        run, "doc_id long, base array<struct<start:int,kind:int,end:int>>, tokens array<struct<start:int,end:int,size:int,bin:int>>"
+        run, "doc_id long, base array<struct<start:int,kind:int,end:int>>, tokens array<struct<start:int,end:int,size:int,bin:int,fake:int>>"
     )
 
 
-def thresholds(counts: dict[tuple[int, int], int], fdr: float) -> list[int]:
-    """For each class of lengths, the least bin whose tokens the Benjamini-Hochberg step calls not random."""
-    out = [BINS] * LENGTHS
+def thresholds(counts: dict[tuple[int, int], int], decoys: dict[tuple[int, int], int], fdr: float) -> list[int]:
+    """For each class, the bin below which its tokens are reported (0: none): the most for which decoys, and one, are at most ``fdr`` of them."""
+    out = [0] * (2 * LENGTHS)
     for size in {s for s, _ in counts}:
-        total = sum(n for (s, _), n in counts.items() if s == size)
-        below = 0
-        for at in range(BINS - 1, -1, -1):  # p grows; a bin counts with its largest p
-            below += counts.get((size, at), 0)
-            if below and 10 ** (-at / 10) <= fdr * below / total:
-                out[size] = at
+        mine = fakes = 0
+        for at in range(BINS):
+            mine += counts.get((size, at), 0)
+            fakes += decoys.get((size, at), 0)
+            if mine and fakes + 1 <= fdr * mine:
+                out[size] = at + 1
     return out
 
 
 def find(docs: DataFrame, fdr: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``spans`` (start, kind, end): base spans and added ones that don't touch them."""
-    narrow = staged(scanned(docs, id_col, text_col), "secrets")
-    found = narrow.select(F.explode("tokens").alias("t")).groupBy("t.size", "t.bin").count().collect()
-    limit = F.array(*map(F.lit, thresholds({(r["size"], r["bin"]): r["count"] for r in found}, fdr)))
+    """``doc_id``, ``spans`` (start, kind, end): base spans and added ones that don't touch them.
 
-    def apart(x: Column) -> Column:
-        return ~F.exists("base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
+    Tokens within a base span are reported already and take no part in the counts.
+    """
+    narrow = staged(scanned(docs, id_col, text_col), "secrets")
+    free = narrow.select(F.explode("tokens").alias("t"))
+    sides = F.explode(F.array(F.struct(F.lit(False).alias("fake"), F.col("t.bin").alias("bin")), F.struct(F.lit(True).alias("fake"), F.col("t.fake").alias("bin"))))
+    found = free.select("t.size", sides.alias("x")).groupBy("size", "x.fake", "x.bin").count().collect()
+    side = lambda fake: {(r["size"], r["bin"]): r["count"] for r in found if r["fake"] == fake}
+    limit = F.array(*map(F.lit, thresholds(side(False), side(True), fdr)))
 
     def chosen(tokens: Column) -> Column:
-        good = F.filter(tokens, lambda x: (x["bin"] < F.get(limit, x["size"])) & apart(x))
+        good = F.filter(tokens, lambda x: x["bin"] < F.get(limit, x["size"]))
         return F.transform(good, lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")))
 
     return narrow.select("doc_id", F.array_sort(F.concat("base", let(F.col("tokens"), chosen))).alias("spans"))
