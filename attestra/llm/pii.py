@@ -1,16 +1,19 @@
 """Personal data by weak supervision (DataFrame operations only).
 
 Candidate spans come from one pattern per kind. Four labelers vote on each
-candidate (+1 personal, -1 not, 0 abstains): the kind's own validity test, a
-gazetteer, the words before the span, and a test for placeholder values.
+candidate (+1 personal, -1 not, 0 abstains): whether it is well formed for its kind,
+a gazetteer, the words before the span (the ``CONTEXT`` characters there), and a
+test for placeholder values.
 Expectation-maximisation over the counts of vote patterns estimates each
-labeler's reliability without labels; its posteriors train a naive Bayes
+labeler's reliability for each kind without labels, leaning on its reliability over
+all kinds where a kind is rare; its posteriors train a naive Bayes
 classifier of spans on shape and context, which decides the spans that the method
 adds. Spans of the base kinds that pass their test always stay.
 
 What reaches the driver is one row per (kind, vote pattern, shape), at most
 ``len(KINDS) * 81 * 768`` rows by construction and a few hundred in practice,
-whatever the input's size. Nothing is shuffled but these counts.
+whatever the input's size. Nothing is shuffled but these counts. Texts are searched
+once: spans are written (with the texts, for ``redact``) before they are judged.
 
 Edge cases: a null or empty text has no spans; texts are read whole; repeated
 rows and null ids are handled row by row; extra columns are ignored by ``find``
@@ -37,10 +40,10 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "masked_email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:[\[(](?:dot|DOT)[\])]|\.)\x20?[A-Za-z0-9-]{1,63}+){1,8}+",
+    "masked_email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:[\[(](?:dot|DOT)[\])]|\.)\x20?[A-Za-z0-9-]++)++",
     "local_phone": r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9]|[.-][0-9])",
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "person": r"(?<![\p{L}])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.?\x20\p{Lu}\p{Ll}{1,30}+(?:\x20\p{Lu}\p{Ll}{1,30}+)?",
+    "person": r"(?<![\p{L}])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.?\x20\p{Lu}\p{Ll}++(?:\x20\p{Lu}\p{Ll}++)?",
 }
 #: What a text must hold for a kind's pattern to be tried at all.
 NEEDS = {"email": "@", "phone": "+"}
@@ -56,6 +59,14 @@ GIVEN_NAMES = r"(?i)\b(?:anna|anne|carlos|claire|daniel|david|elena|emma|hans|ja
 CUES = r"(?i)(?:e-?mail|mail|contact|write|phone|call|tel|fax|mobile|card|visa|credit|payment|address|host|server|ssn|social|name|dear|from|by|login)[^\p{L}]*+(?:\p{L}++[^\p{L}]++)?$"
 COUNTERCUES = r"(?i)(?:version|release|isbn|order|invoice|figure|section|table|page|chapter|part|serial|sample|test)[^\p{L}]*+$"
 PLACEHOLDER = r"^(?:([0-9])\1*|0?123456789?0?[0-9]*)$"
+#: Characters before a span that the context labeler reads.
+CONTEXT = 48
+#: Numbers published as samples.
+SAMPLE_IDS = ("078-05-1120", "219-09-9999", "123-45-6789", "987-65-4321", "111-11-1111", "222-22-2222", "333-33-3333", "444-44-4444", "555-55-5555", "777-77-7777", "888-88-8888")
+WELL_FORMED = {
+    "email": r"^[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?!-)[^@]*[A-Za-z0-9]\.[A-Za-z]{2,}$",
+    "masked_email": r"^[A-Za-z0-9][A-Za-z0-9._%+-]*+\x20?[\[(].*[A-Za-z0-9\x20\])]\.?\x20?[A-Za-z]{2,}$",
+}
 OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.|$)){4}$"
 
 
@@ -65,8 +76,6 @@ def _digits(s: Column) -> Column:
 
 def _valid(kind: str, s: Column) -> Column:
     """The test of a match that the base asks for, or that makes an added kind plausible."""
-    if kind in ("email", "masked_email"):
-        return F.lit(True)
     if kind == "ip":
         return s.rlike(OCTETS)
     if kind == "card":
@@ -80,13 +89,23 @@ def _valid(kind: str, s: Column) -> Column:
     return F.lit(True)
 
 
+def _well_formed(kind: str, s: Column) -> Column:
+    if kind == "person":  # a given name or a title alone says little
+        return F.when(s.rlike(r"\x20\p{Lu}\p{Ll}+\x20"), 1).otherwise(0)
+    return F.when(s.rlike(WELL_FORMED[kind]) & ~s.contains("..") if kind in WELL_FORMED else _valid(kind, s), 1).otherwise(-1)
+
+
 def _gazetteer(kind: str, s: Column) -> Column:
+    if kind == "national_id":  # areas up to 665 were given out most; samples never
+        return F.when(s.isin(*SAMPLE_IDS), -1).when(s.rlike("^(?:[1-5]|0(?!00)|6[0-5]|66[0-5])"), 1).otherwise(0)
+    if kind == "person":  # a surname alone is no counter-evidence
+        return F.when(s.rlike(GIVEN_NAMES), 1).otherwise(0)
     yes = {
         "email": s.rlike(DOMAINS), "masked_email": F.regexp_replace(s, r"\x20?[\[(](?:dot|DOT)[\])]\x20?", ".").rlike(DOMAINS),
         "ip": ~s.rlike(r"^0*(?:0|10|127|255)\.|^192\.168\.|^169\.254\."), "card": _digits(s).rlike(ISSUERS),
-        "phone": _digits(s).rlike(CALLING_CODES), "local_phone": s.rlike(r"^\(?[2-9]"), "person": s.rlike(GIVEN_NAMES),
-    }.get(kind)
-    return F.lit(0) if yes is None else F.when(yes, 1).otherwise(-1)
+        "phone": _digits(s).rlike(CALLING_CODES), "local_phone": s.rlike(r"^\(?[2-9]"),
+    }[kind]
+    return F.when(yes, 1).otherwise(-1)
 
 
 def _context(before: Column) -> Column:
@@ -114,7 +133,7 @@ def matches(text: Column, pattern: str) -> Column:
     """
     pairs = F.zip_with(
         F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        lambda gap, s: F.struct(F.length(gap).alias("gap"), F.right(gap, F.lit(48)).alias("before"), s.alias("s")),
+        lambda gap, s: F.struct(F.length(gap).alias("gap"), F.right(gap, F.lit(CONTEXT)).alias("before"), s.alias("s")),
     )
     pairs = F.filter(pairs, lambda x: x.s.isNotNull())
     long = lambda x: x.gap + F.length(x.s)
@@ -143,8 +162,7 @@ def matches(text: Column, pattern: str) -> Column:
 
 def _votes(kind: str, x: Column) -> Column:
     """The four votes, each 0 (no), 1 (abstains) or 2 (yes), as digits of base 3."""
-    valid = F.lit(1) if kind == "person" else F.when(_valid(kind, x.s), 2).otherwise(0)
-    return (valid * 27 + (_gazetteer(kind, x.s) + 1) * 9 + (_context(x.before) + 1) * 3 + _placeholder(x.s) + 1).cast("int")
+    return ((_well_formed(kind, x.s) + 1) * 27 + (_gazetteer(kind, x.s) + 1) * 9 + (_context(x.before) + 1) * 3 + _placeholder(x.s) + 1).cast("int")
 
 
 def _of_kind(text: Column, kind: str) -> Column:
@@ -152,7 +170,7 @@ def _of_kind(text: Column, kind: str) -> Column:
     k = KINDS.index(kind)
 
     def span(x: Column) -> Column:
-        base = _valid(kind, x.s) if k < N_BASE else F.lit(False)
+        base = F.lit(False) if k >= N_BASE else F.lit(True) if kind == "email" else _valid(kind, x.s)
         return F.struct(
             x.start.alias("start"), F.lit(k).alias("kind"), x.end.alias("end"), base.alias("base"),
             _votes(kind, x).alias("votes"), _shape(x.s, x.before).alias("shape"),
@@ -172,33 +190,46 @@ def candidates(text: Column) -> Column:
 # --- label model and classifier: over bounded counts ---------------------------
 
 
+#: What a labeler is thought to do before any evidence: votes no, abstains, yes on false and on true spans.
+BELIEF = [[0.6, 0.25, 0.15], [0.15, 0.25, 0.6]]
+#: Spans' worth of weight that a labeler's table over all kinds has in its table for one kind.
+LEAN = 20.0
+
+
 def label_model(counts: dict[tuple[int, int], int], rounds: int = 60) -> dict[tuple[int, int], float]:
     """Expectation-maximisation over (kind, votes) -> count; the posterior that such a span is personal data.
 
-    Labelers vote independently given the truth; each has its own table of votes
-    for true and false spans, shared by all kinds; each kind has its own share of
-    true spans.
+    Labelers vote independently given the truth; each has a table of votes for true
+    and false spans of each kind, and one over all kinds that it leans on; each kind
+    has its own share of true spans.
     """
     votes = {code: (code // 27, code // 9 % 3, code // 3 % 3, code % 3) for _, code in counts}
-    # before any evidence, a labeler is thought right four times in five
-    table = [[[0.6, 0.25, 0.15], [0.15, 0.25, 0.6]] for _ in range(4)]
-    prior = dict.fromkeys({k for k, _ in counts}, 0.5)
+    kinds = {k for k, _ in counts}
+    table = {k: [BELIEF] * 4 for k in kinds}
+    prior = dict.fromkeys(kinds, 0.5)
     post: dict[tuple[int, int], float] = {}
+    share = lambda row: [x / sum(row) for x in row]
     for _ in range(rounds):
         for (kind, code), _n in counts.items():
-            odds = math.log(prior[kind] / (1 - prior[kind])) + sum(math.log(table[j][1][v] / table[j][0][v]) for j, v in enumerate(votes[code]))
+            odds = math.log(prior[kind] / (1 - prior[kind])) + sum(math.log(table[kind][j][1][v] / table[kind][j][0][v]) for j, v in enumerate(votes[code]))
             post[kind, code] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
-        sums = [[[2 * 0.6, 2 * 0.25, 2 * 0.15], [2 * 0.15, 2 * 0.25, 2 * 0.6]] for _ in range(4)]
-        share = defaultdict(lambda: [1.0, 2.0])
+        own = {k: [[[0.0] * 3, [0.0] * 3] for _ in range(4)] for k in kinds}
+        true = {k: [1.0, 2.0] for k in kinds}
         for (kind, code), n in counts.items():
             p = post[kind, code]
-            share[kind][0] += n * p
-            share[kind][1] += n
+            true[kind][0] += n * p
+            true[kind][1] += n
             for j, v in enumerate(votes[code]):
-                sums[j][1][v] += n * p
-                sums[j][0][v] += n * (1 - p)
-        prior = {k: min(max(a / b, 0.01), 0.99) for k, (a, b) in share.items()}
-        table = [[[x / sum(row) for x in row] for row in one] for one in sums]
+                own[kind][j][1][v] += n * p
+                own[kind][j][0][v] += n * (1 - p)
+        prior = {k: min(max(a / b, 0.01), 0.99) for k, (a, b) in true.items()}
+        for j in range(4):
+            for y in (0, 1):
+                # a kind weighs as one in what holds for all kinds, however common it is
+                whole = share([2 * BELIEF[y][v] + sum(share([x + 1e-9 for x in own[k][j][y]])[v] for k in kinds) for v in range(3)])
+                for k in kinds:
+                    table[k] = [[list(row) for row in one] for one in table[k]]
+                    table[k][j][y] = share([own[k][j][y][v] + LEAN * whole[v] for v in range(3)])
     return post
 
 
@@ -275,7 +306,8 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with personal data replaced in its text; other columns unchanged; nothing is shuffled."""
-    ok = trained(docs.select(candidates(F.col(text_col)).alias("spans")))
-    spans = accepted(candidates(F.col(text_col)), ok)
-    text = let(spans, lambda s: redacted(F.col(text_col), s))
-    return docs.withColumn(text_col, text)
+    found = docs.select(F.struct(*docs.columns).alias("__row"), candidates(F.col(text_col)).alias("spans"))
+    found = staged(found, "pii-texts")
+    spans = accepted(F.col("spans"), trained(found))
+    text = let(spans, lambda s: redacted(F.col("__row")[text_col], s))
+    return found.select(*[(text if c == text_col else F.col("__row")[c]).alias(c) for c in docs.columns])

@@ -63,6 +63,44 @@ def test_added_spans_and_redaction(spark):
     assert pii.redact(docs).columns == docs.columns
 
 
+PLANTED = {
+    "masked_email": (["contact me: {n}.keller [at] mail{k} [dot] com ", "write to {n} (at) example{k} (dot) org "], ["sample {k} (at) 5 (dot) 3 ", "version x{k}. [AT] -a [DOT] 9 "]),
+    "local_phone": (["please call 523-555-{k:04d} ", "phone (423) 555-{k:04d} "], ["order 123-456-{k:04d} ", "serial 111.111.1111 ", "invoice 023-555-{k:04d} "]),
+    "national_id": (["my ssn 523-12-{k:04d} ", "social number 211-45-{k:04d} "], ["part 900-12-{k:04d} ", "sample 123-45-6789 ", "order 000-12-{k:04d} "]),
+    "person": (["contact Dr. Maria Keller ", "dear Mr. John Smith ", "from Prof. Anna Weber "], ["chapter Dr. No ", "page Mr. X ", "section Ms. Pacman "]),
+}
+
+
+def test_planted_spans_of_the_added_kinds(spark):
+    """Precision and recall over all kinds of what the method adds, in texts where it has to be told from look-alikes."""
+    rng = random.Random(9)
+    rows, truth = [], {}
+    for kind, (yes, no) in PLANTED.items():
+        for k in range(240):
+            true = k % 3 < 2
+            shown = rng.choice(yes if true else no).format(k=1000 + k, n=rng.choice(["anna", "bob", "eve"]))
+            truth[len(rows)] = kind if true else None
+            rows.append((len(rows), "some words of the day and then " + shown + "and more words", "en", 0.0))
+    docs = spark.createDataFrame(rows, cases.TEXT)
+    got = {r.doc_id: r.s for r in pii.find(docs).select("doc_id", pii.listed("spans").alias("s")).collect()}
+    added = {i: s.split(":")[0] for i, s in got.items() if s}
+    right = {kind: sum(added.get(i) == kind for i, t in truth.items() if t == kind) for kind in PLANTED}
+    wrong = sum(truth[i] is None for i in added)
+    print(right, "of 160 each,", wrong, "wrong of", len(added))
+    assert wrong <= 0.05 * len(added)
+    assert all(n >= 0.9 * 160 for n in right.values()), right
+
+
+def test_label_model_knows_labelers_by_kind():
+    # of kind 0 the second labeler votes at random, of kind 1 with the others
+    code = lambda *v: v[0] * 27 + v[1] * 9 + v[2] * 3 + v[3]
+    counts = {(0, code(y, v, y, y)): 300 for y in (0, 2) for v in (0, 2)} | {(1, code(y, y, y, y)): 600 for y in (0, 2)}
+    counts |= {(1, code(1, v, 1, 1)): 5 for v in (0, 2)}
+    post = pii.label_model(counts)
+    assert all(post[0, code(2, v, 2, 2)] > 0.95 and post[0, code(0, v, 0, 0)] < 0.05 for v in (0, 2))
+    assert post[1, code(1, 2, 1, 1)] > 0.9 and post[1, code(1, 0, 1, 1)] < 0.1
+
+
 def test_label_model_trusts_labelers_that_agree():
     counts = {(0, 2 * 27 + 2 * 9 + 2 * 3 + 2): 100, (0, 0): 100, (0, 2 * 27 + 0 * 9 + 1 * 3 + 1): 5}
     post = pii.label_model(counts)
