@@ -7,6 +7,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 
+class RunError(ValueError):
+    """A run that can't be evaluated at all; ``code`` names the reason."""
+
+    def __init__(self, code: str, message: str):
+        super().__init__(f"{code}: {message}")
+        self.code = code
+
+
 @dataclass(frozen=True)
 class Declared:
     """A dataset's own claim about its coverage."""
@@ -25,6 +33,8 @@ class Pack:
     requirements: dict[str, tuple[str, ...]]
     accepted_bases: tuple[tuple[str, ...], ...]
     binding: str = "digest"  # or revisions
+    evidence_scheme: str | None = None  # the tag in evidence digests; this engine's own if unset
+    effective_from: str | None = None  # canonical UTC text
 
 
 @dataclass(frozen=True)
@@ -42,6 +52,13 @@ class Case:
     scope_accepted: bool = True
     unmapped: DataFrame | None = None
 
+    def guard(self) -> None:
+        """Raise if the pack is another project's or not yet effective; canonical times compare as text."""
+        if self.project_id != self.pack.project_id:
+            raise RunError("PROJECT_MISMATCH", f"the records are of {self.project_id}, the pack is of {self.pack.project_id}")
+        if self.pack.effective_from is not None and self.as_of < self.pack.effective_from:
+            raise RunError("POLICY_NOT_EFFECTIVE", f"{self.as_of} is before {self.pack.effective_from}")
+
     @property
     def scope_present(self) -> bool:
         return "scope" in self.raw

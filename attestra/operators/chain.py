@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.schema import COMPLETE
-from ..sources.staging import staged
+from ..sources.staging import staged, staged_together
 from . import coverage, integrity, rules
-from .case import Case
+from .case import Case, RunError
+from .findings import duplicate_findings
 
 FINDING = ("check_id", "subject_kind", "subject_id", "code_suffix", "outcome", "reason", "required", "expected", "observed", "blocked_by", "caused_by")
 #: Verdicts that only incomplete coverage makes uncertain, and whose it is.
@@ -20,28 +21,49 @@ CAUSED_BY = {
 }
 
 
-@dataclass(frozen=True)
 class Evaluated:
-    """Verdicts of each obligation side by side (``chain``), and what was found on the way there."""
+    """The parts of an assessment, each worked out when first asked for and written once, as every later part reads it again.
 
-    records: integrity.Records
-    defects: DataFrame
-    coverage: DataFrame
-    project: DataFrame
-    chain: DataFrame
+    ``chain`` has the verdicts of each obligation side by side; ``findings`` all findings.
+    """
+
+    def __init__(self, case: Case, detect_duplicates: bool = True):
+        self.case, self.detect_duplicates = case, detect_duplicates
+
+    @cached_property
+    def records(self) -> integrity.Records:
+        return integrity.Records(staged_together(integrity.records(self.case, self.detect_duplicates).rows, "records-"))
+
+    @cached_property
+    def defects(self) -> DataFrame:
+        return staged(integrity.defects(self.case, self.records), "defects")
+
+    @cached_property
+    def coverage(self) -> DataFrame:
+        return staged(coverage.effective_coverage(self.case, self.defects), "coverage")
+
+    @cached_property
+    def project(self) -> DataFrame:
+        return staged(coverage.project_finding(self.case, self.records), "project")
+
+    @cached_property
+    def chain(self) -> DataFrame:
+        # four rows and one row: the declarations and the project's finding
+        complete = {r.dataset: r.effective == COMPLETE for r in self.coverage.collect()}
+        established = self.project.first()
+        return staged(verdicts(self.case, self.records, self.defects, complete, established.outcome == "PASS", f"R1:project:{established.subject_id}"), "chain")
+
+    @cached_property
+    def findings(self) -> DataFrame:
+        found = staged(all_findings(self.case, self), "findings")
+        if (twice := duplicate_findings(found).first()) is not None:
+            raise RunError("ENGINE_DUPLICATE_KEY", f"{twice.n} findings share {twice.key}")
+        return found
 
 
 def evaluate(case: Case, detect_duplicates: bool = True) -> Evaluated:
-    """Run the rules. Validated rows and defects are written once, as every rule reads them again."""
-    rec = integrity.records(case, detect_duplicates)
-    rec = integrity.Records({name: staged(rows, f"records-{name}") for name, rows in rec.rows.items()})
-    defects = staged(integrity.defects(case, rec), "defects")
-    covered = staged(coverage.effective_coverage(case, rec, defects), "coverage")
-    # four rows and one row: the declarations and the project's finding
-    complete = {r.dataset: r.effective == COMPLETE for r in covered.collect()}
-    project = staged(coverage.project_finding(case, rec), "project")
-    established = project.first()
-    return Evaluated(rec, defects, covered, project, verdicts(case, rec, defects, complete, established.outcome == "PASS", f"R1:project:{established.subject_id}"))
+    case.guard()
+    return Evaluated(case, detect_duplicates)
 
 
 def verdicts(case: Case, rec: integrity.Records, defects: DataFrame, complete: dict[str, bool], established: bool, project_key: str) -> DataFrame:
@@ -50,13 +72,13 @@ def verdicts(case: Case, rec: integrity.Records, defects: DataFrame, complete: d
     blocked = integrity.blocking(defects, rec)
     counted = rules.cardinality(live["scope"], live["inspections"])
     base = rec.obligations.join(blocked, "obligation_id", "left").join(
-        counted.select("obligation_id", F.col("project_id").alias("o_project"), F.col("asset_id").alias("o_asset"), F.col("activity_kind").alias("o_activity"), "n_current", "n_completed", "n_superseded", "candidate"),
+        counted.select("obligation_id", F.col("project_id").alias("o_project"), F.col("asset_id").alias("o_asset"), F.col("activity_kind").alias("o_activity"), "n_current", "n_completed", "n_superseded", "candidate", "current"),
         "obligation_id", "left",
     )
     outcome, reason = rules.r2_verdict(complete["inspections"])
     kept_back = F.lit(not established) | F.col("keys").isNotNull()
     base = base.select(
-        "obligation_id", "o_project", "o_asset", "o_activity", "n_current", "n_completed", "n_superseded", "candidate",
+        "obligation_id", "o_project", "o_asset", "o_activity", "n_current", "n_completed", "n_superseded", "candidate", "current",
         F.when(kept_back, "NOT_EVALUATED").otherwise(outcome).alias("r2_outcome"), F.when(kept_back, "BLOCKED_BY_UPSTREAM").otherwise(reason).alias("r2_reason"),
         F.when(F.lit(not established), F.array(F.lit(project_key))).when(F.col("keys").isNotNull(), F.col("keys")).otherwise(F.array().cast("array<string>")).alias("r2_blocked"),
     )
@@ -66,7 +88,7 @@ def verdicts(case: Case, rec: integrity.Records, defects: DataFrame, complete: d
     sound = candidates.join(r3.where("r3_outcome <> 'FAIL'").select("obligation_id"), "obligation_id", "left_semi")
     kinds = rules.required_kinds(case.pack, case.files.sparkSession)
     evidence = rules.required_evidence(sound, live["artifacts"], kinds, case.files)
-    found = staged(rules.evidence_verdicts(sound, evidence, kinds, complete["artifacts"], complete["evidence_files"]), "evidence")
+    found = staged(rules.evidence_verdicts(sound, evidence, kinds, complete["artifacts"], complete["evidence_files"], case.pack.evidence_scheme or rules.EVIDENCE_SCHEME), "evidence")
     ready = found.where("r4_outcome = 'PASS' AND r5_outcome = 'PASS'").select("obligation_id", "inspection_id", "revision", "digest", "required_set")
     classified = rules.classified_approvals(ready, live["approvals"], live["approval_items"], case.pack.binding)
     r6 = rules.approval_verdicts(classified, complete["approvals"])
@@ -89,7 +111,8 @@ def verdicts(case: Case, rec: integrity.Records, defects: DataFrame, complete: d
         *[c for r in ("r3", "r4", "r5", "r6") for c in (
             F.coalesce(f"{r}_outcome", F.lit("NOT_EVALUATED")).alias(f"{r}_outcome"), F.coalesce(f"{r}_reason", F.lit("BLOCKED_BY_UPSTREAM")).alias(f"{r}_reason"), blocks[r].alias(f"{r}_blocked"),
         )],
-        "r3_observed", "needed", "missing", "files", "n_files", "digest", "r6_approvals",
+        "o_project", "o_asset", "o_activity", "current", "r3_observed", "needed", "missing", "witnesses", "files", "n_files", "digest", "required_set",
+        "r6_approvals", "r6_revisions", "r6_wrong_digests", "r6_wrong_revisions", F.coalesce("r6_binding", F.lit(case.pack.binding)).alias("r6_binding"),
     )
 
 
@@ -97,13 +120,19 @@ def obligation_findings(chain: DataFrame) -> DataFrame:
     """Five findings for each row of ``verdicts``."""
     blank = F.lit("{}")
     keep = {"ignoreNullFields": "false"}
+    named = lambda **members: F.struct(*[F.col(c).alias(k) for k, c in sorted(members.items())])
     expected = {
-        "r2": F.lit('{"current_completed_inspections":1}'), "r3": blank,
-        "r4": F.to_json(F.struct(F.col("needed").alias("document_kinds")), keep), "r5": F.to_json(F.struct(F.col("n_files").alias("files"))), "r6": blank,
+        "r2": F.lit('{"current_completed_inspections":1}'), "r3": F.to_json(named(project_id="o_project", asset_id="o_asset", activity_kind="o_activity"), keep),
+        "r4": F.to_json(named(document_kinds="needed"), keep), "r5": F.to_json(named(files="n_files")),
+        "r6": F.concat(F.lit('{"approved_artifact_revisions":['), F.array_join("r6_wrong_revisions", ","), F.lit('],"approved_evidence_digests":'), F.to_json("r6_wrong_digests"), F.lit("}")),
     }
+    # a requirement that isn't defined misses no kind
+    lacks = F.struct(F.col("witnesses").alias("kinds"), F.coalesce("missing", F.array().cast("array<string>")).alias("missing_kinds"))
     observed = {
-        "r2": F.to_json(F.struct("n_current", "n_superseded")), "r3": F.coalesce("r3_observed", blank), "r4": F.to_json(F.struct(F.col("missing").alias("missing_kinds")), keep),
-        "r5": F.to_json(F.struct("files")), "r6": F.to_json(F.struct(F.col("digest").alias("current_evidence_digest"), F.col("r6_approvals").alias("decision_approvals")), keep),
+        "r2": F.to_json(named(current_inspections="current", superseded_revisions="n_superseded")), "r3": F.coalesce("r3_observed", blank), "r4": F.to_json(lacks, keep),
+        "r5": F.to_json(F.struct("files")),
+        "r6": F.to_json(named(
+            approved_revisions="r6_revisions", binding="r6_binding", current_artifact_revisions="required_set", current_evidence_digest="digest", decision_approvals="r6_approvals")),
     }
     cause = F.create_map(*[F.lit(x) for k, v in CAUSED_BY.items() for x in (k, f"R1:dataset:{v}")])
     parts = []

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.schema import COMPLETE, COVERAGE_REASONS, COVERED
 from .case import Case, Pack
-from .integrity import Records, contradicted, unattributable
+from .integrity import Records, contradicted, unattributable_in
 
 CLAIMS = "dataset string, coverage string, basis array<string>, consistency string"
 
@@ -47,8 +47,8 @@ def effective(claimed: DataFrame, wrong: DataFrame, lost: DataFrame, pack: Pack)
     )
 
 
-def effective_coverage(case: Case, rec: Records, defects: DataFrame) -> DataFrame:
-    return effective(claims(case), contradicted(defects), unattributable(rec), case.pack)
+def effective_coverage(case: Case, defects: DataFrame) -> DataFrame:
+    return effective(claims(case), contradicted(defects), unattributable_in(defects), case.pack)
 
 
 def dataset_findings(coverage: DataFrame) -> DataFrame:
@@ -78,7 +78,13 @@ def project_finding(case: Case, rec: Records) -> DataFrame:
         .when(F.lit(case.scope_revision != case.pack.scope_revision) | F.col("other_revision"), "SCOPE_REVISION_MISMATCH")
         .when(F.col("other_project"), "SCOPE_PROJECT_MISMATCH").otherwise("SCOPE_ESTABLISHED")
     )
-    observed = F.struct(F.lit(case.scope_accepted).alias("accepted"), F.lit(case.scope_revision).alias("manifest_scope_revision"), F.col("n").alias("obligation_count"), F.lit(case.scope_present).alias("scope_present"))
+    # the distinct values are found side by side; the finding lists them
+    listed = lambda c: F.broadcast(live.select(c).distinct().agg(F.array_sort(F.collect_list(c)).alias(f"row_{c}s")))
+    facts = facts.join(listed("project_id")).join(listed("scope_revision"))
+    observed = F.struct(
+        F.lit(case.scope_accepted).alias("accepted"), F.lit(case.scope_revision).alias("manifest_scope_revision"), F.col("n").alias("obligation_count"),
+        "row_project_ids", "row_scope_revisions", F.lit(case.scope_present).alias("scope_present"),
+    )
     return facts.withColumn("reason", reason).select(
         F.lit("R1").alias("check_id"), F.lit("project").alias("subject_kind"), F.lit(case.project_id).alias("subject_id"), F.lit(None).cast("string").alias("code_suffix"),
         F.when(F.col("reason") == "SCOPE_ESTABLISHED", "PASS").otherwise("UNKNOWN").alias("outcome"), "reason", F.lit(True).alias("required"),

@@ -16,6 +16,11 @@ def keyed(findings: DataFrame) -> DataFrame:
     return findings.withColumn("key", finding_key(F.col("check_id"), F.col("subject_kind"), F.col("subject_id"), F.col("code_suffix")))
 
 
+def duplicate_findings(findings: DataFrame) -> DataFrame:
+    """``key``, ``n`` of keys that several findings share; a sound assessment has none."""
+    return keyed(findings).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+
+
 def rank_columns() -> list[Column]:
     """The order of findings: check, kind of subject, subject, code."""
     place = lambda names, c: F.array_position(F.array(*map(F.lit, names)), F.col(c))

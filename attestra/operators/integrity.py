@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.schema import DATASETS
+from ..sources.staging import staged_together
 from .case import Case
 from .validation import cells_json, validated
 
@@ -37,20 +38,30 @@ class Records:
 
 
 def duplicate_keys(rows: DataFrame) -> DataFrame:
-    """``subject``, ``copies``, ``identical`` of keys that stand in two rows or more."""
-    groups = rows.where("row_key IS NOT NULL").groupBy("subject").agg(F.count("*").alias("copies"), F.min("raw").alias("__a"), F.max("raw").alias("__b"))
-    return groups.where("copies > 1").select("subject", "copies", F.col("__a").eqNullSafe(F.col("__b")).alias("identical"))
+    """``subject``, ``copies``, ``identical`` of keys that stand in two rows or more.
+
+    Keys are counted first, which reads their columns alone; cells are compared only where a key repeats.
+    """
+    known = rows.where("row_key IS NOT NULL")
+    groups = known.groupBy("subject").agg(F.count("*").alias("copies")).where("copies > 1")
+    groups = known.select("subject", "raw").join(groups, "subject").groupBy("subject", "copies").agg(F.min("raw").alias("__a"), F.max("raw").alias("__b"))
+    return groups.select("subject", "copies", F.col("__a").eqNullSafe(F.col("__b")).alias("identical"))
 
 
 def records(case: Case, detect_duplicates: bool = True) -> Records:
-    out = {}
+    """The validated datasets. Repeated keys are written first: where they are few, rows aren't shuffled to meet them."""
+    valid = {}
     for name in DATASETS:
-        if name not in case.raw:
+        raw = case.raw.get(name)
+        if raw is None:
             empty = ", ".join(f"{f.name} string" for f in DATASETS[name].fields) + ", file string, row_number long"
-            case.raw[name] = case.files.sparkSession.createDataFrame([], empty)
-        rows = validated(case.raw[name], name, case.unmapped)
+            raw = case.files.sparkSession.createDataFrame([], empty)
+        valid[name] = validated(raw, name, case.unmapped)
+    repeated = staged_together({n: duplicate_keys(rows) for n, rows in valid.items()}, "repeated-") if detect_duplicates else {}
+    out = {}
+    for name, rows in valid.items():
         if detect_duplicates:
-            rows = rows.join(duplicate_keys(rows), "subject", "left")
+            rows = rows.join(repeated[name], "subject", "left")
         else:
             rows = rows.withColumns({"copies": F.lit(None).cast("long"), "identical": F.lit(None).cast("boolean")})
         bad = F.col("malformed") | (F.size("violations") > 0) | F.col("copies").isNotNull()
@@ -143,7 +154,7 @@ def defects(case: Case, rec: Records) -> DataFrame:
             text = F.lit(None).cast("string") if detail is None else detail
             found.append(F.when(when, F.struct(kind.alias("kind"), named.alias("subject"), F.lit(code).alias("code"), text.alias("detail"))))
 
-        defect("MALFORMED_ROW", F.col("malformed"))
+        defect("MALFORMED_ROW", F.col("malformed"), _json(dataset=F.lit(name), field_count=F.size("raw_cells"), header_count=F.col("header_count")))
         defect("DUPLICATE_KEY", F.col("copies").isNotNull(), F.col("identical").cast("string"))
         if name in ("inspections", "artifacts"):
             entity = spec.key[0]
@@ -183,6 +194,14 @@ def unattributable(rec: Records) -> DataFrame:
     return out.groupBy("dataset").agg(F.count("*").alias("n"))
 
 
+def unattributable_in(found: DataFrame) -> DataFrame:
+    """What ``unattributable`` counts, from the defects: a quarantined row has one of its codes at least, and a place of its own."""
+    codes = ("MALFORMED_ROW", "DUPLICATE_KEY", *CELL_CODES)
+    target = F.create_map(*[F.lit(x) for name, spec in DATASETS.items() for x in (name, spec.covered_by or name)])
+    rows = found.where(F.col("unattributable") & F.col("code").isin(*codes)).select("dataset", "locator").distinct()
+    return rows.groupBy(F.element_at(target, F.col("dataset")).alias("dataset")).agg(F.count("*").alias("n"))
+
+
 KEY = ["kind", "subject", "code"]
 
 
@@ -230,7 +249,7 @@ def findings(found: DataFrame, rec: Records) -> DataFrame:
         F.when(F.col("code").isin(*CELL_CODES), F.concat(F.lit('{"count":'), n, F.lit(',"violations":'), details, F.lit("}")))
         .when(F.col("code") == "DUPLICATE_KEY", F.concat(F.lit('{"count":'), n, F.lit(',"identical":'), first, F.lit("}")))
         .when(F.col("code") == "MULTIPLE_CURRENT_REVISIONS", F.concat(F.lit('{"current_revisions":'), F.to_json("details"), F.lit("}")))
-        .when(F.col("code") == "TIMESTAMP_AFTER_AS_OF", F.concat(F.lit('{"count":'), n, F.lit(","), F.substr(first, F.lit(2))))
+        .when(F.col("code").isin("TIMESTAMP_AFTER_AS_OF", "MALFORMED_ROW"), F.concat(F.lit('{"count":'), n, F.lit(","), F.substr(first, F.lit(2))))
         .when(F.col("code") == "DANGLING_REFERENCE", F.concat(F.lit('{"count":'), n, F.lit(',"missing":'), details, F.lit("}")))
         .otherwise(F.concat(F.lit('{"count":'), n, F.lit("}")))
     )

@@ -37,10 +37,12 @@ def cardinality(scope: DataFrame, inspections: DataFrame) -> DataFrame:
         F.count_if("is_current").alias("n_current"),
         F.count_if(F.col("is_current") & (F.col("completion_status") == "completed")).alias("n_completed"),
         F.count_if(~F.col("is_current")).alias("n_superseded"),
+        F.array_sort(F.collect_list(F.when(F.col("is_current"), at_revision("inspection_id")))).alias("current"),
         F.max(F.when(F.col("is_current"), F.struct("inspection_id", "revision", F.col("project_id").alias("i_project"), F.col("asset_id").alias("i_asset"), F.col("activity_kind").alias("i_activity"), "completion_status"))).alias("candidate"),
     )
     zero = {"n_current": 0, "n_completed": 0, "n_superseded": 0}
-    return scope.join(links, "obligation_id", "left").fillna(zero)
+    out = scope.join(links, "obligation_id", "left").fillna(zero)
+    return out.withColumn("current", F.coalesce("current", F.array().cast("array<string>")))
 
 
 def r2_verdict(complete: bool) -> tuple[Column, Column]:
@@ -137,7 +139,9 @@ def required_evidence(candidates: DataFrame, artifacts: DataFrame, kinds: DataFr
     return probed.select("obligation_id", "inspection_id", "artifact_id", "revision", "document_kind", "relative_path", status.alias("status"), "sha256")
 
 
-def evidence_verdicts(candidates: DataFrame, evidence: DataFrame, kinds: DataFrame, artifacts_complete: bool, files_complete: bool) -> DataFrame:
+def evidence_verdicts(
+    candidates: DataFrame, evidence: DataFrame, kinds: DataFrame, artifacts_complete: bool, files_complete: bool, scheme: str = EVIDENCE_SCHEME
+) -> DataFrame:
     """R4 and R5 of each candidate, its evidence digest and its set of required revisions."""
     needs = kinds.groupBy("activity_kind").agg(F.array_sort(F.collect_set("document_kind")).alias("needed"))
     away = F.col("status").isin("absent", "no_path")
@@ -151,6 +155,8 @@ def evidence_verdicts(candidates: DataFrame, evidence: DataFrame, kinds: DataFra
     out = candidates.select("obligation_id", "inspection_id", "revision", F.col("i_activity").alias("activity_kind"))
     out = out.join(F.broadcast(needs), "activity_kind", "left").join(grouped, "obligation_id", "left").fillna({"n_files": 0})
     missing = F.array_except("needed", F.coalesce("witnessed", F.array().cast("array<string>")))
+    of_kind = lambda k: F.array_sort(F.transform(F.filter("entries", lambda e: e.document_kind == k), lambda e: e.artifact_id))
+    witnesses = F.map_from_entries(F.transform(F.coalesce("witnessed", F.array().cast("array<string>")), lambda k: F.struct(k, of_kind(k))))
     r4 = (
         F.when(F.col("needed").isNull(), "REQUIREMENT_UNDEFINED").when(F.size(missing) == 0, "REQUIRED_KINDS_PRESENT")
         .otherwise("KIND_MISSING" if artifacts_complete else "KIND_ABSENCE_UNCONFIRMED")
@@ -165,7 +171,7 @@ def evidence_verdicts(candidates: DataFrame, evidence: DataFrame, kinds: DataFra
         "obligation_id", "inspection_id", "revision", "n_files", "required_set", "needed", missing.alias("missing"), "files",
         r4.alias("r4_reason"), F.when(r4 == "REQUIRED_KINDS_PRESENT", "PASS").when(r4 == "KIND_MISSING", "FAIL").otherwise("UNKNOWN").alias("r4_outcome"),
         r5.alias("r5_reason"), F.when(r5 == "EVIDENCE_AVAILABLE", "PASS").when(r5 == "FILE_ABSENT", "FAIL").when(r5.isNotNull(), "UNKNOWN").alias("r5_outcome"),
-        F.when(r5 == "EVIDENCE_AVAILABLE", digest_of(F.col("entries"))).alias("digest"),
+        F.when(r5 == "EVIDENCE_AVAILABLE", digest_of(F.col("entries"), scheme)).alias("digest"), witnesses.alias("witnesses"),
     )
 
 
@@ -184,17 +190,17 @@ def classified_approvals(ready: DataFrame, approvals: DataFrame, items: DataFram
         bound = items.groupBy("approval_id").agg(F.array_sort(F.collect_set(F.struct("artifact_id", F.col("artifact_revision").alias("revision")))).alias("listed"))
         ids = F.transform("required_set", lambda r: r.artifact_id)
         mine = F.filter("listed", lambda i: F.array_contains(ids, i.artifact_id))
-        out = claimed.join(bound, "approval_id", "left").withColumn("by_items", F.when(F.col("listed").isNotNull(), F.when(mine == F.col("required_set"), "MATCH").otherwise("MISMATCH")))
+        out = claimed.join(bound, "approval_id", "left").withColumn("mine", F.to_json(mine)).withColumn("by_items", F.when(F.col("listed").isNotNull(), F.when(mine == F.col("required_set"), "MATCH").otherwise("MISMATCH")))
     else:
         held = items.select("approval_id", F.lit("BINDING_STRENGTH_INSUFFICIENT").alias("by_items")).distinct()
-        out = claimed.join(held, "approval_id", "left")
+        out = claimed.join(held, "approval_id", "left").withColumn("mine", F.lit(None).cast("string"))
     kind = F.when(F.col("evidence_digest").isNotNull(), F.when(F.col("evidence_digest") == F.col("digest"), "MATCH").otherwise("MISMATCH"))
     kind = F.coalesce(kind, F.col("by_items"), F.lit("BINDING_UNAVAILABLE"))
     return out.withColumn("class", F.when(F.col("inspection_revision") == F.col("revision"), kind))
 
 
 def approval_verdicts(classified: DataFrame, complete: bool) -> DataFrame:
-    """``obligation_id``, ``r6_outcome``, ``r6_reason``, ``r6_approvals`` (those that decide)."""
+    """``obligation_id``, ``r6_outcome``, ``r6_reason``, ``r6_approvals`` (those that decide), and what the finding shows of the others."""
     matched = F.col("class") == "MATCH"
     # the latest match first, as later doubts are measured against it
     latest = classified.where(matched).groupBy("obligation_id").agg(F.max("decided_at").alias("latest"))
@@ -209,6 +215,10 @@ def approval_verdicts(classified: DataFrame, complete: bool) -> DataFrame:
         F.array_sort(F.collect_set(F.when(decides, F.col("decision")))).alias("decisions"),
         F.array_sort(F.collect_set(F.when(decides, F.col("approval_id")))).alias("deciding"),
         F.array_sort(F.collect_set(F.when(F.col("class") == "MISMATCH", F.col("approval_id")))).alias("stale"),
+        F.array_sort(F.collect_set("inspection_revision")).alias("revisions"),
+        F.array_sort(F.collect_set(F.when(~doubt, F.when(F.col("evidence_digest").isNotNull(), "digest").otherwise("revisions")))).alias("bindings"),
+        F.array_sort(F.collect_set(F.when(F.col("class") == "MISMATCH", F.col("evidence_digest")))).alias("wrong_digests"),
+        F.array_sort(F.collect_set(F.when((F.col("class") == "MISMATCH") & F.col("evidence_digest").isNull(), F.col("mine")))).alias("wrong_revisions"),
     )
     decision = F.get("decisions", F.lit(0))
     reason = (
@@ -223,7 +233,16 @@ def approval_verdicts(classified: DataFrame, complete: bool) -> DataFrame:
         .when(reason.isin("APPROVAL_UNCONFIRMED", "NO_APPROVAL", "REVISION_NOT_APPROVED"), F.array().cast("array<string>")).otherwise(F.col("deciding"))
     )
     outcome = F.when(unsure, "UNKNOWN").when(reason == "APPROVAL_COVERS_CURRENT", "PASS").otherwise("FAIL")
-    return grouped.select("obligation_id", outcome.alias("r6_outcome"), reason.alias("r6_reason"), named.alias("r6_approvals"))
+    none = F.array().cast("array<string>")
+    early = reason.isin("APPROVAL_UNCONFIRMED", "NO_APPROVAL", "REVISION_NOT_APPROVED")
+    changed = reason == "EVIDENCE_CHANGED_SINCE_APPROVAL"
+    # null: the pack's own binding
+    shown = F.when(early | (F.size("bindings") == 0), F.lit(None).cast("string")).when(F.size("bindings") == 1, F.get("bindings", F.lit(0))).otherwise("mixed")
+    return grouped.select(
+        "obligation_id", outcome.alias("r6_outcome"), reason.alias("r6_reason"), named.alias("r6_approvals"), shown.alias("r6_binding"),
+        F.when(reason == "REVISION_NOT_APPROVED", F.col("revisions")).alias("r6_revisions"),
+        F.when(changed, F.col("wrong_digests")).otherwise(none).alias("r6_wrong_digests"), F.when(changed, F.col("wrong_revisions")).otherwise(none).alias("r6_wrong_revisions"),
+    )
 
 
 # --- R7 -------------------------------------------------------------------------

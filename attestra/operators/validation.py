@@ -22,12 +22,12 @@ def validated(raw: DataFrame, dataset: str, unmapped: DataFrame | None = None) -
     ``subject``, ``link_readable``, ``malformed`` and ``locator``.
 
     ``raw`` has the dataset's columns as strings, ``file``, ``row_number`` and
-    optionally ``x_source`` and ``malformed``. ``unmapped`` (dataset, source, field)
+    optionally ``x_source``, ``malformed``, ``raw_cells`` and ``header_count``. ``unmapped`` (dataset, source, field)
     lists cells whose label no value map knew: these are violations whatever they hold.
     """
     spec = DATASETS[dataset]
     rows = raw
-    for name, default in (("x_source", F.lit(None).cast("string")), ("malformed", F.lit(False)), ("raw_cells", F.lit(None).cast("array<string>"))):
+    for name, default in (("x_source", F.lit(None).cast("string")), ("malformed", F.lit(False)), ("raw_cells", F.lit(None).cast("array<string>")), ("header_count", F.lit(None).cast("int"))):
         if name not in rows.columns:
             rows = rows.withColumn(name, default)
     if unmapped is None:
@@ -62,6 +62,7 @@ def validated(raw: DataFrame, dataset: str, unmapped: DataFrame | None = None) -
         link.alias("link_readable"),
         "malformed",
         "raw_cells",
+        "header_count",
         F.coalesce("x_source", F.concat("file", F.lit("#row="), F.col("row_number").cast("string"))).alias("locator"),
         F.lit(dataset).alias("dataset"),
     )

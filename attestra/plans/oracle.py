@@ -166,7 +166,8 @@ def chain(binding: str = "digest") -> str:
     counted AS (SELECT s.obligation_id, s.project_id AS op, s.asset_id AS oa, s.activity_kind AS ok, count(*) FILTER (WHERE i.is_current) AS n_current,
                 count(*) FILTER (WHERE i.is_current AND completion_status = 'completed') AS n_completed, count(*) FILTER (WHERE NOT i.is_current) AS n_superseded,
                 max(i.inspection_id) FILTER (WHERE i.is_current) AS iid, max(i.revision) FILTER (WHERE i.is_current) AS irev, max(i.project_id) FILTER (WHERE i.is_current) AS ip,
-                max(i.asset_id) FILTER (WHERE i.is_current) AS ia, max(i.activity_kind) FILTER (WHERE i.is_current) AS ik
+                max(i.asset_id) FILTER (WHERE i.is_current) AS ia, max(i.activity_kind) FILTER (WHERE i.is_current) AS ik,
+                list_sort(list(i.inspection_id || '@' || i.revision) FILTER (WHERE i.is_current)) AS cur
                 FROM ls s LEFT JOIN li i ON i.obligation_id = s.obligation_id GROUP BY ALL),
     r2 AS MATERIALIZED (SELECT obligation_id, counted.* EXCLUDE (obligation_id), coalesce(keys, []) AS r2_blocked, CASE WHEN keys IS NOT NULL THEN 'BLOCKED_BY_UPSTREAM' WHEN n_current >= 2 THEN 'MULTIPLE_CURRENT'
              WHEN n_current = 1 AND n_completed = 0 THEN 'NOT_COMPLETED' WHEN n_current = 1 THEN CASE WHEN complete.i THEN 'SINGLE_CURRENT_COMPLETED' ELSE 'CARDINALITY_UNCONFIRMED' END
@@ -191,7 +192,7 @@ def chain(binding: str = "digest") -> str:
              CASE WHEN n_files = 0 THEN NULL WHEN n_away > 0 THEN CASE WHEN complete.e THEN 'FILE_ABSENT' ELSE 'NOT_CAPTURED' END WHEN n_unreadable > 0 THEN 'FILE_UNREADABLE' WHEN n_large > 0 THEN 'FILE_TOO_LARGE'
                   WHEN complete.a THEN 'EVIDENCE_AVAILABLE' ELSE 'AVAILABILITY_UNCONFIRMED' END AS r5_reason FROM r45, complete),
     ready AS (SELECT * FROM r45v WHERE r4_reason = 'REQUIRED_KINDS_PRESENT' AND r5_reason = 'EVIDENCE_AVAILABLE'),
-    bound AS (SELECT obligation_id, p.approval_id, p.decision, p.decided_at, p.evidence_digest, p.inspection_revision = irev AS now, digest, required_set,
+    bound AS (SELECT obligation_id, p.approval_id, p.decision, p.decided_at, p.evidence_digest, p.inspection_revision = irev AS now, p.inspection_revision AS for_revision, digest, required_set,
               (SELECT count(*) > 0 FROM lit x WHERE x.approval_id = p.approval_id) AS has_items,
               (SELECT list_sort(list_distinct(list(x.artifact_id || '@' || x.artifact_revision))) FROM lit x WHERE x.approval_id = p.approval_id AND list_contains(required_ids, x.artifact_id)) AS mine
               FROM ready LEFT JOIN lp p ON p.inspection_id = iid),
@@ -214,6 +215,78 @@ def chain(binding: str = "digest") -> str:
              FROM r2 LEFT JOIN r3 USING (obligation_id) LEFT JOIN r45v USING (obligation_id) LEFT JOIN r6 USING (obligation_id))"""
 
 
+def strings(e: str) -> str:
+    """JSON text of a list of plain strings."""
+    return f"""('[' || CASE WHEN len(coalesce({e}, [])) > 0 THEN '"' || array_to_string({e}, '","') || '"' ELSE '' END || ']')"""
+
+
+def payloads(binding: str = "digest") -> str:
+    """CTE ``payloads``: what the findings of R2 to R6 expected and observed, as canonical JSON; to stand after ``chain``."""
+    entry = """'{"artifact_id":"' || split_part(x, '@', 1) || '","revision":"' || split_part(x, '@', 2) || '"}'"""
+    off = lambda r, text: f"CASE WHEN {r}_reason = 'BLOCKED_BY_UPSTREAM' THEN '{{}}' ELSE {text} END"
+    member = {
+        "r2": ("""'{"current_completed_inspections":1}'""", f"""'{{"current_inspections":' || {strings('cur')} || ',"superseded_revisions":' || n_superseded || '}}'"""),
+        "r3": ("""'{"activity_kind":"' || ok || '","asset_id":"' || oa || '","project_id":"' || op || '"}'""", """'{"mismatches":[' || coalesce(wrong, '') || ']}'"""),
+        "r4": (f"""'{{"document_kinds":' || CASE WHEN needed IS NULL THEN 'null' ELSE {strings('needed')} END || '}}'""",
+               f"""'{{"kinds":{{' || coalesce(witnesses, '') || '}},"missing_kinds":' || {strings('missing')} || '}}'"""),
+        "r5": ("""'{"files":' || n_files || '}'""", """'{"files":[' || coalesce(probes, '') || ']}'"""),
+        "r6": (f"""'{{"approved_artifact_revisions":[' || CASE WHEN changed THEN coalesce(wrong_revisions, '') ELSE '' END || '],"approved_evidence_digests":' || CASE WHEN changed THEN {strings('wrong_digests')} ELSE '[]' END || '}}'""",
+               f"""'{{' || CASE WHEN r6_reason = 'REVISION_NOT_APPROVED' THEN '"approved_revisions":' || {strings('for_revisions')} || ',' ELSE '' END
+                || '"binding":"' || CASE WHEN r6_reason IN ('APPROVAL_UNCONFIRMED', 'NO_APPROVAL', 'REVISION_NOT_APPROVED') OR len(coalesce(bindings, [])) = 0 THEN '{binding}' WHEN len(bindings) = 1 THEN bindings[1] ELSE 'mixed' END
+                || '","current_artifact_revisions":[' || revs || '],"current_evidence_digest":"' || digest || '","decision_approvals":'
+                || CASE WHEN r6_reason LIKE 'BINDING%' THEN {strings('[doubtful]')} WHEN changed THEN {strings('stale')} WHEN r6_reason IN ('APPROVAL_UNCONFIRMED', 'NO_APPROVAL', 'REVISION_NOT_APPROVED') THEN '[]' ELSE {strings('deciding')} END || '}}'"""),
+    }
+    return f"""
+    mm AS (SELECT obligation_id, 'inspection:' || iid || '@' || irev AS subject, 'project_id' AS field, op AS expected, ip AS observed FROM cand WHERE ip <> op
+           UNION ALL SELECT obligation_id, 'inspection:' || iid || '@' || irev, 'asset_id', oa, ia FROM cand WHERE ia <> oa
+           UNION ALL SELECT obligation_id, 'inspection:' || iid || '@' || irev, 'activity_kind', ok, ik FROM cand WHERE ik <> ok
+           UNION ALL SELECT obligation_id, 'artifact:' || artifact_id || '@' || la.revision, 'project_id', op, la.project_id FROM cand JOIN la ON la.inspection_id = iid AND la.is_current WHERE la.project_id <> op
+           UNION ALL SELECT obligation_id, 'artifact:' || artifact_id || '@' || la.revision, 'asset_id', oa, la.asset_id FROM cand JOIN la ON la.inspection_id = iid AND la.is_current WHERE la.asset_id <> oa),
+    mmj AS (SELECT obligation_id, string_agg('{{"expected":"' || expected || '","field":"' || field || '","observed":"' || observed || '","subject":"' || subject || '"}}', ',' ORDER BY subject, field) AS wrong FROM mm GROUP BY obligation_id),
+    wit AS (SELECT obligation_id, string_agg('"' || document_kind || '":[' || ids || ']', ',' ORDER BY document_kind) AS witnesses FROM
+            (SELECT obligation_id, document_kind, string_agg('"' || artifact_id || '"', ',' ORDER BY artifact_id) AS ids FROM held GROUP BY ALL) GROUP BY obligation_id),
+    fil AS (SELECT obligation_id, string_agg('{{"artifact":"' || artifact_id || '@' || revision || '",' || coalesce('"sha256":"' || sha256 || '",', '') || '"status":"' || status || '"}}', ',' ORDER BY artifact_id || '@' || revision) AS probes,
+                   string_agg('{{"artifact_id":"' || artifact_id || '","revision":"' || revision || '"}}', ',' ORDER BY artifact_id, revision) AS revs FROM held GROUP BY obligation_id),
+    app AS (SELECT obligation_id, list_sort(list_distinct(list(for_revision) FILTER (WHERE for_revision IS NOT NULL))) AS for_revisions,
+                   list_sort(list_distinct(list(CASE WHEN evidence_digest IS NOT NULL THEN 'digest' ELSE 'revisions' END) FILTER (WHERE class IN ('MATCH', 'MISMATCH')))) AS bindings,
+                   list_sort(list_distinct(list(evidence_digest) FILTER (WHERE class = 'MISMATCH' AND evidence_digest IS NOT NULL))) AS wrong_digests,
+                   array_to_string(list_sort(list_distinct(list('[' || array_to_string(list_transform(coalesce(mine, []), lambda x: {entry}), ',') || ']') FILTER (WHERE class = 'MISMATCH' AND evidence_digest IS NULL))), ',') AS wrong_revisions,
+                   arg_min(approval_id, (decided_at, approval_id)) FILTER (WHERE class LIKE 'BINDING%' AND (t IS NULL OR decided_at > t)) AS doubtful,
+                   list_sort(list_distinct(list(approval_id) FILTER (WHERE class = 'MISMATCH'))) AS stale,
+                   list_sort(list_distinct(list(approval_id) FILTER (WHERE class = 'MATCH' AND decided_at = t))) AS deciding
+            FROM classed LEFT JOIN latest USING (obligation_id) GROUP BY obligation_id),
+    side AS (SELECT c.*, cur, op, oa, ok, needed, wrong, witnesses, probes, revs, app.* EXCLUDE (obligation_id), r6_reason = 'EVIDENCE_CHANGED_SINCE_APPROVAL' AS changed
+             FROM chain c JOIN (SELECT obligation_id, cur, op, oa, ok FROM r2) x USING (obligation_id) LEFT JOIN (SELECT obligation_id, needed FROM r45v) y USING (obligation_id)
+             LEFT JOIN mmj USING (obligation_id) LEFT JOIN wit USING (obligation_id) LEFT JOIN fil USING (obligation_id) LEFT JOIN app USING (obligation_id)),
+    payloads AS ({" UNION ALL ".join(f"SELECT '{r.upper()}:obligation:' || obligation_id AS key, {off(r, e)} AS expected, {off(r, o)} AS observed FROM side" for r, (e, o) in member.items())})"""
+
+
+def snapshot() -> str:
+    """CTE ``snapshot``: digest of each dataset, by a tree over the hashes of its canonical rows."""
+    parts = []
+    for name, spec in DATASETS.items():
+        shown = {f.name: f"CASE WHEN {f.name} THEN 'true' WHEN NOT {f.name} THEN 'false' ELSE 'null' END" if f.kind == "bool" else f"coalesce('\"' || {f.name} || '\"', 'null')" for f in spec.fields}
+        raw = json_of({f.name: f"raw_{f.name}" for f in spec.fields})
+        codes = [f"CASE WHEN r_{f.name} LIKE 'path:%' THEN 'INVALID_PATH' WHEN r_{f.name} IS NOT NULL THEN 'INVALID_VALUE' END" for f in spec.fields]
+        listed = f"list_sort(list_distinct(list_filter([{', '.join(codes)}, CASE WHEN copies IS NOT NULL THEN 'DUPLICATE_KEY' END], lambda x: x IS NOT NULL)))"
+        source = f"v_{name}"
+        if name == "artifacts":
+            del shown["relative_path"]
+            status = "CASE WHEN v.relative_path IS NULL THEN 'no_path' ELSE coalesce(f.status, 'absent') END"
+            shown["evidence"] = f"""CASE WHEN {status} = 'present' THEN '{{"sha256":"' || f.sha256 || '","status":"present"}}' ELSE '{{"status":"' || {status} || '"}}' END"""
+            source = "v_artifacts v LEFT JOIN files f USING (relative_path)"
+        plain = "'{' || " + " || ',' || ".join(f"""'"{k}":' || {e}""" for k, e in sorted(shown.items())) + " || '}'"
+        parts.append(f"""SELECT '{name}' AS dataset, CASE WHEN quarantined THEN '{{"quarantined":' || {strings(listed)} || ',"raw":' || {raw} || '}}' ELSE {plain} END AS body FROM {source}""")
+    levels, at = "", "leaf"
+    for k, digits in enumerate((8, 5, 2, 0)):
+        levels += f", level{k} AS (SELECT dataset, substr(node, 1, {digits}) AS node, sha256(string_agg(digest, ',' ORDER BY digest)) AS digest FROM {at} GROUP BY ALL)"
+        at = f"level{k}"
+    return f"""
+    hashed AS (SELECT dataset, sha256(body) AS h, count(*) AS n FROM ({" UNION ALL ".join(parts)}) GROUP BY ALL),
+    leaf AS (SELECT dataset, h AS node, sha256(h || ':' || n) AS digest FROM hashed){levels},
+    snapshot AS (SELECT dataset, CAST(n_rows AS BIGINT) AS n_rows, digest FROM {at} JOIN (SELECT dataset, sum(n) AS n_rows FROM hashed GROUP BY dataset) USING (dataset))"""
+
+
 PASSES = "('SINGLE_CURRENT_COMPLETED', 'IDENTITY_CONSISTENT', 'REQUIRED_KINDS_PRESENT', 'EVIDENCE_AVAILABLE', 'APPROVAL_COVERS_CURRENT')"
 UNSURE = "('CARDINALITY_UNCONFIRMED', 'ABSENCE_UNCONFIRMED', 'IDENTITY_UNCONFIRMED', 'KIND_ABSENCE_UNCONFIRMED', 'REQUIREMENT_UNDEFINED', 'NOT_CAPTURED', 'FILE_UNREADABLE', 'FILE_TOO_LARGE', 'AVAILABILITY_UNCONFIRMED', 'APPROVAL_UNCONFIRMED', 'CONFLICTING_DECISIONS', 'BINDING_STRENGTH_INSUFFICIENT', 'BINDING_UNAVAILABLE')"
 CAUSE = "CASE WHEN reason IN ('CARDINALITY_UNCONFIRMED', 'ABSENCE_UNCONFIRMED') THEN 'R1:dataset:inspections' WHEN reason = 'NOT_CAPTURED' THEN 'R1:dataset:evidence_files' WHEN reason = 'APPROVAL_UNCONFIRMED' THEN 'R1:dataset:approvals' WHEN reason IN ('IDENTITY_UNCONFIRMED', 'KIND_ABSENCE_UNCONFIRMED', 'AVAILABILITY_UNCONFIRMED') THEN 'R1:dataset:artifacts' END"
@@ -246,3 +319,7 @@ def over_chain(select: str, binding: str = "digest", dangling: bool = False, rec
     return over_shapes(select, chain(binding), FINDINGS, dangling=dangling, recursive=recursive)
 
 
+def over_payloads(select: str, binding: str = "digest", dangling: bool = False) -> str:
+    return over_shapes(select, chain(binding), payloads(binding), dangling=dangling)
+
+

@@ -8,6 +8,7 @@ session and folder; queries that read the same one share it.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,15 +16,15 @@ from pyspark.sql import functions as F
 
 from ..functions import grammar
 from ..functions.schema import DATASETS
-from ..operators import adapter, chain, coverage, findings, integrity, rules
-from ..operators.case import Case, Pack
-from ..sources import shapes
-from ..sources.staging import staged
+from ..operators import adapter, chain, coverage, findings, identity, integrity, rules
+from ..operators.case import Pack
+from ..sources import shapes, strict_csv
+from ..sources.staging import shared_dir, staged
 from . import oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-_DONE: dict[tuple, tuple[Case, chain.Evaluated, DataFrame]] = {}
+_DONE: dict[tuple, chain.Evaluated] = {}
 
 
 def register(sql: str | None = None):
@@ -38,19 +39,20 @@ def register(sql: str | None = None):
     return keep
 
 
-def assessed(spark: SparkSession, sf_dir: str, binding: str = "digest", dangling: bool = False) -> tuple[Case, chain.Evaluated, DataFrame]:
-    """The case, its evaluation and all findings, made once for a session."""
-    key = (spark.sparkContext.applicationId, sf_dir, binding, dangling)
+def assessed(spark: SparkSession, sf_dir: str, binding: str = "digest", dangling: bool = False) -> chain.Evaluated:
+    """The assessment, made once for a session and the files as they are, as far as queries ask for it."""
+    key = (spark.sparkContext.applicationId, sf_dir, file_state(spark, sf_dir), binding, dangling)
     if key not in _DONE:
-        case = shapes.case_of(spark, sf_dir, binding, dangling)
-        case.raw.update({n: staged(df, f"raw-{n}") for n, df in case.raw.items()})
-        case = Case(**(case.__dict__ | {"files": staged(case.files, "files")}))
-        done = chain.evaluate(case)
-        done = chain.Evaluated(done.records, done.defects, done.coverage, done.project, staged(done.chain, "chain"))
-        _DONE[key] = case, done, staged(chain.all_findings(case, done), "findings")
+        _DONE[key] = chain.evaluate(shapes.case_of(spark, sf_dir, binding, dangling))
     return _DONE[key]
 
 
+def file_state(spark: SparkSession, sf_dir: str) -> tuple:
+    """One row about the files of the tables: it differs if any was written, added or taken away."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([f"{sf_dir}/{t}.parquet" for t in shapes.TABLES])
+    return tuple(files.agg(F.count("*"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first())
+
+
 def forget() -> None:
     """Evaluate anew from here on."""
     _DONE.clear()
@@ -62,7 +64,7 @@ def joined(c: str | Column) -> Column:
 
 def step1(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Rows that pass the grammars; duplicates stay."""
-    _, done, _ = assessed(spark, sf_dir, dangling=True)
+    done = assessed(spark, sf_dir, dangling=True)
     return done.records.rows[name].where("size(violations) = 0 AND NOT malformed")
 
 
@@ -129,7 +131,7 @@ def q_sanitize_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(oracle.over_shapes(" UNION ALL ".join(f"SELECT '{n}' AS dataset, locator, '{f.name}' AS field, r_{f.name} AS rule, raw_{f.name} AS value FROM v_{n} WHERE r_{f.name} IS NOT NULL" for n, s in DATASETS.items() for f in s.fields)))
 def q_validate_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, done, _ = assessed(spark, sf_dir, dangling=True)
+    done = assessed(spark, sf_dir, dangling=True)
     parts = [rows.select("dataset", "locator", F.explode("violations").alias("v")).select("dataset", "locator", "v.field", "v.rule", "v.value") for rows in done.records.rows.values()]
     out = parts[0]
     for p in parts[1:]:
@@ -139,7 +141,7 @@ def q_validate_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(oracle.over_shapes(" UNION ALL ".join(f"SELECT '{n}' AS dataset, subject, copies, identical FROM g_{n}" for n in DATASETS)))
 def q_r0_duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, done, _ = assessed(spark, sf_dir, dangling=True)
+    done = assessed(spark, sf_dir, dangling=True)
     parts = [integrity.duplicate_keys(rows).select(F.lit(n).alias("dataset"), "subject", "copies", "identical") for n, rows in done.records.rows.items()]
     out = parts[0]
     for p in parts[1:]:
@@ -151,8 +153,8 @@ R0_COLUMNS = "kind, subject, code, outcome, required, CAST(n_rows AS BIGINT) AS
 
 
 def r0(spark: SparkSession, sf_dir: str, *codes: str) -> DataFrame:
-    _, _, found = assessed(spark, sf_dir, dangling=True)
-    rows = found.where("check_id = 'R0'").select(F.col("subject_kind").alias("kind"), F.col("subject_id").alias("subject"), F.col("reason").alias("code"), "outcome", "required", "observed")
+    done = assessed(spark, sf_dir, dangling=True)
+    rows = integrity.findings(done.defects, done.records).select(F.col("subject_kind").alias("kind"), F.col("subject_id").alias("subject"), F.col("reason").alias("code"), "outcome", "required", "observed")
     return rows.where(F.col("code").isin(*codes)) if codes else rows
 
 
@@ -195,7 +197,7 @@ def q_r0_dangling_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(oracle.over_integrity(f"SELECT {R0_COLUMNS} FROM r0"))
 def q_r0_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, done, _ = assessed(spark, sf_dir, dangling=True)
+    done = assessed(spark, sf_dir, dangling=True)
     n = done.defects.groupBy("kind", "subject", "code").agg(F.countDistinct("dataset", "locator").alias("n_rows"))
     return r0(spark, sf_dir).drop("observed").join(n, ["kind", "subject", "code"])
 
@@ -207,7 +209,7 @@ def q_r0_requiredness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(oracle.over_integrity(" UNION ALL ".join(f"SELECT '{n}' AS dataset, locator, array_to_string(obligations, ',') AS obligations, lost AS unattributable FROM a_{n}" for n in DATASETS)))
 def q_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, done, _ = assessed(spark, sf_dir, dangling=True)
+    done = assessed(spark, sf_dir, dangling=True)
     out = None
     for n in DATASETS:
         part = integrity.attributed(done.records, n).select(F.lit(n).alias("dataset"), "locator", joined("obligations").alias("obligations"), "unattributable")
@@ -217,23 +219,23 @@ def q_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(oracle.over_integrity("SELECT obligation_id, array_to_string(keys, ',') AS keys FROM blocking"))
 def q_r0_blocking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, done, _ = assessed(spark, sf_dir, dangling=True)
+    done = assessed(spark, sf_dir, dangling=True)
     return integrity.blocking(done.defects, done.records).select("obligation_id", joined("keys").alias("keys"))
 
 
 @register(oracle.over_integrity("SELECT obligation_id FROM obligations"))
 def q_scope_obligations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assessed(spark, sf_dir, dangling=True)[1].records.obligations
+    return assessed(spark, sf_dir, dangling=True).records.obligations
 
 
 @register(oracle.over_integrity("SELECT dataset, count(*) AS n FROM lost_rows GROUP BY dataset"))
 def q_unattributable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return integrity.unattributable(assessed(spark, sf_dir, dangling=True)[1].records)
+    return integrity.unattributable(assessed(spark, sf_dir, dangling=True).records)
 
 
 @register(oracle.over_integrity("SELECT dataset, count(*) AS n FROM wrong GROUP BY dataset"))
 def q_contradicted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return integrity.contradicted(assessed(spark, sf_dir, dangling=True)[1].defects)
+    return integrity.contradicted(assessed(spark, sf_dir, dangling=True).defects)
 
 
 # --- R1 -------------------------------------------------------------------------
@@ -243,12 +245,12 @@ EFFECT = "CASE WHEN len(reasons) = 0 THEN 'complete_for_declared_scope' ELSE 'pa
 
 @register(oracle.over_integrity(f"SELECT dataset, array_to_string(reasons, ',') AS reasons, {EFFECT} AS effective FROM coverage"))
 def q_effective_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assessed(spark, sf_dir, dangling=True)[1].coverage.select("dataset", joined("reasons").alias("reasons"), "effective")
+    return assessed(spark, sf_dir, dangling=True).coverage.select("dataset", joined("reasons").alias("reasons"), "effective")
 
 
 @register(oracle.over_integrity("SELECT dataset AS subject_id, CASE WHEN len(reasons) = 0 THEN 'PASS' ELSE 'UNKNOWN' END AS outcome, coalesce(reasons[1], 'COVERAGE_COMPLETE') AS reason FROM coverage"))
 def q_r1_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coverage.dataset_findings(assessed(spark, sf_dir, dangling=True)[1].coverage).select("subject_id", "outcome", "reason")
+    return coverage.dataset_findings(assessed(spark, sf_dir, dangling=True).coverage).select("subject_id", "outcome", "reason")
 
 
 @register(oracle.over_integrity(f"""
@@ -257,7 +259,8 @@ def q_r1_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
                WHEN bool_or(NOT quarantined AND scope_revision <> '{shapes.REVISION}') THEN 'SCOPE_REVISION_MISMATCH' WHEN bool_or(NOT quarantined AND project_id <> '{shapes.PROJECT}') THEN 'SCOPE_PROJECT_MISMATCH'
                ELSE 'SCOPE_ESTABLISHED' END AS reason FROM v_scope)"""))
 def q_r1_project(spark: SparkSession, sf_dir: str) -> DataFrame:
-    case, done, _ = assessed(spark, sf_dir, dangling=True)
+    done = assessed(spark, sf_dir, dangling=True)
+    case = done.case
     found = coverage.project_finding(case, done.records)
     return found.select("subject_id", "outcome", "reason", F.get_json_object("observed", "$.obligation_count").cast("long").alias("obligations"))
 
@@ -318,7 +321,7 @@ def q_r3_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT obligation_id, document_kind AS missing_kind FROM cand c JOIN (VALUES {oracle.KINDS}) AS k(activity_kind, document_kind) ON k.activity_kind = c.i_activity
     WHERE completion_status = 'completed' AND NOT EXISTS (SELECT 1 FROM sa a WHERE a.inspection_id = c.inspection_id AND a.is_current AND a.document_kind = k.document_kind)""", VALID, SINGLE))
 def q_r4_missing_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = rules.required_kinds(shapes.case_of(spark, sf_dir).pack, spark)
+    kinds = rules.required_kinds(shapes.pack(), spark)
     return rules.missing_kinds(candidates(spark, sf_dir), step1(spark, sf_dir, "artifacts"), kinds)
 
 
@@ -340,7 +343,7 @@ def q_r7_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def of_check(check: str, dangling: bool = False, binding: str = "digest") -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        _, _, found = assessed(spark, sf_dir, binding, dangling)
+        found = assessed(spark, sf_dir, binding, dangling).findings
         rows = found.where(F.col("check_id") == check)
         return rows.select("subject_id", "outcome", "reason", joined("blocked_by").alias("blocked_by"), joined("caused_by").alias("caused_by"))
 
@@ -355,25 +358,72 @@ for _check in ("R2", "R3", "R4", "R5", "R6"):
         QUERIES["q_r6_revision_binding"], ORACLE_SQL["q_r6_revision_binding"] = of_check(_check, binding="revisions"), oracle.over_chain(_sql, "revisions")
 
 
+@register(oracle.over_shapes("SELECT dataset, n_rows, digest FROM snapshot", oracle.snapshot()))
+def q_snapshot_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = assessed(spark, sf_dir, dangling=True)
+    return identity.snapshot_digest(done.case, done.records)
+
+
+@register(oracle.over_chain("SELECT count(*) AS findings, count(DISTINCT key) AS keys FROM findings", dangling=True))
+def q_unique_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many keys as findings: the guard of the assessment, as counts."""
+    found = assessed(spark, sf_dir, dangling=True).findings
+    twice = findings.duplicate_findings(found).agg((F.count("*")).alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return found.agg(F.count("*").alias("findings")).join(F.broadcast(twice)).select("findings", (F.col("findings") - F.col("n") + F.col("keys")).alias("keys"))
+
+
+SCOPE_CELLS = ", ".join(f.name for f in DATASETS["scope"].fields)
+
+
+@register(oracle.over_shapes(f"SELECT {SCOPE_CELLS} FROM raw_scope"))
+def q_strict_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scope written as CSV files and read by the strict source."""
+    path = f"{shared_dir(spark)}/scope-csv-{uuid.uuid4().hex}"
+    assessed(spark, sf_dir, dangling=True).case.raw["scope"].select(*SCOPE_CELLS.split(", ")).write.option("header", "true").csv(path)
+    return strict_csv.read_dataset(spark, f"{path}/*.csv", "scope").where("NOT malformed").select(*SCOPE_CELLS.split(", "))
+
+
+def payloads(spark: SparkSession, sf_dir: str, binding: str = "digest", dangling: bool = False) -> DataFrame:
+    """What each finding of R2 to R6 expected and observed, as canonical JSON."""
+    found = assessed(spark, sf_dir, binding, dangling).findings.where("check_id IN ('R2', 'R3', 'R4', 'R5', 'R6')")
+    return findings.keyed(found).select("key", "expected", "observed")
+
+
+@register(oracle.over_payloads("SELECT key, expected, observed FROM payloads"))
+def q_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payloads(spark, sf_dir)
+
+
+@register(oracle.over_payloads("SELECT key, expected, observed FROM payloads", dangling=True))
+def q_payloads_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payloads(spark, sf_dir, dangling=True)
+
+
+@register(oracle.over_payloads("SELECT key, expected, observed FROM payloads", "revisions"))
+def q_payloads_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payloads(spark, sf_dir, "revisions")
+
+
 @register(oracle.over_chain("SELECT obligation_id, r2_reason, r3_reason, r4_reason, r5_reason, r6_reason FROM chain"))
 def q_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assessed(spark, sf_dir)[1].chain.select("obligation_id", "r2_reason", "r3_reason", "r4_reason", "r5_reason", "r6_reason")
+    return assessed(spark, sf_dir).chain.select("obligation_id", "r2_reason", "r3_reason", "r4_reason", "r5_reason", "r6_reason")
 
 
 @register(oracle.over_chain("SELECT obligation_id, digest FROM chain WHERE digest IS NOT NULL"))
 def q_evidence_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assessed(spark, sf_dir)[1].chain.where("digest IS NOT NULL").select("obligation_id", "digest")
+    return assessed(spark, sf_dir).chain.where("digest IS NOT NULL").select("obligation_id", "digest")
 
 
 @register(oracle.over_chain("SELECT obligation_id, coalesce(array_to_string(missing, ','), '') AS missing, CAST(n_files AS BIGINT) AS n_files FROM r45v"))
 def q_r4_r5_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = assessed(spark, sf_dir)[1].chain.where("n_files IS NOT NULL")
+    rows = assessed(spark, sf_dir).chain.where("n_files IS NOT NULL")
     return rows.select("obligation_id", F.coalesce(joined("missing"), F.lit("")).alias("missing"), F.col("n_files").cast("long").alias("n_files"))
 
 
 @register(oracle.over_chain("SELECT obligation_id, approval_id, class FROM classed JOIN latest USING (obligation_id) WHERE class = 'MATCH' AND decided_at = t"))
 def q_r6_latest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    case, done, _ = assessed(spark, sf_dir)
+    done = assessed(spark, sf_dir)
+    case = done.case
     live = done.records.live
     kinds = rules.required_kinds(case.pack, spark)
     picked = done.chain.where("r3_outcome IN ('PASS', 'UNKNOWN')").select("obligation_id", "candidate.*")
@@ -389,7 +439,7 @@ def q_r6_latest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(oracle.over_chain("SELECT key, check_id, outcome, reason, required FROM findings", dangling=True))
 def q_all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings.keyed(assessed(spark, sf_dir, dangling=True)[2]).select("key", "check_id", "outcome", "reason", "required")
+    return findings.keyed(assessed(spark, sf_dir, dangling=True).findings).select("key", "check_id", "outcome", "reason", "required")
 
 
 @register(oracle.over_chain("""
@@ -398,50 +448,50 @@ def q_all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT outcome, 'advisory', (SELECT count(*) FROM findings f WHERE f.outcome = o.outcome AND NOT required) FROM (VALUES ('PASS'), ('FAIL'), ('UNKNOWN'), ('NOT_EVALUATED')) AS o(outcome)
     UNION ALL SELECT outcome, 'roots', (SELECT count(*) FROM findings f WHERE f.outcome = o.outcome AND required AND caused_by IS NULL) FROM (VALUES ('FAIL'), ('UNKNOWN')) AS o(outcome)""", dangling=True))
 def q_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings.counts(assessed(spark, sf_dir, dangling=True)[2])
+    return findings.counts(assessed(spark, sf_dir, dangling=True).findings)
 
 
 @register(oracle.over_chain("SELECT key FROM findings WHERE required AND outcome IN ('FAIL', 'UNKNOWN') AND caused_by IS NULL", dangling=True))
 def q_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings.roots(findings.keyed(assessed(spark, sf_dir, dangling=True)[2])).select("key")
+    return findings.roots(findings.keyed(assessed(spark, sf_dir, dangling=True).findings)).select("key")
 
 
 @register(oracle.over_chain("SELECT CASE WHEN bool_or(outcome = 'FAIL') THEN 'BLOCKED' WHEN bool_or(outcome IN ('UNKNOWN', 'NOT_EVALUATED')) THEN 'UNKNOWN' ELSE 'READY_FOR_REVIEW' END AS status FROM findings WHERE required"))
 def q_project_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings.status(assessed(spark, sf_dir)[2])
+    return findings.status(assessed(spark, sf_dir).findings)
 
 
 @register(oracle.over_chain("""
     , edges AS (SELECT unnest(blocked_by) AS top, key AS below FROM findings), reach AS (SELECT top, below FROM edges UNION SELECT r.top, e.below FROM reach r JOIN edges e ON e.top = r.below)
     SELECT key, count(below) AS n FROM findings LEFT JOIN reach ON top = key GROUP BY key""", recursive=True).replace("\n\n    , edges", ",\n edges").replace("\n    , edges", ",\n edges"))
 def q_blocks_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings.blocks(assessed(spark, sf_dir)[2])
+    return findings.blocks(assessed(spark, sf_dir).findings)
 
 
 @register(oracle.over_chain("SELECT subject_id, " + ", ".join(f"max(outcome) FILTER (WHERE check_id = 'R{k}') AS \"R{k}\"" for k in range(2, 7)) + " FROM findings WHERE subject_kind = 'obligation' GROUP BY subject_id"))
 def q_obligation_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings.grid(assessed(spark, sf_dir)[2])
+    return findings.grid(assessed(spark, sf_dir).findings)
 
 
 @register(oracle.over_chain("""
     SELECT key, row_number() OVER (ORDER BY check_id, list_position(['snapshot','project','dataset','obligation','scope_row','inspection','artifact','approval','approval_item','unattributable_row'], subject_kind), subject_id, coalesce(code_suffix, '')) AS place
     FROM findings WHERE check_id IN ('R1', 'R7')"""))
 def q_findings_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings.numbered(assessed(spark, sf_dir)[2].where("check_id IN ('R1', 'R7')"))
+    return findings.numbered(assessed(spark, sf_dir).findings.where("check_id IN ('R1', 'R7')"))
 
 
 @register(oracle.over_chain("""
     SELECT key, row_number() OVER (ORDER BY check_id, list_position(['snapshot','project','dataset','obligation','scope_row','inspection','artifact','approval','approval_item','unattributable_row'], subject_kind), subject_id, coalesce(code_suffix, '')) AS place
     FROM findings"""))
 def q_all_findings_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings.numbered(assessed(spark, sf_dir)[2])
+    return findings.numbered(assessed(spark, sf_dir).findings)
 
 
 @register(oracle.over_shapes("SELECT coalesce(a.key, b.key) AS key, CASE WHEN a.key IS NULL THEN 'added' WHEN b.key IS NULL THEN 'removed' WHEN a.outcome = b.outcome AND a.reason = b.reason AND a.blocked = b.blocked THEN 'unchanged' ELSE 'changed' END AS change FROM before a FULL JOIN after b ON a.key = b.key",
     oracle.chain(), "before AS (SELECT 'R6:obligation:' || obligation_id AS key, " + oracle.outcome("r6_reason") + " AS outcome, r6_reason AS reason, r6_blocked AS blocked FROM chain WHERE CAST(substr(obligation_id, 3) AS BIGINT) % 7 <> 0)",
     "after AS (SELECT 'R6:obligation:' || obligation_id AS key, " + oracle.outcome("r6_reason") + " AS outcome, CASE WHEN r6_reason = 'APPROVAL_REJECTED' THEN 'APPROVAL_REVOKED' ELSE r6_reason END AS reason, r6_blocked AS blocked FROM chain WHERE CAST(substr(obligation_id, 3) AS BIGINT) % 5 <> 0)", dangling=False))
 def q_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = assessed(spark, sf_dir)[2].where("check_id = 'R6'")
+    run = assessed(spark, sf_dir).findings.where("check_id = 'R6'")
     number = F.substring("subject_id", 3, 20).cast("long")
     later = run.where(number % 5 != 0).withColumn("reason", F.when(F.col("reason") == "APPROVAL_REJECTED", "APPROVAL_REVOKED").otherwise(F.col("reason")))
     return findings.compare(run.where(number % 7 != 0), later).select("key", "change")
@@ -452,7 +502,7 @@ def q_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT coalesce(a.key, b.key) AS key, CASE WHEN a.key IS NULL THEN 'added' WHEN b.key IS NULL THEN 'removed' WHEN a.outcome = b.outcome AND a.reason = b.reason AND a.blocked_by = b.blocked_by THEN 'unchanged' ELSE 'changed' END AS change
     FROM before a FULL JOIN after b ON a.key = b.key""").replace("\n\n    , before", ",\n before").replace("\n    , before", ",\n before"))
 def q_compare_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = findings.keyed(assessed(spark, sf_dir)[2])
+    run = findings.keyed(assessed(spark, sf_dir).findings)
     number = F.ascii(F.substring("key", -1, 1))
     later = run.where(number % 5 != 0).withColumn("reason", F.when(F.col("reason") == "APPROVAL_REJECTED", "APPROVAL_REVOKED").otherwise(F.col("reason")))
     return findings.compare(run.where(number % 7 != 0), later).select("key", "change")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.case import Case, Declared, Pack
 from ..operators.rules import EVIDENCE_SCHEME
+from .staging import staged_together
 
 PROJECT, REVISION, AS_OF = "NC-001", "S1", "2001-10-25T00:00:00.000000Z"
 REQUIREMENTS = {"visual_inspection": ("inspection_report", "photo")}
@@ -27,6 +28,7 @@ SHAPES: dict[str, str] = {
                CAST(row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice, l_discount, l_tax) AS STRING) AS rank
         FROM lineitem""",
     "n_docs": "SELECT count(*) AS n FROM documents",
+    "doc_sha": """SELECT doc_id, {sha("coalesce(text, '')")} AS sha FROM documents""",
     "n_events": "SELECT count(*) AS n FROM events",
     "raw_scope": """
         SELECT 'O-' || CAST(o_orderkey AS STRING) AS obligation_id, 'NC-001' AS project_id, 'S1' AS scope_revision,
@@ -59,8 +61,8 @@ SHAPES: dict[str, str] = {
         WHERE NOT (k = 'P' AND p % 11 = 0)""",
     "files": """
         SELECT relative_path, CASE WHEN p % 197 = 0 THEN 'unreadable' WHEN p % 199 = 0 THEN 'too_large' ELSE 'present' END AS status,
-               CASE WHEN p % 197 = 0 OR p % 199 = 0 THEN NULL ELSE {sha("coalesce(text, '')")} END AS sha256
-        FROM raw_artifacts, n_docs JOIN documents ON TRUE
+               CASE WHEN p % 197 = 0 OR p % 199 = 0 THEN NULL ELSE sha END AS sha256
+        FROM raw_artifacts, n_docs JOIN doc_sha ON TRUE
         WHERE doc_id = p % n AND relative_path LIKE 'docs/%/%' AND relative_path NOT LIKE '%..%' AND p % 31 <> 0""",
     "evidence_of": """
         SELECT inspection_id,
@@ -118,19 +120,31 @@ def prelude(dangling: bool = True) -> str:
     return ",\n".join(f"{name} AS MATERIALIZED ({shape_sql(name, True, dangling)})" for name in SHAPES)
 
 
+#: Shapes that are written, those of a tuple side by side: what several others read, and the raw datasets. A text is hashed once, not once for each artifact that it stands for.
+WAVES = (("line", "doc_sha", "raw_scope"), ("raw_inspections", "raw_artifacts"), ("files",), ("signed",), ("raw_approvals",), ("raw_approval_items",))
+
+
 def shapes(spark: SparkSession, sf_dir: str, dangling: bool = True) -> dict[str, DataFrame]:
-    """The shapes as DataFrames; nothing is run."""
+    """The shapes as DataFrames; those of ``WAVES`` are written on the way."""
     views = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
+    due = list(WAVES)
     for name in SHAPES:
+        # by its first reader a wave's shapes are all there
         sql, used = shape_sql(name, False, dangling).replace("{", "{{").replace("}", "}}"), {}
         for table in sorted(views, key=len, reverse=True):
             found = re.sub(rf"((?:FROM|JOIN|,)\s+){table}\b(?=[\s,]|$)", rf"\1{{{table}}}", sql)
             if found != sql:
                 sql, used[table] = found, views[table]
         views[name] = spark.sql(sql, **used)
+        if due and name == max(due[0], key=list(SHAPES).index):
+            views |= staged_together({n: views[n] for n in due.pop(0)}, "shape-")
     return {name: views[name] for name in SHAPES}
 
 
+def pack(binding: str = "digest") -> Pack:
+    return Pack(PROJECT, REVISION, REQUIREMENTS, BASES, binding)
+
+
 def case_of(spark: SparkSession, sf_dir: str, binding: str = "digest", dangling: bool = True, **changes) -> Case:
     """An assessable case over the benchmark tables."""
     made = shapes(spark, sf_dir, dangling)
@@ -138,7 +152,7 @@ def case_of(spark: SparkSession, sf_dir: str, binding: str = "digest", dangling:
     raw = {n: made[f"raw_{n}"].drop("p", "s") for n in names}
     whole = Declared("complete_for_declared_scope", BASES[0], "stable_verified")
     settings = {
-        "raw": raw, "files": made["files"], "pack": Pack(PROJECT, REVISION, REQUIREMENTS, BASES, binding), "project_id": PROJECT, "as_of": AS_OF,
+        "raw": raw, "files": made["files"], "pack": pack(binding), "project_id": PROJECT, "as_of": AS_OF,
         "declared": dict.fromkeys(("inspections", "artifacts", "approvals", "evidence_files"), whole), "scope_revision": REVISION,
     }
     return Case(**(settings | changes))

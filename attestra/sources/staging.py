@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder for cut lineage; a local one only where it is unset."""
+    """The cluster's shared folder for cut lineage; a local one only where it is unset and Spark runs in this one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="attestra-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -29,3 +32,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     return spark.read.parquet(path)
+
+
+def staged_together(tables: dict[str, DataFrame], prefix: str = "") -> dict[str, DataFrame]:
+    """Tables that don't need each other, written by jobs that run side by side."""
+    with ThreadPoolExecutor(max(1, len(tables))) as pool:
+        jobs = {name: pool.submit(staged, df, prefix + name) for name, df in tables.items()}
+        return {name: job.result() for name, job in jobs.items()}
