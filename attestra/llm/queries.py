@@ -115,7 +115,26 @@ QUALITY_SQL = r"""
                 OR (10 * n_dup_lines > 3 * n_lines AND n_dup_lines >= 3)
                 OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
     FROM b"""
+BACKOFF_SQL = r"""
+    WITH t AS (
+        SELECT row_number() OVER () AS r, doc_id, list_concat(['<s>'], list_transform(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda x: 'w' || x), ['</s>']) AS w
+        FROM documents),
+    p AS (SELECT r, doc_id, unnest(w[2:]) AS a, unnest(w[:-2]) AS b, unnest(list_concat([NULL], w[:-3])) AS c FROM t),
+    k AS (SELECT r, doc_id, a AS g1, b AS v2, b || ' ' || a AS g2, c || ' ' || b AS v3, c || ' ' || b || ' ' || a AS g3 FROM p),
+    n AS (
+        SELECT r, doc_id, g3,
+               count(*) OVER (PARTITION BY g1) - count(*) OVER (PARTITION BY r, g1) AS n1, count(*) OVER () - count(*) OVER (PARTITION BY r) AS of1,
+               count(*) OVER (PARTITION BY g2) - count(*) OVER (PARTITION BY r, g2) AS n2, count(*) OVER (PARTITION BY v2) - count(*) OVER (PARTITION BY r, v2) AS of2,
+               count(*) OVER (PARTITION BY g3) - count(*) OVER (PARTITION BY r, g3) AS n3, count(*) OVER (PARTITION BY v3) - count(*) OVER (PARTITION BY r, v3) AS of3
+        FROM k),
+    s AS (
+        SELECT r, doc_id, CASE WHEN g3 IS NOT NULL AND n3 > 0 THEN 0 WHEN n2 > 0 THEN CASE WHEN g3 IS NULL THEN 0 ELSE 1 END ELSE CASE WHEN g3 IS NULL THEN 1 ELSE 2 END END AS drops,
+               CASE WHEN g3 IS NOT NULL AND n3 > 0 THEN ln(n3 / of3) WHEN n2 > 0 THEN ln(n2 / of2) WHEN n1 > 0 THEN ln(n1 / of1) ELSE ln(0.5 / greatest(of1, 1)) END AS s
+        FROM n)
+    SELECT any_value(doc_id) AS doc_id, count(*) AS n_words, round(sum(s + drops * ln(0.4)), 6) AS score, CAST(count_if(drops > 0) AS BIGINT) AS n_backed_off
+    FROM s GROUP BY r"""
 SQL: dict[str, str] = {
+    "op10_backoff_scores": BACKOFF_SQL,
     "op3_license_scan": licenses.oracle(),
     "op7_quality_rules": QUALITY_SQL,
     "op10_lm_scores": r"""
