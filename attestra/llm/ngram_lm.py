@@ -7,14 +7,19 @@ Words are 64-bit hashes. Counts and scores meet in partitions of the n-gram
 hash: a context's pairs share a partition, so c(v) is the sum of c(v w) there.
 Contexts that fill more than half a partition are found by counting all words
 first; their pairs are spread by the whole pair, and their counts, of which there
-are at most ``2 * N / size`` < 2^21, are broadcast. Each task packs the pairs of a
+are at most ``2 * N / size`` < 2^21, are broadcast. A pair that fills more than half a
+partition has two such words: those pairs are counted next, their counts are broadcast
+under the same bound, and they are scored where they are met and never shuffled. So no
+key has more rows than half a partition. Each task packs the pairs of a
 batch of documents into one row for each partition (sorted pairs, and the
 documents that hold them), so the shuffle carries each pair of a batch once.
 Partial sums go back by batch and are added per document.
 
 With no ``train`` the model is counted on the documents themselves; then every
 pair has been seen. With ``train``, pairs that it lacks are looked up in the word
-counts by a join on the word's hash.
+counts by a join on the word's hash. Batches are numbered by task and place, so
+``docs`` must come in the same order if a task runs again: from files, or written
+before.
 
 Edge cases: a null or empty text has the one pair ``<s> </s>``; texts are read
 whole; repeated rows count each time and each gets its score; null ids go
@@ -101,36 +106,94 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])])
 
 
-def pair_blocks(docs: DataFrame, train: bool, hot: dict[int, int], parts: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+class Hot:
+    """Frequent words (hash, count, sorted by hash) and frequent pairs of them (code, count, sorted by code)."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray):
+        order = np.argsort(words)
+        self.words, self.counts = words[order], counts[order]
+        self.pairs, self.pair_counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def place(self, words: np.ndarray) -> np.ndarray:
+        """Where each word is in ``words``, or -1."""
+        if not len(self.words):
+            return np.full(len(words), -1)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, at, -1)
+
+    def codes(self, c: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """A number for each pair of two frequent words, -1 for others."""
+        i, j = self.place(c), self.place(w)
+        return np.where((i >= 0) & (j >= 0), i * len(self.words) + j, -1)
+
+    def scored(self, c: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs are frequent, and their scores."""
+        if not len(self.pairs):
+            return np.zeros(len(c), bool), np.zeros(0)
+        code = self.codes(c, w)
+        at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
+        met = self.pairs[at] == code
+        return met, np.log(self.pair_counts[at[met]]) - np.log(self.counts[code[met] // len(self.words)])
+
+
+def _rows_of(text: bytes, hashes: dict[bytes, int]) -> np.ndarray:
+    """Hashes of a text's words between its marks; ``hashes`` is a bounded cache."""
+    words = text.split()
+    if len(hashes) > FLUSH:
+        hashes.clear()
+    for w in set(words).difference(hashes):
+        hashes[w] = xxhash.xxh64_intdigest(w)
+    row = np.empty(len(words) + 2, np.uint64)
+    row[0], row[-1] = START, END
+    row[1:-1] = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    return row
+
+
+def hot_pairs(docs: DataFrame, hot: Hot, text_col: str = "text") -> DataFrame:
+    """``code``, ``n``: how often each pair of two frequent words stands in the texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes: dict[bytes, int] = {}
+        for b in batches:
+            found = []
+            for text in byte_texts(b.column(0)):
+                row = _rows_of(text, hashes)
+                code = shared.value.codes(row[:-1], row[1:])
+                found.append(code[code >= 0])
+            code, n = np.unique(np.concatenate(found or [np.zeros(0, np.int64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], ["code", "n"])
+
+    found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "code long, n long")
+    return found.groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def pair_blocks(docs: DataFrame, train: bool, hot: Hot, parts: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``PAYLOAD``: the pairs of a batch of documents that belong to one partition.
 
     A body holds contexts, pairs of each context, words, pairs' holders, the
     holders' places among the batch's documents, how often each holds the pair,
     and the documents' ids.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(np.array(sorted(hot), np.uint64))
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes: dict[bytes, int] = {}
-        busy, task = shared.value, TaskContext.get().partitionId()
+        busy, task = shared.value.words, TaskContext.get().partitionId()
         number = 0
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 b = whole.slice(at, 4096)
                 context, word, doc = [], [], []
                 for k, text in enumerate(byte_texts(b.column(1))):
-                    words = text.split()
-                    for w in set(words).difference(hashes):
-                        hashes[w] = xxhash.xxh64_intdigest(w)
-                    row = np.empty(len(words) + 2, np.uint64)
-                    row[0], row[-1] = START, END
-                    row[1:-1] = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+                    row = _rows_of(text, hashes)
                     context.append(row[:-1])
                     word.append(row[1:])
                     doc.append(np.full(len(row) - 1, k, np.uint32))
-                    if len(hashes) > FLUSH:
-                        hashes.clear()
                 c, w, d = map(np.concatenate, (context, word, doc))
+                met, value = shared.value.scored(c, w)
+                known = _pack(np.bincount(d[met], value, b.num_rows).view(np.int64), np.bincount(d[met], minlength=b.num_rows).astype(np.int64))
+                c, w, d = c[~met], w[~met], d[~met]
                 spread = np.isin(c, busy)
                 part = ((c * MIX + np.where(spread, w * MIX + np.uint64(1), np.uint64(0))) >> np.uint64(20)) % np.uint64(parts)
                 order = np.lexsort((d, w, c, part))
@@ -151,9 +214,12 @@ def pair_blocks(docs: DataFrame, train: bool, hot: dict[int, int], parts: int, i
                 block = (task << 32) + number
                 number += 1
                 names = _pack(*((ids.astype(np.int64),) if ids is not None else (b.column(0).fill_null(0).to_numpy().astype(np.int64), b.column(0).is_null().to_numpy(zero_copy_only=False).astype(np.uint32))))
-                owner = [] if train else [-1 - block]
+                owner = [] if train else [-1 - block] * 2  # the ids, and the sums so far, told apart by the flag
                 n = len(rows) + len(owner)
-                columns = [pa.array([*map(int, part[starts]), *owner], pa.int64()), pa.array([block] * n, pa.int64()), pa.array([train] * n), pa.array(rows + [names] * len(owner), pa.binary())]
+                columns = [
+                    pa.array([*map(int, part[starts]), *owner], pa.int64()), pa.array([block] * n, pa.int64()),
+                    pa.array([train] * len(rows) + [False, True][: len(owner)]), pa.array(rows + [names, known][: len(owner)], pa.binary()),
+                ]
                 yield pa.RecordBatch.from_arrays(columns, ["part", "block", "train", "body"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -165,12 +231,17 @@ def scores(docs: DataFrame, train: DataFrame | None = None, alpha: float = 0.4,
     spark = docs.sparkSession
     own = train is None
     words = staged(word_counts(docs if own else train, text_col), "word-counts")
-    start, end = (int(np.array(x).view(np.int64)) for x in (START, END))
+    start = int(np.array(START).view(np.int64))
     total = words.where(F.col("word") != start).agg(F.sum("n")).first()[0] or 0  # words and ends: what is predicted
     size = max(size, total >> 20)
     # at most 2 * total / size, so under 2^21
-    hot = {r.word % (1 << 64): r.n for r in words.where((F.col("n") > size // 2) & (F.col("word") != end)).collect()}
+    busy = words.where(F.col("n") > size // 2).toArrow()
+    hot = Hot(busy.column("word").to_numpy().astype(np.int64).view(np.uint64), busy.column("n").to_numpy().astype(np.int64))
     parts = 1 + total // size
+    if len(hot.words):
+        # likewise at most 2 * total / size
+        common = hot_pairs(docs if own else train, hot, text_col).where(F.col("n") > size // 2).orderBy("code").toArrow()
+        hot.pairs, hot.pair_counts = (common.column(c).to_numpy().astype(np.int64) for c in ("code", "n"))
     counted = spark.sparkContext.broadcast(hot)
     blocks = pair_blocks(docs, False, hot, parts, id_col, text_col)
     if not own:
@@ -180,8 +251,8 @@ def scores(docs: DataFrame, train: DataFrame | None = None, alpha: float = 0.4,
         part = table.column("part")[0].as_py()
         schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("body", pa.binary())])
         block, body = table.column("block").to_pylist(), table.column("body").to_pylist()
-        if part < 0:  # the ids of one batch
-            return pa.table([block, [0] * len(block), body], schema=schema)
+        if part < 0:  # the ids of one batch, and its sums over frequent pairs
+            return pa.table([block, list(map(int, table.column("train").to_pylist())), body], schema=schema)
         opened = [_unpack(x) for x in body]
         trains = np.array(table.column("train").to_pylist()) if not own else np.ones(len(body), bool)
         # every batch's pairs at once: sorted, equal ones are one row of this partition's count table
@@ -196,8 +267,8 @@ def scores(docs: DataFrame, train: DataFrame | None = None, alpha: float = 0.4,
         at = _runs(cs[first])
         context = np.add.reduceat(count, at)
         whole = counted.value
-        for k in np.flatnonzero(np.isin(cs[first][at], np.fromiter(whole, np.uint64, len(whole)))):
-            context[k] = whole[int(cs[first][at][k])]
+        place = whole.place(cs[first][at])
+        context = np.where(place >= 0, whole.counts[place] if len(whole.counts) else 0, context)
         context = np.repeat(context, np.diff(np.r_[at, len(first)]))
         value = np.log(np.maximum(count, 1)) - np.log(np.maximum(context, 1))
         slot = np.empty(len(cs), np.int64)
