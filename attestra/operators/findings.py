@@ -75,15 +75,16 @@ def status(findings: DataFrame) -> DataFrame:
 EXIT_CODES = {"READY_FOR_REVIEW": 0, "BLOCKED": 10, "UNKNOWN": 11}
 
 
-def blocks(findings: DataFrame, depth: int = 5) -> DataFrame:
+def blocks(findings: DataFrame, depth: int = len(CHECKS) - 1) -> DataFrame:
     """``key``, ``n``: how many findings each finding blocks, directly or through others.
 
-    The chain of checks bounds a path's length, so the closure is a fixed number of
-    joins; paths are made distinct after each.
+    A finding is blocked by findings of earlier checks alone, so the number of checks
+    bounds a path's length and the closure is a fixed number of joins; paths are made
+    distinct after each.
     """
     edges = keyed(findings).select("key", F.explode("blocked_by").alias("by"))
     reach = step = edges.select(F.col("by").alias("top"), F.col("key").alias("below"))
-    for _ in range(depth - 1):  # R1 -> R2 -> R3 -> R4 -> R6 is the longest
+    for _ in range(depth - 1):
         step = step.join(edges, step.below == edges.by).select("top", F.col("key").alias("below")).distinct()
         reach = reach.unionByName(step)
     found = reach.groupBy("top").agg(F.countDistinct("below").alias("n"))
@@ -103,7 +104,6 @@ def compare(before: DataFrame, after: DataFrame) -> DataFrame:
     return old.join(new, "key", "full_outer").select("key", change.alias("change"), "old", "new")
 
 
-def first_and_more(items: Column) -> Column:
-    """The first of a list by order, and how many more there are."""
-    more = F.size(items) - 1
-    return F.when(more > 0, F.concat(F.array_min(items), F.lit(" (and "), more.cast("string"), F.lit(" more)"))).otherwise(F.array_min(items))
+def first_and_more(first: Column, n: Column) -> Column:
+    """The first of ``n`` things by order, and how many more there are; both come from pre-aggregated sums."""
+    return F.when(n > 1, F.concat(first, F.lit(" (and "), (n - 1).cast("string"), F.lit(" more)"))).otherwise(first)

@@ -261,6 +261,25 @@ def payloads(binding: str = "digest") -> str:
     payloads AS ({" UNION ALL ".join(f"SELECT '{r.upper()}:obligation:' || obligation_id AS key, {off(r, e)} AS expected, {off(r, o)} AS observed FROM side" for r, (e, o) in member.items())})"""
 
 
+def citations() -> str:
+    """CTE ``citations``: the rows that each finding cites; to stand after ``chain``."""
+    on = lambda r: f"{r}_reason <> 'BLOCKED_BY_UPSTREAM'"
+    key = lambda r: f"'{r.upper()}:obligation:' || j.obligation_id"
+    parts = [f"SELECT {key(r)} AS key, 'scope' AS dataset, ls.locator FROM judged j JOIN ls USING (obligation_id) WHERE {on(r)}" for r in ("r2", "r3")]
+    parts.append(f"SELECT {key('r2')}, 'inspections', li.locator FROM judged j JOIN li ON li.obligation_id = j.obligation_id WHERE {on('r2')}")
+    parts += [f"SELECT {key(r)}, 'inspections', li.locator FROM judged j JOIN li ON li.inspection_id = iid AND li.revision = irev WHERE {on(r)}" for r in ("r3", "r4", "r5", "r6")]
+    parts.append(f"SELECT {key('r3')}, 'artifacts', la.locator FROM judged j JOIN la ON la.inspection_id = iid AND la.is_current WHERE {on('r3')}")
+    parts += [f"SELECT {key(r)}, 'artifacts', la.locator FROM judged j JOIN la ON la.inspection_id = iid AND la.is_current JOIN kinds k ON k.activity_kind = ik AND k.document_kind = la.document_kind WHERE {on(r)}" for r in ("r4", "r5")]
+    parts.append(f"SELECT {key('r6')}, 'approvals', lp.locator FROM judged j JOIN lp ON lp.inspection_id = iid WHERE {on('r6')}")
+    parts.append(f"SELECT {key('r6')}, 'approval_items', lit.locator FROM judged j JOIN lp ON lp.inspection_id = iid JOIN lit ON lit.approval_id = lp.approval_id WHERE {on('r6')}")
+    parts.append("SELECT 'R7:inspection:' || inspection_id, 'inspections', locator FROM li WHERE is_current AND NOT EXISTS (SELECT 1 FROM obligations o WHERE o.obligation_id = li.obligation_id)")
+    parts.append(f"SELECT 'R1:project:{PROJECT}', 'scope', locator FROM v_scope")
+    parts.append("SELECT 'R0:' || kind || ':' || subject || '#' || code, dataset, locator FROM defects")
+    return f"""
+    judged AS (SELECT c.*, iid, irev, ik FROM chain c JOIN (SELECT obligation_id, iid, irev, ik FROM r2) USING (obligation_id)),
+    citations AS (SELECT DISTINCT key, dataset, locator FROM ({" UNION ALL ".join(parts)}))"""
+
+
 def snapshot() -> str:
     """CTE ``snapshot``: digest of each dataset, by a tree over the hashes of its canonical rows."""
     parts = []

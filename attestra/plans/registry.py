@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grammar
 from ..functions.schema import DATASETS
-from ..operators import adapter, chain, coverage, findings, identity, integrity, rules
+from ..operators import adapter, chain, citations, coverage, findings, identity, integrity, rules
 from ..operators.case import Pack
 from ..sources import shapes, strict_csv
 from ..sources.staging import shared_dir, staged
@@ -358,6 +358,16 @@ for _check in ("R2", "R3", "R4", "R5", "R6"):
         QUERIES["q_r6_revision_binding"], ORACLE_SQL["q_r6_revision_binding"] = of_check(_check, binding="revisions"), oracle.over_chain(_sql, "revisions")
 
 
+@register(oracle.over_shapes("SELECT key, dataset, locator FROM citations", oracle.chain(), oracle.citations(), dangling=True))
+def q_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return citations.citations(assessed(spark, sf_dir, dangling=True))
+
+
+@register(oracle.over_shapes("SELECT key, dataset, locator FROM citations", oracle.chain(), oracle.citations(), dangling=False))
+def q_citations_whole_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return citations.citations(assessed(spark, sf_dir))
+
+
 @register(oracle.over_shapes("SELECT dataset, n_rows, digest FROM snapshot", oracle.snapshot()))
 def q_snapshot_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = assessed(spark, sf_dir, dangling=True)
@@ -510,8 +520,8 @@ def q_compare_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("SELECT o_custkey, CASE WHEN count(*) > 1 THEN min(o_orderkey) || ' (and ' || (count(*) - 1) || ' more)' ELSE CAST(min(o_orderkey) AS VARCHAR) END AS shown FROM (SELECT o_custkey, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS o_orderkey FROM orders) GROUP BY o_custkey")
 def q_first_and_more(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_custkey").agg(F.collect_list(F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("keys"))
-    return keys.select("o_custkey", findings.first_and_more(F.col("keys")).alias("shown"))
+    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_custkey").agg(F.min(F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("first"), F.count("*").alias("n"))
+    return keys.select("o_custkey", findings.first_and_more(F.col("first"), F.col("n")).alias("shown"))
 
 
 # --- adapter -------------------------------------------------------------------------
