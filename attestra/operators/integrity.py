@@ -37,19 +37,19 @@ class Records:
         return self.rows["scope"].where("row_key IS NOT NULL").select(F.col("obligation_id")).distinct()
 
 
-def duplicate_keys(rows: DataFrame) -> DataFrame:
-    """``subject``, ``copies``, ``identical`` of keys that stand in two rows or more.
+def repeated_keys(rows: DataFrame) -> DataFrame:
+    """``subject``, ``copies`` of keys that stand in two rows or more; reads the key columns alone."""
+    return rows.where("row_key IS NOT NULL").groupBy("subject").agg(F.count("*").alias("copies")).where("copies > 1")
 
-    Keys are counted first, which reads their columns alone; cells are compared only where a key repeats.
-    """
-    known = rows.where("row_key IS NOT NULL")
-    groups = known.groupBy("subject").agg(F.count("*").alias("copies")).where("copies > 1")
-    groups = known.select("subject", "raw").join(groups, "subject").groupBy("subject", "copies").agg(F.min("raw").alias("__a"), F.max("raw").alias("__b"))
+
+def duplicate_keys(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``subject``, ``copies``, ``identical`` of ``repeated_keys``; cells are compared only where a key repeats."""
+    groups = rows.where("row_key IS NOT NULL").select("subject", "raw").join(repeated, "subject").groupBy("subject", "copies").agg(F.min("raw").alias("__a"), F.max("raw").alias("__b"))
     return groups.select("subject", "copies", F.col("__a").eqNullSafe(F.col("__b")).alias("identical"))
 
 
 def records(case: Case, detect_duplicates: bool = True) -> Records:
-    """The validated datasets. Repeated keys are written first: where they are few, rows aren't shuffled to meet them."""
+    """The validated datasets. Repeated keys are written first, counted and then compared: where they are few, rows aren't shuffled to meet them."""
     valid = {}
     for name in DATASETS:
         raw = case.raw.get(name)
@@ -57,7 +57,10 @@ def records(case: Case, detect_duplicates: bool = True) -> Records:
             empty = ", ".join(f"{f.name} string" for f in DATASETS[name].fields) + ", file string, row_number long"
             raw = case.files.sparkSession.createDataFrame([], empty)
         valid[name] = validated(raw, name, case.unmapped)
-    repeated = staged_together({n: duplicate_keys(rows) for n, rows in valid.items()}, "repeated-") if detect_duplicates else {}
+    repeated = {}
+    if detect_duplicates:
+        counted = staged_together({n: repeated_keys(rows) for n, rows in valid.items()}, "counted-")
+        repeated = staged_together({n: duplicate_keys(rows, counted[n]) for n, rows in valid.items()}, "repeated-")
     out = {}
     for name, rows in valid.items():
         if detect_duplicates:

@@ -142,7 +142,7 @@ def q_validate_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(oracle.over_shapes(" UNION ALL ".join(f"SELECT '{n}' AS dataset, subject, copies, identical FROM g_{n}" for n in DATASETS)))
 def q_r0_duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = assessed(spark, sf_dir, dangling=True)
-    parts = [integrity.duplicate_keys(rows).select(F.lit(n).alias("dataset"), "subject", "copies", "identical") for n, rows in done.records.rows.items()]
+    parts = [integrity.duplicate_keys(rows, integrity.repeated_keys(rows)).select(F.lit(n).alias("dataset"), "subject", "copies", "identical") for n, rows in done.records.rows.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
