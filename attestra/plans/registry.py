@@ -18,7 +18,7 @@ from ..functions import grammar
 from ..functions.schema import DATASETS
 from ..operators import adapter, chain, citations, coverage, findings, identity, integrity, rules
 from ..operators.case import Pack
-from ..sources import shapes, strict_csv
+from ..sources import evidence, shapes, strict_csv
 from ..sources.staging import shared_dir, staged
 from . import oracle
 
@@ -393,6 +393,21 @@ def q_strict_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strict_csv.read_dataset(spark, f"{path}/*.csv", "scope").where("NOT malformed").select(*SCOPE_CELLS.split(", "))
 
 
+@register("""
+    SELECT CAST(n_nationkey AS VARCHAR) AS folder, CASE WHEN length(n_name) > 7 THEN 'too_large' ELSE 'present' END AS status,
+           CASE WHEN length(n_name) <= 7 THEN sha256(n_name || chr(10)) END AS sha256, CAST(NULL AS VARCHAR) AS case_hint FROM nation
+    UNION ALL SELECT 'none', 'absent', NULL, NULL UNION ALL SELECT NULL, 'no_path', NULL, NULL UNION ALL SELECT '..', 'unreadable', NULL, NULL""")
+def q_evidence_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations' names as files of a folder each, probed with paths that aren't there, aren't given or aren't allowed."""
+    root = f"{shared_dir(spark)}/nations-{uuid.uuid4().hex}"
+    named = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("value"))
+    named.repartition("k").write.partitionBy("k").text(root)
+    files = evidence.listed(spark, root, 8)
+    asked = files.select("relative_path").unionByName(spark.createDataFrame([("k=none/x.txt",), (None,), ("k=../x.txt/../y",)], "relative_path string"))
+    found = evidence.probe(asked, files)
+    return found.select(F.regexp_extract("relative_path", "^k=([^/]*)/", 1).alias("folder"), "status", "sha256", "case_hint")
+
+
 def payloads(spark: SparkSession, sf_dir: str, binding: str = "digest", dangling: bool = False) -> DataFrame:
     """What each finding of R2 to R6 expected and observed, as canonical JSON."""
     found = assessed(spark, sf_dir, binding, dangling).findings.where("check_id IN ('R2', 'R3', 'R4', 'R5', 'R6')")

@@ -13,7 +13,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for cut lineage; a local one only where it is unset and Spark runs in this one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="attestra-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", found)
