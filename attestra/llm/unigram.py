@@ -43,8 +43,10 @@ MARK = "▁"
 UNIT = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 #: Less than any path's score.
 LEAST = float("-inf")
-#: Entries of a worker's cache of words; it starts anew when full.
-CACHE = 150_000
+#: Characters in a worker's cache of words, which starts anew when full, and words looked up between two looks at its size.
+CACHE, STEP = 2_000_000, 20_000
+#: Longer words aren't kept.
+KEPT = 200
 #: Bytes of ids that one batch of results holds.
 BATCH = 8 << 20
 
@@ -83,6 +85,7 @@ class Unigram:
         self.cut = UNIT.findall if whole_words else lambda text: [text]
         self.ids_cache: dict[str, bytes] = {}
         self.count_cache: dict[str, tuple[int, float]] = {}
+        self.cached = 0
 
     @cached_property
     def automaton(self):
@@ -149,21 +152,25 @@ class Unigram:
             unknown(done)
         return count[n], best[n]
 
+    def looked_up(self, text: str, cache: dict, best) -> Iterator:
+        """What ``best`` gives for each unit of the text, by the cache."""
+        units = self.units(text)
+        for at in range(0, len(units), STEP):
+            part = units[at : at + STEP]
+            if self.cached > CACHE:
+                cache.clear()
+                self.cached = 0
+            for u in set(part).difference(cache):
+                if len(u) <= KEPT:
+                    cache[u] = best(u)
+                    self.cached += len(u) + 8  # and at least its ids
+            yield from (best(u) if len(u) > KEPT else cache[u] for u in part)
+
     def encode(self, text: str) -> bytes:
-        units, cache = self.units(text), self.ids_cache
-        if len(cache) > CACHE:
-            cache.clear()
-        for u in set(units).difference(cache):
-            cache[u] = self.best_ids(u)
-        return b"".join(map(cache.__getitem__, units))
+        return b"".join(self.looked_up(text, self.ids_cache, self.best_ids))
 
     def count(self, text: str) -> tuple[int, float]:
-        units, cache = self.units(text), self.count_cache
-        if len(cache) > CACHE:
-            cache.clear()
-        for u in set(units).difference(cache):
-            cache[u] = self.best_count(u)
-        found = list(map(cache.__getitem__, units))
+        found = list(self.looked_up(text, self.count_cache, self.best_count))
         return sum(n for n, _ in found), float(sum(s for _, s in found))
 
     def decode(self, ids: bytes) -> str:

@@ -60,6 +60,16 @@ def test_best_score_is_that_of_the_library_lattice():
         assert model.count(text)[1] == best
 
 
+def test_the_cache_is_bounded_within_a_text(monkeypatch):
+    model, whole = unigram.Unigram(PATH), unigram.Unigram(PATH)
+    text = " ".join(f"word{k}x" for k in range(500)) + " " + "z" * 900
+    want = whole.encode(text), whole.count(text)
+    monkeypatch.setattr(unigram, "CACHE", 300)
+    monkeypatch.setattr(unigram, "STEP", 20)
+    assert (model.encode(text), model.count(text)) == want
+    assert len(model.ids_cache) + len(model.count_cache) < 100 and model.cached < 1000
+
+
 def test_round_trip(spark):
     docs = spark.createDataFrame([(k, t, "en", 0.0) for k, t in enumerate(samples())], cases.TEXT).union(cases.odd(spark))
     back = unigram.decode(unigram.encode(docs, PATH), PATH)
