@@ -122,9 +122,9 @@ def new_table_name(prefix: str = "exact_dedup_index") -> str:
 def members(rows: DataFrame, standing: DataFrame) -> DataFrame:
     """``doc_id``, ``digest``, ``keep_id``, ``group_size``, ``kept`` of each of ``rows``.
 
-    A hot digest is split by adaptive execution: plain rows on the left, one row a digest on the right.
+    A hot digest is split by adaptive execution: plain rows on the left, one row a digest of a written table on the right.
     """
-    return rows.join(standing, "digest").select("doc_id", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
+    return rows.join(staged(standing, "digest-standing"), "digest").select("doc_id", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
 
 
 def dedupe(docs: DataFrame, index: DigestIndex, batch: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,10 +133,12 @@ def dedupe(docs: DataFrame, index: DigestIndex, batch: str, id_col: str = "doc_i
     Texts don't travel where the rows to drop are few enough to be broadcast; else they meet in one merge join.
     """
     narrow = staged(digests(docs, id_col, text_col), "digests")
-    index.add(narrow, batch)
+    # one row a digest meets the bucketed index, so that a digest with many rows only meets a plain table, which splits it
+    groups = index.add(narrow, batch).select("digest")
+    winners = staged(groups.join(index.first().hint("merge"), "digest"), "digest-winners")
     same = narrow.groupBy("digest", "doc_id").agg(F.count("*").alias("copies"))
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("batch") == batch)
-    told = same.join(index.first(), "digest").select(F.col("digest").alias("__of"), F.col("doc_id").alias("__who"), stays.alias("__stays"), "copies")
+    told = same.join(winners, "digest").select(F.col("digest").alias("__of"), F.col("doc_id").alias("__who"), stays.alias("__stays"), "copies")
     told = staged(told.where(~F.col("__stays") | (F.col("copies") > 1)), "digest-told")
     rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).alias("__id"), text_digest(F.col(text_col)).alias("__digest"))
     met = rows.join(bounded_broadcast(told), (F.col("__digest") == F.col("__of")) & F.col("__id").eqNullSafe(F.col("__who")), "left")
