@@ -11,8 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .case import Case, Pack
-from .integrity import Records
+from .case import Pack
 
 #: The domain tag of evidence digests; part of the digested bytes.
 EVIDENCE_SCHEME = "attestra/evidence-set/v1"

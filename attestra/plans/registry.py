@@ -19,7 +19,7 @@ from ..functions.schema import DATASETS
 from ..operators import adapter, chain, citations, coverage, findings, identity, integrity, rules
 from ..operators.case import Pack
 from ..sources import evidence, shapes, strict_csv
-from ..sources.staging import shared_dir, staged
+from ..sources.staging import shared_dir
 from . import oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
