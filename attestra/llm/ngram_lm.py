@@ -155,13 +155,13 @@ def hot_pairs(docs: DataFrame, hot: Hot, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes: dict[bytes, int] = {}
-        for b in batches:
-            found = []
-            for text in byte_texts(b.column(0)):
-                row = _rows_of(text, hashes)
-                code = shared.value.codes(row[:-1], row[1:])
+        for whole in batches:
+            found = [np.zeros(0, np.int64)]
+            for at in range(0, whole.num_rows, 1024):
+                rows = [_rows_of(text, hashes) for text in byte_texts(whole.slice(at, 1024).column(0))]
+                code = shared.value.codes(np.concatenate([r[:-1] for r in rows]), np.concatenate([r[1:] for r in rows]))
                 found.append(code[code >= 0])
-            code, n = np.unique(np.concatenate(found or [np.zeros(0, np.int64)]), return_counts=True)
+            code, n = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], ["code", "n"])
 
     found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "code long, n long")
