@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -57,11 +58,17 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def byte_texts(column: pa.Array) -> list[bytes]:
+def _in_steps(column: pa.Array, rows: int = 256) -> Iterator:
+    """The values of an Arrow column, of which only some are Python objects at a time."""
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).to_pylist()
+
+
+def byte_texts(column: pa.Array) -> Iterator[bytes]:
     """The texts of an Arrow column as UTF-8 bytes; null counts as empty."""
-    return pc.fill_null(column.cast(pa.binary()), b"").to_pylist()
+    return _in_steps(pc.fill_null(column.cast(pa.binary()), b""))
 
 
-def str_texts(column: pa.Array) -> list[str]:
+def str_texts(column: pa.Array) -> Iterator[str]:
     """The texts of an Arrow column; null counts as empty."""
-    return pc.fill_null(column, "").to_pylist()
+    return _in_steps(pc.fill_null(column, ""))
