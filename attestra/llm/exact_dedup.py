@@ -63,8 +63,7 @@ class DigestIndex:
     def create(self) -> None:
         """Empty tables, unless they are there."""
         for table in (self.table, self.again):
-            if not self.spark.catalog.tableExists(table):
-                self._append(self.spark.createDataFrame([], self.COLUMNS), table)
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({self.COLUMNS}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS")
 
     def add(self, rows: DataFrame, batch: str) -> DataFrame:
         """Send ``rows`` (as ``digests`` gives them) through the anti-join with the index and append what is new.
