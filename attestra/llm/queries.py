@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, exact_dedup, licenses, ngram_lm, packing, pii, quality, secrets, simhash, unigram
+from . import backoff_lm, exact_dedup, interactions, licenses, ngram_lm, packing, periodic, pii, quality, secrets, simhash, toxicity, unigram
 from .common import documents, staged
 
 
@@ -76,6 +76,37 @@ def op10_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff_lm.scores(documents(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of held-out documents (a third, by the id's CRC) are never read by ``learn``."""
+    docs = documents(spark, sf_dir)
+    held_out = lambda i: F.crc32(i.cast("string")) % 3 == 1
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out(F.col("doc_id"))).select("doc_id", "toxic")
+    scored = toxicity.score(docs, toxicity.learn(docs, labels))
+    return scored.select(
+        "doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
+        "n_words", F.size("hits").alias("n_hits"),
+    )
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, by the id's CRC, get a periodic tail; then runs and collapsed texts of all."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    start = lambda n: g % n
+    texts = documents(spark, sf_dir).select("doc_id", F.when(h % 10 == 0, periodic.repeated(F.col("text"), start, lambda n: 1 + F.floor((n - start(n)) / (3 + g % 8)))).otherwise(F.col("text")).alias("text"))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    found = periodic.collapsed(texts).withColumn("best", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.floor(F.expr("1000 * best.length div -best.period")).alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audit(interactions.cells(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -88,6 +119,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_lm_scores": op10_lm_scores,
     "op10_backoff_scores": op10_backoff_scores,
+    "op11_toxicity": op11_toxicity,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_filter_interactions": op13_filter_interactions,
 }
 
 QUALITY_SQL = r"""
@@ -133,7 +167,37 @@ BACKOFF_SQL = r"""
         FROM n)
     SELECT any_value(doc_id) AS doc_id, count(*) AS n_words, round(sum(s + drops * ln(0.4)), 6) AS score, CAST(count_if(drops > 0) AS BIGINT) AS n_backed_off
     FROM s GROUP BY r"""
+#: Restated from each document's failed filters: in an order, the first of them is where it is removed.
+INTERACTIONS_SQL = r"""
+    WITH d AS (
+        SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+    f AS (
+        SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+               CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+               || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END
+               || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails
+        FROM d LEFT JOIN l USING (doc_id)),
+    c AS (SELECT part, fails, count(*) AS n, count_if(good) AS n_good, count_if(toxic) AS n_toxic FROM f GROUP BY part, fails),
+    x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+    o AS (
+        SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a JOIN x b ON b.x <> a.x JOIN x c ON c.x NOT IN (a.x, b.x)
+        JOIN x d ON d.x NOT IN (a.x, b.x, c.x) JOIN x e ON e.x NOT IN (a.x, b.x, c.x, d.x)),
+    s AS (
+        SELECT part, filter_order, step, n, n_good, n_toxic, fails, filter_order[step] AS f,
+               coalesce(list_min(list_transform(string_split(nullif(fails, ''), ''), lambda y: instr(filter_order, y))), 9) AS gone
+        FROM c, o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+    r AS (
+        SELECT part, filter_order, step, f, sum(CASE WHEN gone > step THEN n ELSE 0 END) AS kept, sum(CASE WHEN gone = step THEN n ELSE 0 END) AS removed,
+               sum(CASE WHEN gone < step AND contains(fails, f) THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = f THEN n ELSE 0 END) AS unique_fails,
+               sum(CASE WHEN gone = step THEN n_good ELSE 0 END) AS good_lost, sum(CASE WHEN gone = step THEN n_toxic ELSE 0 END) AS toxic_lost
+        FROM s GROUP BY ALL)
+    SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+           CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+           CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+    FROM r"""
 SQL: dict[str, str] = {
+    "op13_filter_interactions": INTERACTIONS_SQL,
     "op10_backoff_scores": BACKOFF_SQL,
     "op3_license_scan": licenses.oracle(),
     "op7_quality_rules": QUALITY_SQL,
