@@ -156,8 +156,8 @@ def surprise(a: float, b: float, c: float, d: float) -> float:
     return 2 * sum(x * math.log(x * n / (row * column)) for x, row, column in cells if x > 0)
 
 
-def lexicon(counts: dict[str, tuple[int, int]], toxic: int, clean: int, least: int) -> dict[str, float]:
-    """Terms and weights from the toxic and clean documents that hold each term."""
+def lexicon(counts: dict[str, tuple[int, int]], toxic: int, clean: int, least: int, ratio: float = 5.0) -> dict[str, float]:
+    """Terms and weights from the toxic and clean documents that hold each term; toxic ones hold it ``ratio`` times as often."""
 
     def odds(a: float, b: float) -> float:
         return math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1))
@@ -168,7 +168,7 @@ def lexicon(counts: dict[str, tuple[int, int]], toxic: int, clean: int, least: i
         return odds(a, b) >= odds(c, d) + 1 and surprise(a, b, c - a, d - b) > 12
 
     bar = 2 * math.log(len(counts) + 1) + 12
-    good = {t: odds(a, b) for t, (a, b) in counts.items() if a >= least and odds(a, b) > math.log(5) and surprise(a, b, toxic - a, clean - b) > bar}
+    good = {t: odds(a, b) for t, (a, b) in counts.items() if a >= least and odds(a, b) > math.log(ratio) and surprise(a, b, toxic - a, clean - b) > bar}
     longer: dict[str, list[str]] = {}
     for t in good:
         longer.setdefault(t[:-1], []).append(t)
@@ -254,24 +254,28 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     common = _counted(rows.where("toxic"), lambda words: terms_of(set(words)))
     enough = common.groupBy("term").agg(F.sum("n").alias("all")).where(F.col("all") >= least(of(True))).orderBy(F.desc("all"), "term").limit(terms)
     candidates = {r.term for r in enough.collect()}
-    counts = _by_term(_counted(rows, lambda words: terms_of(set(words)) & candidates).collect())
 
-    def lexicon_of(*halves: int) -> dict[str, float]:
+    def lexicon_of(counts: dict[str, dict[tuple[int, bool], int]], halves: tuple[int, ...], ratio: float) -> dict[str, float]:
         table = {t: tuple(sum(n.get((h, y), 0) for h in halves) for y in (True, False)) for t, n in counts.items()}
-        return lexicon(table, of(True, halves), of(False, halves), least(of(True, halves)))
+        return lexicon(table, of(True, halves), of(False, halves), least(of(True, halves)), ratio)
 
-    whole, others = lexicon_of(0, 1), {0: lexicon_of(1), 1: lexicon_of(0)}
-
-    # exceptions: phrases of two words that hold a term and are found in clean texts
-    bare = Model(whole, frozenset(), ())
+    # exceptions: phrases of two words that hold a suspect and are found in clean texts; then suspects are judged without them
+    suspects = Model(lexicon_of(_by_term(_counted(rows, lambda words: terms_of(set(words)) & candidates).collect()), (0, 1), 2.0), frozenset(), ())
 
     def phrases(words: list[str]) -> set[str]:
-        at = {h.word for h in hits(words, bare)}
+        at = {h.word for h in hits(words, suspects)}
         return {" ".join(words[k : k + 2]) for h in at for k in (h - 1, h) if 0 <= k < len(words) - 1}
 
     found = _counted(rows, phrases).groupBy("term").agg(*[F.sum(F.when(F.col("toxic") == y, F.col("n")).otherwise(0)).alias(c) for c, y in (("a", True), ("b", False))])
     often = found.where((F.col("b") >= 3) & (F.col("b") * of(True) > 4 * (F.col("a") + 0.5) * of(False))).orderBy(F.desc("b"), "term").limit(terms)
     exceptions = frozenset(r.term for r in often.collect())
+
+    def outside(words: list[str]) -> set[str]:
+        void = {k for at in range(len(words) - 1) if f"{words[at]} {words[at + 1]}" in exceptions for k in (at, at + 1)} if exceptions else ()
+        return terms_of({w for k, w in enumerate(words) if k not in void}) & candidates
+
+    counts = _by_term(_counted(rows, outside).collect())
+    whole, others = lexicon_of(counts, (0, 1), 5.0), {h: lexicon_of(counts, (1 - h,), 5.0) for h in (0, 1)}
     models = {h: Model(others[h], exceptions, ()) for h in (0, 1)}
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
