@@ -8,7 +8,6 @@ session and folder; queries that read the same one share it.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,7 +18,7 @@ from ..functions.schema import DATASETS
 from ..operators import adapter, chain, citations, coverage, findings, identity, integrity, rules
 from ..operators.case import Pack
 from ..sources import evidence, shapes, strict_csv
-from ..sources.staging import shared_dir
+from ..sources.staging import scratch, staged
 from . import oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -382,15 +381,66 @@ def q_unique_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.agg(F.count("*").alias("findings")).join(F.broadcast(twice)).select("findings", (F.col("findings") - F.col("n") + F.col("keys")).alias("keys"))
 
 
-SCOPE_CELLS = ", ".join(f.name for f in DATASETS["scope"].fields)
-
-
-@register(oracle.over_shapes(f"SELECT {SCOPE_CELLS} FROM raw_scope"))
+#: Every row of the five datasets as a CSV record, by its number: as it is, cells in quotes, cells with line ends and quotes in them, too many cells, text after a closing quote, a blank line before it.
+CSV_KIND = "CASE row_number % 23 WHEN 3 THEN 'quoted' WHEN 7 THEN 'lines' WHEN 11 THEN 'ragged' WHEN 13 THEN 'broken' WHEN 17 THEN 'blank' ELSE 'plain' END"
+CSV_PARTS = 4
+
+
+def _csv_sql() -> str:
+    parts = []
+    for name, spec in DATASETS.items():
+        cells = [f"coalesce({f.name}, '')" for f in spec.fields]
+        first = f"{cells[0]} || CASE WHEN kind = 'lines' THEN chr(10) || '\"x\"' || chr(13) || chr(10) || 'y' ELSE '' END"
+        whole = " || '|' || ".join([first, *cells[1:]])
+        parts.append(f"""SELECT '{name}' AS dataset, kind IN ('ragged', 'broken') AS malformed, TRUE AS numbered,
+            CASE kind WHEN 'ragged' THEN {" || '|' || ".join(cells)} || '|more|and more' WHEN 'broken' THEN '"' || {cells[0]} || '"x,y' ELSE {whole} END AS body FROM (SELECT *, {CSV_KIND} AS kind FROM raw_{name})
+            UNION ALL SELECT '{name}', TRUE, TRUE, '"never closed,' || chr(10) || 'a,b' FROM (SELECT DISTINCT row_number % {CSV_PARTS} FROM raw_{name})""")
+    return " UNION ALL ".join(parts)
+
+
+def csv_lines(rows: DataFrame, dataset: str) -> DataFrame:
+    """``part``, ``value``: a dataset's records as CSV text with defects, by file; each file has a header first and an unclosed quote last."""
+    names = [f.name for f in DATASETS[dataset].fields]
+    cells = [F.coalesce(c, F.lit("")) for c in names]
+    kind = F.expr(CSV_KIND)
+    quoted = [F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')) for c in cells]
+    odd = F.concat(F.lit('"'), cells[0], F.lit('\n""x""\r\ny"'))
+    part = (F.col("row_number") % CSV_PARTS).alias("part")
+    number = F.lit("@")  # stands where x_source gets the record's place in its file
+    text = (
+        F.when(kind == "quoted", F.concat_ws(",", *quoted, number)).when(kind == "lines", F.concat_ws(",", odd, *cells[1:], number)).when(kind == "ragged", F.concat_ws(",", *cells, F.lit("more"), F.lit("and more")))
+        .when(kind == "broken", F.concat(quoted[0], F.lit("x,y"))).when(kind == "blank", F.concat(F.lit("\n"), F.concat_ws(",", *cells, number))).otherwise(F.concat_ws(",", *cells, number))
+    )
+    body = rows.select(part, F.lit(1).alias("place"), text.alias("value"))
+    files = rows.select(part).distinct()
+    head = files.select("part", F.lit(0).alias("place"), F.lit(",".join([*names, "x_source"])).alias("value"))
+    last = files.select("part", F.lit(2).alias("place"), F.lit('"never closed,\na,b').alias("value"))
+    return body.unionByName(head).unionByName(last)
+
+
+@register(oracle.over_shapes(_csv_sql()))
 def q_strict_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scope written as CSV files and read by the strict source."""
-    path = f"{shared_dir(spark)}/scope-csv-{uuid.uuid4().hex}"
-    assessed(spark, sf_dir, dangling=True).case.raw["scope"].select(*SCOPE_CELLS.split(", ")).write.option("header", "true").csv(path)
-    return strict_csv.read_dataset(spark, f"{path}/*.csv", "scope").where("NOT malformed").select(*SCOPE_CELLS.split(", "))
+    """All five datasets written as CSV files with every kind of defect, and read by the strict source in blocks of 1 MB.
+
+    ``numbered``: the record's number is its place in its file; malformed records have no cell to tell, so they stand for their neighbours.
+    """
+    raw = assessed(spark, sf_dir, dangling=True).case.raw
+    out = None
+    for name, spec in DATASETS.items():
+        path = scratch(spark, f"{name}-csv")
+        lines = csv_lines(raw[name], name).repartition("part").sortWithinPartitions("part", "place", "value")
+        # a file's records are numbered in its task, as they are written; that of a part's first row is taken off
+        told = staged(lines.withColumn("at", F.monotonically_increasing_id()), f"{name}-lines")
+        first = F.broadcast(told.groupBy("part").agg(F.min("at").alias("first")))  # a row a file
+        told = told.join(first, "part").withColumn("value", F.regexp_replace("value", r"@\z", F.concat(F.lit("row="), (F.col("at") - F.col("first") + 1).cast("string"))))
+        told.repartition("part").sortWithinPartitions("part", "at").select("part", "value").write.partitionBy("part").text(path)
+        rows = strict_csv.read_dataset(spark, f"{path}/part=*", name, 1 << 20)
+        cells = F.array_join(F.transform(F.array(*[F.coalesce(f.name, F.lit("")) for f in spec.fields]), lambda c: c), "|")
+        numbered = F.coalesce(F.col("x_source") == F.concat(F.lit("row="), F.col("row_number").cast("string")), F.col("malformed"))
+        body = F.when(F.col("malformed"), F.array_join("raw_cells", "|")).otherwise(cells)
+        part = rows.select(F.lit(name).alias("dataset"), "malformed", numbered.alias("numbered"), body.alias("body"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @register("""
@@ -399,7 +449,7 @@ def q_strict_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT 'none', 'absent', NULL, NULL UNION ALL SELECT NULL, 'no_path', NULL, NULL UNION ALL SELECT '..', 'unreadable', NULL, NULL""")
 def q_evidence_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations' names as files of a folder each, probed with paths that aren't there, aren't given or aren't allowed."""
-    root = f"{shared_dir(spark)}/nations-{uuid.uuid4().hex}"
+    root = scratch(spark, "nations")
     named = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("value"))
     named.repartition("k").write.partitionBy("k").text(root)
     files = evidence.listed(spark, root, 8)

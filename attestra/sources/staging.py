@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from concurrent.futures import ThreadPoolExecutor
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,23 +16,33 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="attestra-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _local_dir(spark.sparkContext.applicationId)
     return found.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
+@lru_cache(None)
+def _local_dir(application: str) -> str:
+    """A folder of this process for one application; a running session's setting can't be changed."""
+    return "file://" + tempfile.mkdtemp(prefix="attestra-checkpoint-")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the JVM ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    return path
+
+
+def staged(df: DataFrame, name: str, into: SparkSession | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back, in session ``into`` if given.
 
     It cuts the lineage like a checkpoint, survives lost executors, runs the plan
     once and gives later joins a known size. The files go when the JVM ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.parquet(path)
+    return (into or df.sparkSession).read.parquet(path)
 
 
 def staged_together(tables: dict[str, DataFrame], prefix: str = "") -> dict[str, DataFrame]:
