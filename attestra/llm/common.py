@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,33 +9,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space, the only word separators of this subpackage.
-ASCII_SPACE = " \t\n\x0b\x0c\r"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder for cut lineage; a local one only where it is unset and Spark runs in this one process."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if spark.sparkContext.master.partition("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="attestra-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from ..sources.staging import shared_dir, staged
 
+__all__ = ["ASCII_SPACE", "bounded_broadcast", "byte_texts", "documents", "let", "shared_dir", "staged", "str_texts"]
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    It cuts the lineage like a checkpoint, survives lost executors, runs the plan
-    once and gives later joins a known size. The files go when the JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.parquet(path)
+#: ASCII white space, the only word separators of this subpackage.
+ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
 def bounded_broadcast(df: DataFrame, rows: int = 200_000) -> DataFrame:
