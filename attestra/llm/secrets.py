@@ -9,12 +9,15 @@ uniform (chi-squared over as many bins as the length can fill), alternate freely
 for tokens that are not random.
 
 What is to be held down is the share of natural names among the tokens reported.
-So each token has a decoy: words from around it, joined to a name of its length and
-in its style. Tokens and decoys are counted by class of length (power grows with
-length), by whether they hold digits, and by p-value; in each class the least p is
-taken from which the decoys, one added, are at most ``fdr`` of the tokens. Tokens from
-there on are added as ``random``; a class without such a p adds none. The counts are
-at most ``4 * LENGTHS * BINS`` rows whatever the input's size.
+So the hypothesis that a token is a natural name gets a p-value of its own: how often names
+of its class (length, as power grows with it; digits, case and encoding) look as random as it does.
+Names come from a fixed list of words, ``REFERENCE`` for each class, so that one key in five
+documents is judged as one in a million; and each token adds a decoy, words from around it joined
+to a name of its length and in its style, so that where a table's own names look more random than
+those of the list, more is asked. Below their ``TAIL`` quantile the names' likeness to random ones
+is taken to fall off exponentially. In each class the Benjamini-Hochberg procedure then holds the
+share of names among the tokens reported, added as ``random``, to ``fdr``. The counts are at most
+``2 * CLASSES * BINS`` rows whatever the input's size. Runs of digits alone are numbers, not tested.
 
 Edge cases: a null or empty text has no spans; texts are read whole; repeated
 rows and null ids are handled row by row; extra columns are ignored. An empty
@@ -24,9 +27,12 @@ table gives an empty result. Offsets are code points, the end exclusive.
 from __future__ import annotations
 
 import math
+import random
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import pyarrow as pa
@@ -56,12 +62,27 @@ ALPHABETS = (
     ("base64", LETTERS + LETTERS.upper() + DIGITS + "-_"),
 )
 WORD = re.compile(r"[A-Za-z]{2,15}")
-#: Words of decoys where a text has none of its own.
-NAMES = ("get", "user", "name", "value", "index", "list", "make", "file", "data", "count", "page", "item", "order", "time", "state", "view")
+#: Words that names are made of, where a text has none of its own.
+NAMES = (
+    "get user name value index list make file data count page item order time state view account action active address after array before block body buffer build button cache call change "
+    "channel check child class clear client close code color column command common config connect content context control copy create current date default delete delta device dialog "
+    "directory document domain double element enable entry error event example export factory field filter find first format found frame function global group handle header height "
+    "image import input install instance interface internal item label language layer left length level library limit line link load local location lock login manager map mask match "
+    "max member memory menu message method minimum mode model module mount move network next node normal number object offset open option output owner package parameter parent parse "
+    "password path pattern place player point position prefix previous print process project property provider public query queue random read record reference region register release "
+    "remote remove render report request reset resource response result return right role root route rule schema scope screen script search second section select sender server service "
+    "session setting shape share signal simple size sort source stack start static status step stop storage store stream string style submit support switch system table target task "
+    "template test text thread title token total trace track transform tree trigger type unit update upload url utility valid variable version video visible wait width window world write"
+).split()
+#: Names of the list by which each class is judged, and the quantile from which their tail is extrapolated.
+REFERENCE, TAIL = 800, 0.04
 #: Words of the text that decoys are made of, around the token.
 AROUND = 400
 #: Classes of lengths (powers of the square root of two) and bins of p-values (twentieths of a power of ten).
 LENGTHS, BINS = 48, 400
+#: Classes of tokens: of length, with digits or not, lower, upper or mixed case or with separators, and encoding.
+CASES, ENCODINGS = ("lower", "upper", "mixed", "joined"), ("hex", "base32", "base64")
+CLASSES = LENGTHS * 2 * len(CASES) * len(ENCODINGS)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -145,25 +166,30 @@ def size_class(n: int) -> int:
     return min(int(2 * math.log2(n)), LENGTHS - 1)
 
 
-def decoy(token: str, words: list[str], at: int) -> str:
-    """Words from number ``at`` on, joined to a name of the token's length, case, separators and digits."""
+def class_of(token: str, name: str) -> int:
+    """The number of the class of a token in an encoding of that name."""
+    case = 3 if not token.isalnum() else 0 if token == token.lower() else 1 if token == token.upper() else 2
+    return ((size_class(len(token)) * 2 + any(map(str.isdigit, token))) * 4 + case) * 3 + ENCODINGS.index(name)
+
+
+def decoy(token: str, words: list[str], at: int, rng: random.Random | None = None) -> str:
+    """Words from number ``at`` on (any words, if ``rng`` is given), joined to a name of the token's length, case, separators and digits."""
     mixed = token != token.lower() and token != token.upper()
     joint = next((c for c in "_-/+" if c in token), "")
     out = ""
     for k in range(len(token)):
         if len(out) >= len(token):
             break
-        w = words[(at + k) % len(words)].lower()
+        w = (rng.choice(words) if rng else words[(at + k) % len(words)]).lower()
         out += joint * (k > 0) + (w.capitalize() if mixed and k else w)
     out = (out + "".join(NAMES))[: len(token)]
-    if any(map(str.isdigit, token)):  # a version, a year or a number at its end
-        tail = str(10 + (at * 7919 + len(token)) % 90)
-        out = out[: -len(tail)] + tail
+    if digits := [c for c in token if c.isdigit()]:  # a version, a year or a number at its end
+        out = out[:-2] + digits[at % len(digits)] + digits[(at + 1) % len(digits)]
     return out.upper() if token == token.upper() else out
 
 
 def random_candidates(text: str) -> list[tuple[int, int, int, int, int]]:
-    """(start, end, class of length and digits, bin of p, bin of the decoy's p) of runs, or of their parts, that an alphabet holds."""
+    """(start, end, class, bin of p, bin of the decoy's p) of runs, or of their parts, that an alphabet holds."""
     spans = []
     for m in RUN.finditer(text):
         parts = [m.span()] if encoding(m[0]) else [(m.start() + x.start(), m.start() + x.end()) for x in PART.finditer(m[0])]
@@ -171,9 +197,11 @@ def random_candidates(text: str) -> list[tuple[int, int, int, int, int]]:
     out = []
     for start, end in spans:
         token = text[start:end]
+        if token.isdecimal():
+            continue
         before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
         words = WORD.findall(before) + WORD.findall(after) or list(NAMES)
-        kind = 2 * size_class(len(token)) + any(map(str.isdigit, token))
+        kind = class_of(token, encoding(token)[0])
         fake = randomness(decoy(token, words, start))
         out.append((start, end, kind, _bin(randomness(token)), BINS - 1 if fake is None else _bin(fake)))
     return out
@@ -206,16 +234,49 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
+@lru_cache(None)
+def reference(kind: int) -> dict[int, int]:
+    """Names of the fixed list by bin of p, for a class; those of long classes are as those of 512 characters."""
+    size, digits, case, name = kind // 24, kind // 12 % 2, kind // 3 % 4, ENCODINGS[kind % 3]
+    rng = random.Random(kind)
+    low = max(LEAST, math.ceil(2 ** (size / 2)))
+    high = max(low, min(math.ceil(2 ** ((size + 1) / 2)) - 1, 512))
+    out: Counter = Counter()
+    for _ in range(REFERENCE):
+        n = min(rng.randint(low, high), 512)
+        style = ("a" * n, "A" * n, "aB" * n, rng.choice(("a_" + "a" * n, "aB-" + "a" * n, "A_" + "A" * n)))[case][: n - 2 * digits]
+        style += "".join(rng.choice("234567" if name == "base32" else DIGITS) for _ in range(2 * digits))
+        p = randomness(decoy(style, list(NAMES), rng.randrange(1 << 20), rng))
+        out[BINS - 1 if p is None else _bin(p)] += 1
+    return dict(out)
+
+
+def null(names: dict[int, int]) -> list[float]:
+    """For each bin, how often names look as random or more; below the ``TAIL`` quantile by an exponential tail in the root of the bin."""
+    n = sum(names.values())
+    share, so_far = [], 0
+    for at in range(BINS):
+        so_far += names.get(at, 0)
+        share.append(so_far / n)
+    edge = next(at for at in range(BINS) if share[at] >= TAIL)
+    root = lambda at: math.sqrt(at + 1)
+    under = [(names.get(at, 0), root(edge) - root(at)) for at in range(edge + 1)]
+    mean = max(sum(k * x for k, x in under) / sum(k for k, _ in under), 0.15 * root(edge) / -math.log(TAIL))
+    return [max(share[at], share[edge] * math.exp(-(root(edge) - root(at)) / mean)) if at < edge else share[at] for at in range(BINS)]
+
+
 def thresholds(counts: dict[tuple[int, int], int], decoys: dict[tuple[int, int], int], fdr: float) -> list[int]:
-    """For each class, the bin below which its tokens are reported (0: none): the most for which decoys, and one, are at most ``fdr`` of them."""
-    out = [0] * (2 * LENGTHS)
-    for size in {s for s, _ in counts}:
-        mine = fakes = 0
+    """For each class, the bin below which its tokens are reported (0: none), by Benjamini and Hochberg."""
+    out = [0] * CLASSES
+    for kind in {k for k, _ in counts}:
+        names = Counter(reference(kind)) + Counter({at: n for (k, at), n in decoys.items() if k == kind})
+        p = null(names)
+        total = sum(n for (k, _), n in counts.items() if k == kind)
+        found = 0
         for at in range(BINS):
-            mine += counts.get((size, at), 0)
-            fakes += decoys.get((size, at), 0)
-            if mine and fakes + 1 <= fdr * mine:
-                out[size] = at + 1
+            found += counts.get((kind, at), 0)
+            if found and total * p[at] <= fdr * found:
+                out[kind] = at + 1
     return out
 
 

@@ -39,12 +39,41 @@ def test_random_tokens_pass_and_words_fail():
 
 
 def test_length_aware_false_discovery():
-    tokens = {(5, 0): 90, (5, 80): 10, (6, 3): 100, (7, 0): 15}
-    decoys = {(5, 1): 3, (5, 90): 90, (6, 2): 50, (6, 40): 50}
-    found = secrets.thresholds(tokens, decoys, 0.05)
-    # class 5 takes all its tokens, as four decoys in a hundred come before bin 90; class 6 has as many decoys; class 7 is too small for one in twenty
-    assert found[5] == 90 and found[6] == 0 and found[7] == 0
-    assert all(f == 0 for k, f in enumerate(found) if k != 5)
+    # p of a token whose randomness test gives about 0.1: a name of 16 characters is often as random, one of 45 hardly ever
+    kind = lambda n: secrets.class_of("aB" * (n // 2), "base64")
+    short, long = (secrets.null(secrets.reference(kind(n)))[20] for n in (16, 44))
+    assert short > 1e-5 and long < short / 10
+    k = kind(44)
+    names = {(k, at): 20 for at in range(120, 300)}
+    found = secrets.thresholds(names | {(k, 2): 40}, names, 0.05)
+    assert 3 <= found[k] <= 120
+    assert all(f == 0 for x, f in enumerate(found) if x != k)
+    # names of this table that look random ask for more
+    assert secrets.thresholds({(k, 2): 1} | names, names | {(k, 1): 500}, 0.05)[k] == 0
+
+
+def key(rng, n):
+    return "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+
+
+def test_one_key_in_few_documents(spark):
+    for seed in range(3):
+        rng = random.Random(seed)
+        texts = [f"the key is {key(rng, 40)} for now", "nothing here", "call getUserNameFromAccountSettings first", "see some_long_function_name_of_a_module", ""]
+        docs = spark.createDataFrame([(k, t, "en", 0.0) for k, t in enumerate(texts)], cases.TEXT)
+        got = {r.doc_id: r.s for r in secrets.find(docs).select("doc_id", secrets.listed("spans").alias("s")).collect()}
+        assert got == {0: "random:11:51", 1: "", 2: "", 3: "", 4: ""}
+
+
+def test_a_document_is_judged_alike_in_small_and_large_tables(spark):
+    rng = random.Random(11)
+    words = ["inter", "port", "struct", "value", "counter", "forming", "under", "transport", "valuable", "portable"]
+    own = [(k, f"see {key(rng, n)} and {names_of(rng, words)} here", "en", 0.0) for k, n in enumerate((40, 48, 64, 90, 200))]
+    more = [(k, " ".join(names_of(rng, words) for _ in range(4)), "en", 0.0) for k in range(5, 5000)]
+    spans = lambda rows: {r.doc_id: r.s for r in secrets.find(spark.createDataFrame(rows, cases.TEXT)).select("doc_id", secrets.listed("spans").alias("s")).where("doc_id < 5").collect()}
+    small = spans(own)
+    assert spans(own + more) == small
+    assert all(s.startswith("random:4:") for s in small.values())
 
 
 def names_of(rng, words):
