@@ -3,7 +3,8 @@
 Candidate spans come from one pattern per kind. Four labelers vote on each
 candidate (+1 personal, -1 not, 0 abstains): whether it is well formed for its kind,
 a gazetteer, the words before the span (the ``CONTEXT`` characters there), and a
-test for placeholder values.
+test for placeholder values. The gazetteer of names and mail domains grows with the corpus: a
+term on which the other labelers agree in nearly all of its candidates is promoted.
 Expectation-maximisation over the counts of vote patterns estimates each
 labeler's reliability for each kind without labels, leaning on its reliability over
 all kinds where a kind is rare; its posteriors train a naive Bayes
@@ -11,8 +12,9 @@ classifier of spans on shape and context, which decides the spans that the metho
 adds. Spans of the base kinds that pass their test always stay.
 
 What reaches the driver is one row per (kind, vote pattern, shape), at most
-``len(KINDS) * 81 * 768`` rows by construction and a few hundred in practice,
-whatever the input's size. Nothing is shuffled but these counts. Texts are searched
+``len(KINDS) * 81 * 6912`` rows by construction and a few hundred in practice,
+whatever the input's size. Nothing is shuffled but these counts and those of terms, of which the
+``TERMS`` most frequent promoted ones are broadcast. Texts are searched
 once: spans are written (with the texts, for ``redact``) before they are judged.
 
 Edge cases: a null or empty text has no spans; texts are read whole; repeated
@@ -59,6 +61,8 @@ GIVEN_NAMES = r"(?i)\b(?:anna|anne|carlos|claire|daniel|david|elena|emma|hans|ja
 CUES = r"(?i)(?:e-?mail|mail|contact|write|phone|call|tel|fax|mobile|card|visa|credit|payment|address|host|server|ssn|social|name|dear|from|by|login)[^\p{L}]*+(?:\p{L}++[^\p{L}]++)?$"
 COUNTERCUES = r"(?i)(?:version|release|isbn|order|invoice|figure|section|table|page|chapter|part|serial|sample|test)[^\p{L}]*+$"
 PLACEHOLDER = r"^(?:([0-9])\1*|0?123456789?0?[0-9]*)$"
+#: Terms that the corpus may add to the gazetteer, how often each must be met, and the share of candidates on which the others agree.
+TERMS, TERM_COUNT, TERM_SHARE = 10_000, 5, 0.9
 #: Characters before a span that the context labeler reads.
 CONTEXT = 48
 #: Numbers published as samples.
@@ -108,6 +112,16 @@ def _gazetteer(kind: str, s: Column) -> Column:
     return F.when(yes, 1).otherwise(-1)
 
 
+def _term(kind: str, s: Column) -> Column:
+    """What of a candidate the corpus may add to the gazetteer: a name after a title, or a mail domain."""
+    if kind == "person":
+        return F.lower(F.regexp_extract(s, r"\x20(\p{Lu}\p{Ll}+)", 1))
+    if kind in ("email", "masked_email"):
+        plain = F.regexp_replace(F.regexp_replace(s, r"\x20?[\[(](?:dot|DOT)[\])]\x20?", "."), r"^.*(?:@|[\])]\x20?)", "")
+        return F.lower(F.regexp_extract(plain, r"([^.]+\.[^.]+)$", 1))
+    return F.lit(None).cast("string")
+
+
 def _context(before: Column) -> Column:
     return F.when(before.rlike(COUNTERCUES), -1).when(before.rlike(CUES), 1).otherwise(0)
 
@@ -117,12 +131,13 @@ def _placeholder(s: Column) -> Column:
     return F.when((F.length(d) >= 7) & d.rlike(PLACEHOLDER), -1).when(F.length(d) >= 7, 1).otherwise(0)
 
 
-def _shape(s: Column, before: Column) -> Column:
-    """Length, share of digits, separators and context in one small number (under 768)."""
+def _shape(kind: str, s: Column, before: Column) -> Column:
+    """Length, share of digits, separators, context, form and placeholder in one small number (under 6912)."""
     size = F.least(F.floor(F.length(s) / 4), F.lit(7))
     digits = F.floor(3 * F.length(_digits(s)) / F.length(s))
     seps = F.when(s.contains(" "), 1).otherwise(0) + F.when(s.contains("-"), 2).otherwise(0) + F.when(s.contains("."), 4).otherwise(0)
-    return (((size * 4 + digits) * 3 + _context(before) + 1) * 8 + seps).cast("int")
+    plain = ((size * 4 + digits) * 3 + _context(before) + 1) * 8 + seps
+    return (plain + 768 * (_well_formed(kind, s) + 1) + 2304 * (_placeholder(s) + 1)).cast("int")
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -173,16 +188,16 @@ def _of_kind(text: Column, kind: str) -> Column:
         base = F.lit(False) if k >= N_BASE else F.lit(True) if kind == "email" else _valid(kind, x.s)
         return F.struct(
             x.start.alias("start"), F.lit(k).alias("kind"), x.end.alias("end"), base.alias("base"),
-            _votes(kind, x).alias("votes"), _shape(x.s, x.before).alias("shape"),
+            _votes(kind, x).alias("votes"), _shape(kind, x.s, x.before).alias("shape"), _term(kind, x.s).alias("term"),
         )
 
     needs = text.contains(NEEDS[kind]) if kind in NEEDS else text.rlike(NEEDS_PATTERN[kind])
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,base:boolean,votes:int,shape:int>>")
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,base:boolean,votes:int,shape:int,term:string>>")
     return F.when(needs, F.transform(matches(text, PATTERNS[kind]), span)).otherwise(none)
 
 
 def candidates(text: Column) -> Column:
-    """All candidate spans: array of (start, kind, end, base, votes, shape), in order."""
+    """All candidate spans: array of (start, kind, end, base, votes, shape, term), in order."""
     text = F.coalesce(text.cast("string"), F.lit(""))
     return F.array_sort(F.concat(*[_of_kind(text, kind) for kind in KINDS]))
 
@@ -237,7 +252,11 @@ def classifier(counts: dict[tuple[int, int, int], int], post: dict[tuple[int, in
     """Naive Bayes on kind and the parts of the shape, trained on soft labels; the (kind, shape) it accepts."""
 
     def features(kind: int, shape: int) -> list[tuple]:
-        return [("size", kind, shape // 96), ("digits", kind, shape // 24 % 4), ("context", shape // 8 % 3), ("seps", kind, shape % 8)]
+        plain = shape % 768
+        return [
+            ("size", kind, plain // 96), ("digits", kind, plain // 24 % 4), ("context", plain // 8 % 3), ("seps", kind, plain % 8),
+            ("formed", kind, shape // 768 % 3), ("placeholder", kind, shape // 2304),
+        ]
 
     seen = defaultdict(lambda: [1.0, 1.0])
     kinds = defaultdict(lambda: [1.0, 1.0])
@@ -258,27 +277,70 @@ def classifier(counts: dict[tuple[int, int, int], int], post: dict[tuple[int, in
     return {(kind, shape) for kind, _, shape in counts if kind >= N_BASE and score(kind, shape) > 0}
 
 
+def promoted(found: DataFrame) -> DataFrame:
+    """``kind``, ``term``: terms that stand in at least ``TERM_COUNT`` candidates, of which ``TERM_SHARE`` are personal by all other labelers that vote.
+
+    ``found`` has a row a candidate. The gazetteer's own vote is left out, so that a term isn't its own witness.
+    """
+    form, before, blank = (F.col("votes") / 27).cast("int"), (F.col("votes") / 3).cast("int") % 3, F.col("votes") % 3
+    agree = ((form == 2) | (before == 2)) & (form != 0) & (before != 0) & (blank != 0)
+    counted = found.where(F.col("term") != "").groupBy("kind", "term").agg(F.count("*").alias("n"), F.count_if(agree).alias("yes"))
+    return counted.where((F.col("n") >= TERM_COUNT) & (F.col("yes") >= TERM_SHARE * F.col("n"))).orderBy(F.desc("n"), "kind", "term").limit(TERMS).select("kind", "term")
+
+
 def trained(spans: DataFrame) -> set[tuple[int, int]]:
     """The (kind, shape) pairs that the classifier accepts; ``spans`` has a column of candidates."""
-    found = spans.select(F.explode("spans").alias("x")).groupBy("x.kind", "x.votes", "x.shape").count().collect()
-    counts = {(r.kind, r.votes, r.shape): r["count"] for r in found}
+    found = spans.select(F.explode("spans").alias("x")).select("x.kind", "x.votes", "x.shape", "x.term")
+    known = F.broadcast(promoted(found).withColumn("known", F.lit(True)))  # at most TERMS rows
+    votes = F.when(F.col("known"), F.col("votes") - (F.col("votes") / 9).cast("int") % 3 * 9 + 18).otherwise(F.col("votes"))
+    rows = found.join(known, ["kind", "term"], "left").groupBy("kind", votes.cast("int").alias("votes"), "shape").count().collect()
+    counts = {(r.kind, r.votes, r.shape): r["count"] for r in rows}
     by_votes: dict[tuple[int, int], int] = defaultdict(int)
     for (kind, code, _), n in counts.items():
         by_votes[kind, code] += n
     return classifier(counts, label_model(by_votes))
 
 
-def accepted(spans: Column, ok: set[tuple[int, int]]) -> Column:
-    """Base spans and the added ones that are accepted and don't touch a base span."""
-    codes = F.array(*[F.lit(kind * 768 + shape) for kind, shape in sorted(ok)]).cast("array<int>")
+#: Spans in a row whose furthest end and next start are looked up together.
+BLOCK = 128
+
 
-    def choose(found: Column) -> Column:
-        base = F.filter(found, lambda x: x["base"])
-        fresh = lambda b, x: ~F.exists(b, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
-        more = let(base, lambda b: F.filter(found, lambda x: ~x["base"] & F.array_contains(codes, x["kind"] * 768 + x["shape"]) & fresh(b, x)))
-        return F.array_sort(F.concat(base, more))
+def free_of_base(found: Column, wanted) -> Column:
+    """The spans of ``found``, in order of their starts, that are base or ``wanted`` and touch no base span; in linear time.
 
-    return let(spans, choose)
+    A span touches one that starts before it if the furthest end so far is beyond its start,
+    and one that starts later if the next start is before its end; both are told by blocks.
+    """
+    count = F.greatest(F.ceil(F.size(found) / BLOCK).cast("int"), F.lit(1))
+    blocks = F.sequence(F.lit(0), count - 1)
+    part = lambda values, b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK))
+    ends, starts = F.transform(found, lambda x: F.when(x["base"], x["end"]).otherwise(-1)), F.transform(found, lambda x: F.when(x["base"], x["start"]).otherwise(2**31 - 1))
+
+    def with_all(ends: Column, starts: Column, most: Column, least: Column) -> Column:
+        # of the blocks before and after each, from those of the blocks
+        sides = F.struct(
+            F.transform(blocks, lambda b: F.coalesce(F.array_max(F.slice(most, F.lit(1), b)), F.lit(-1))).alias("before"),
+            F.transform(blocks, lambda b: F.coalesce(F.array_min(F.slice(least, b + 2, count)), F.lit(2**31 - 1))).alias("after"),
+        )
+
+        def clear(side: Column, x: Column, k: Column) -> Column:
+            b = F.floor(k / BLOCK).cast("int")
+            before = F.greatest(F.get(side["before"], b), F.array_max(F.slice(ends, b * BLOCK + 1, k - b * BLOCK)))
+            after = F.least(F.get(side["after"], b), F.array_min(F.slice(starts, k + 2, (b + 1) * BLOCK - k - 1)))
+            return (before <= x["start"]) & (after >= x["end"])
+
+        return let(sides, lambda side: F.filter(found, lambda x, k: x["base"] | (wanted(x) & clear(side, x, k))))
+
+    return let(ends, lambda e: let(starts, lambda s: let(
+        F.transform(blocks, lambda b: F.array_max(part(e, b))), lambda most: let(F.transform(blocks, lambda b: F.array_min(part(s, b))), lambda least: with_all(e, s, most, least)),
+    )))
+
+
+def accepted(spans: Column, ok: set[tuple[int, int]]) -> Column:
+    """Base spans and the added ones that are accepted and don't touch a base span."""
+    codes = F.array(*[F.lit(kind * 6912 + shape) for kind, shape in sorted(ok)]).cast("array<int>")
+    wanted = lambda x: ~x["base"] & F.array_contains(codes, x["kind"] * 6912 + x["shape"])
+    return let(spans, lambda found: F.when(F.exists(found, wanted), free_of_base(found, wanted)).otherwise(F.filter(found, lambda x: x["base"])))
 
 
 def listed(spans: Column) -> Column:
@@ -288,7 +350,7 @@ def listed(spans: Column) -> Column:
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``spans`` (start, kind, end, base, votes, shape) of each row: base spans and added ones."""
+    """``doc_id``, ``spans`` (start, kind, end, base, votes, shape, term) of each row: base spans and added ones."""
     narrow = staged(docs.select(F.col(id_col).alias("doc_id"), candidates(F.col(text_col)).alias("spans")), "pii-candidates")
     return narrow.select("doc_id", accepted(F.col("spans"), trained(narrow)).alias("spans"))
 

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -91,6 +92,73 @@ def test_planted_spans_of_the_added_kinds(spark):
     assert all(n >= 0.9 * 160 for n in right.values()), right
 
 
+#: Words that are no cue for any labeler.
+PLAIN = "table river garden stone window yellow quiet morning between under walked seven small green often never paper round light stand".split()
+
+
+def test_planted_spans_without_cues(spark):
+    """As above, but nothing in the words before a span tells: form, placeholders and what the corpus knows must do."""
+    rng = random.Random(21)
+    look = {
+        "masked_email": (lambda k: f"{rng.choice(PLAIN)}{k} [at] {rng.choice(PLAIN)}.org", lambda k: f"{k}. [AT] -a{k} [DOT] 9"),
+        "local_phone": (lambda k: f"423-555-{k:04d}", lambda k: "111.111.1111"),
+        "national_id": (lambda k: f"523-12-{k:04d}", lambda k: f"9{k % 90 + 10}-12-{k:04d}"),
+        "person": (lambda k: f"Dr. {rng.choice(['Maria', 'Ramona', 'Quentin'])} {rng.choice(['Keller', 'Okafor', 'Lindqvist'])}", lambda k: "Dr. No"),
+    }
+    rows, truth = [], {}
+    for kind, (yes, no) in look.items():
+        for k in range(240):
+            truth[len(rows)] = kind if k % 3 < 2 else None
+            words = [rng.choice(PLAIN) for _ in range(12)]
+            rows.append((len(rows), " ".join([*words[:6], (yes if k % 3 < 2 else no)(1000 + k), *words[6:]]), "en", 0.0))
+    # a third of the true ones stand with a cue in a text of their own: from these the corpus learns names
+    rows += [(10_000 + k, f"please contact Dr. {n} Keller soon", "en", 0.0) for k, n in enumerate(["Ramona", "Quentin"] * 40)]
+    got = {r.doc_id: r.s for r in pii.find(spark.createDataFrame(rows, cases.TEXT)).select("doc_id", pii.listed("spans").alias("s")).collect() if r.doc_id < 10_000}
+    added = {i: s.split(":")[0] for i, s in got.items() if s}
+    right = {kind: sum(added.get(i) == kind for i, t in truth.items() if t == kind) for kind in look}
+    wrong = sum(truth[i] is None for i in added)
+    print(right, "of 160 each,", wrong, "wrong of", len(added))
+    assert wrong <= 0.05 * len(added)
+    assert all(n >= 0.9 * 160 for n in right.values()), right
+
+
+def test_the_corpus_adds_to_the_gazetteer(spark):
+    texts = [f"contact Dr. Ramona Keller{k} today" for k in range(8)] + [f"chapter Dr. Pacman Jones{k} here" for k in range(8)] + ["contact Dr. Rare Keller"]
+    docs = spark.createDataFrame([(k, t, "en", 0.0) for k, t in enumerate(texts)], cases.TEXT)
+    spans = docs.select(F.explode(pii.candidates(F.col("text"))).alias("x")).select("x.*")
+    assert {(pii.KINDS[r.kind], r.term) for r in pii.promoted(spans).collect()} == {("person", "ramona")}
+
+
+def test_base_and_added_spans_of_a_long_text_are_linear(spark):
+    """100,000 base and 100,000 added spans beside each other."""
+    n = 100_000
+    text = " ".join(f"1.2.3.{k % 200} call 423-555-{k % 10_000:04d}" for k in range(n))
+    docs = spark.createDataFrame([(1, text, "en", 0.0)], cases.TEXT)
+    found = pii.staged(docs.select(pii.candidates(F.col("text")).alias("spans")), "long")
+    ok = {(r.kind, r.shape) for r in found.select(F.explode("spans").alias("x")).where("NOT x.base").select("x.kind", "x.shape").distinct().collect()}
+    began = time.time()
+    kinds = found.select(F.transform(pii.accepted(F.col("spans"), ok), lambda x: x["kind"]).alias("k")).first().k
+    assert time.time() - began < 30
+    assert [kinds.count(k) for k in (1, 5)] == [n, n]
+
+
+def test_added_spans_that_touch_base_ones_go(spark):
+    rng = random.Random(2)
+    schema = "k int, spans array<struct<start:int,kind:int,end:int,base:boolean,votes:int,shape:int,term:string>>"
+    rows, want = [], {}
+    for k in range(200):
+        spans = []
+        for _ in range(rng.choice((0, 1, 5, 300))):
+            start = rng.randrange(2000)
+            spans.append((start, rng.randrange(8), start + rng.randint(1, 30), rng.random() < 0.4, 0, 7, None))
+        spans.sort(key=lambda x: x[:3])
+        rows.append((k, spans))
+        base = [x for x in spans if x[3]]
+        want[k] = [x[:3] for x in spans if x[3] or (x[1] >= 4 and not any(y[0] < x[2] and x[0] < y[2] for y in base))]
+    got = spark.createDataFrame(rows, schema).select("k", pii.accepted(F.col("spans"), {(x, 7) for x in range(4, 8)}).alias("s")).collect()
+    assert {r.k: [tuple(x)[:3] for x in r.s] for r in got} == want
+
+
 def test_label_model_knows_labelers_by_kind():
     # of kind 0 the second labeler votes at random, of kind 1 with the others
     code = lambda *v: v[0] * 27 + v[1] * 9 + v[2] * 3 + v[3]
