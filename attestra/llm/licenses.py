@@ -5,13 +5,17 @@ blocks of words around its cues; a licence file (by its name) is kept whole as
 well. Where a block holds the words that a notice needs, a window of the notice's
 length is cut so that the notice's rarest word falls where the notice has it:
 notices inside lines, over several lines and beside each other each get windows of
-their own, and a notice word for word scores 1. Windows and whole licence files are
+their own, and a notice word for word scores 1; a window after "not" is none. Where a licence's own
+text begins, a window of that text's length is cut as well, so that licences which share their first
+sentences are told apart in source files too. Each identifier of an expression after "License:" is a
+passage of its own. Passages and whole licence files are
 sparse vectors of words weighted ``(1 + ln tf) * idf``, with idf over the templates (a
 word that no template has gets the largest); equal ones are scored once, by
 joining their words with the templates' postings. The best cosine of at least
-``threshold`` names the file's licence, ties going to the first name; a licence file that
+``threshold`` names the file's licence, ties going to the first name; a file or window that
 is close to a licence's own text (``CLOSE``) takes that licence whatever its parts say, and
-"all rights reserved" names a licence only if nothing else does.
+"all rights reserved" names a licence only if nothing else does. ``licenses`` lists the best one and all others of
+at least ``ALSO``, as files may offer a choice.
 
 A file without a licence takes that of the nearest directory above it, or its
 own, that holds a licence file: directories are listed once, each joined to its
@@ -81,7 +85,22 @@ NOTICES = (
     ("MIT", "Licensed under the MIT License", "mit"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/", "mozilla 2.0"),
     ("MPL-2.0", "Mozilla Public License Version 2.0", "mozilla 2.0"),
+    *((name, f"{verb} under the {short}", need) for verb in ("Available", "Licensed", "Distributed") for name, short, need in (
+        ("MIT", "MIT license", "mit"), ("ISC", "ISC license", "isc license"), ("Apache-2.0", "Apache 2.0 license", "apache 2.0"), ("GPL-2.0", "GPLv2", "gplv2"), ("GPL-3.0", "GPLv3", "gplv3"),
+        ("LGPL-2.1", "LGPLv2.1", "lgplv2.1"), ("LGPL-3.0", "LGPLv3", "lgplv3"), ("AGPL-3.0", "AGPLv3", "agplv3"), ("MPL-2.0", "MPL 2.0", "mpl 2.0"), ("Unlicense", "Unlicense", "unlicense"),
+    )),
 )
+#: Identifiers of the SPDX list that expressions may name; -only and -or-later are the same licence here.
+SPDX_IDS = (
+    "0BSD AFL-3.0 AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 APSL-2.0 Artistic-1.0 Artistic-2.0 BlueOak-1.0.0 BSD-1-Clause BSD-2-Clause BSD-3-Clause BSD-3-Clause-Clear "
+    "BSD-4-Clause BSL-1.0 BUSL-1.1 CC-BY-3.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 CDDL-1.1 CECILL-2.1 CPL-1.0 "
+    "ECL-2.0 EFL-2.0 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 GFDL-1.3 GPL-1.0 GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later HPND IPL-1.0 ISC LGPL-2.0 LGPL-2.0-only "
+    "LGPL-2.0-or-later LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later LPPL-1.3c MirOS MIT MIT-0 MPL-1.0 MPL-1.1 MPL-2.0 MS-PL MS-RL MulanPSL-2.0 NCSA NTP "
+    "OFL-1.1 OpenSSL OSL-3.0 PHP-3.01 PostgreSQL PSF-2.0 Python-2.0 QPL-1.0 Ruby SSPL-1.0 Unlicense UPL-1.0 Vim W3C WTFPL X11 Zlib ZPL-2.1"
+).split()
+EXPRESSION = r"(?i)licen[sc]e(?:-identifier)?[ \t]*:[ \t]*[\"']?([(]*[a-z0-9.+-]+(?:[ \t()]+(?:or|and|with)[ \t()]+[a-z0-9.+-]+)*)"
+#: Words that turn a notice into its opposite, and how far before its anchor's place they do.
+NEGATIONS, REACH = ("not", "never", "isn", "wasn", "aren", "nor"), 3
 AS_IS = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 TWO = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
 #: licences' own texts, for licence files. Others are compared by ``NOTICES`` alone, or by texts given as a parameter.
@@ -98,8 +117,24 @@ CUE_WORD = r"licen[sc]e|copyright|spdx|^(?:rights|reserved|domain|commons|hereby
 CUE = r"(?i)licen[sc]e|copyright|spdx|rights reserved|public domain|creative commons|permission is hereby|redistribution and use"
 LICENCE_FILE = r"(?i)(?:^|/)(?:licen[sc]e|unlicense|copying|notice)(?:\.[a-z]+)?$"
 THRESHOLD = 0.6
-#: Cosine from which a whole licence file takes the licence of the text that it is near to.
-CLOSE = 0.9
+#: Cosine from which a whole licence file, or a window of a licence's own text, takes the licence of the text that it is near to; and from which a second licence is listed.
+CLOSE, ALSO = 0.9, 0.8
+#: Words with which the licences' own texts begin, after what may stand before them.
+OPENINGS = ("redistribution and use in source", "permission to use copy modify", "permission is hereby granted free", "this is free and unencumbered")
+
+
+def identifiers() -> tuple[tuple[str, str], ...]:
+    """Licence and template of each SPDX identifier."""
+    return tuple((i.removesuffix("-only").removesuffix("-or-later"), f"SPDX License Identifier {i}") for i in SPDX_IDS)
+
+
+def openings(texts: tuple[tuple[str, str], ...]) -> list[tuple[str, int, int]]:
+    """(opening, words before it, length) of each text that has one."""
+    out = []
+    for _, text in texts:
+        ws = words(text)
+        out += [(o, k, len(ws)) for o in OPENINGS for k in range(len(ws)) if ws[k : k + len(o.split())] == o.split()][:1]
+    return out
 
 
 def words(text: str) -> list[str]:
@@ -117,7 +152,7 @@ def bare(text: Column) -> Column:
 @lru_cache(maxsize=4)
 def template_vectors(texts: tuple[tuple[str, str], ...] = TEXTS) -> tuple[dict[str, float], list[tuple[str, int, str, float]], float]:
     """Idf of each word of the notices and texts, their postings (word, template, licence, weight in its unit-length vector), and the idf of any other word."""
-    templates = [(name, words(text)) for name, text, *_ in (*NOTICES, *texts)]
+    templates = [(name, words(text)) for name, text, *_ in (*NOTICES, *texts, *identifiers())]
     counts = [Counter(ws) for _, ws in templates]
     seen = Counter(w for c in counts for w in c)
     idf = {w: 1 + math.log((1 + len(templates)) / (1 + n)) for w, n in seen.items()}
@@ -140,8 +175,9 @@ def anchors() -> list[tuple[str, list[int], int, list[str]]]:
     return out
 
 
-def marked(files: DataFrame, id_col: str, path_col: str, text_col: str) -> DataFrame:
-    """``row``, ``id``, ``path``, ``blocks`` (words around cues, each with the stretches of ``BLOCK`` words beside it), ``whole`` (a licence file's words).
+def marked(files: DataFrame, id_col: str, path_col: str, text_col: str, texts: tuple[tuple[str, str], ...] = TEXTS) -> DataFrame:
+    """``row``, ``id``, ``path``, ``blocks`` (words around cues, each with the stretches of ``BLOCK`` words beside it), ``whole`` (a licence file's words),
+    ``longs`` (windows of the length of a licence's own text, from where it begins), ``named`` (passages of identifiers in expressions).
 
     At most three times the text of files with cues everywhere; null or empty for all others.
     """
@@ -149,11 +185,22 @@ def marked(files: DataFrame, id_col: str, path_col: str, text_col: str) -> DataF
     is_file = F.coalesce(F.col(path_col).rlike(LICENCE_FILE), F.lit(False))
     picked = files.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(path_col).alias("path"), is_file.alias("is_file"),
-        F.when(text.rlike(CUE) | is_file, bare(text)).alias("bare"),
+        F.when(text.rlike(CUE) | is_file, bare(text)).alias("bare"), F.when(text.rlike(CUE), F.regexp_extract_all(text, F.lit(EXPRESSION), F.lit(1))).alias("expressions"),
     ).withColumn("ws", F.split("bare", " "))
+
+    def long(opening: str, before: int, length: int) -> Column:
+        first, *rest = opening.split()
+        at = F.filter(F.transform("ws", lambda w, i: F.when((w == first) & (F.array_join(F.slice("ws", i + 2, F.lit(len(rest))), " ") == " ".join(rest)), i)), lambda i: i.isNotNull())
+        cut = F.transform(at, lambda i: F.array_join(F.slice("ws", F.greatest(i - before, F.lit(0)) + 1, F.lit(length)), " "))
+        return F.when(F.col("bare").contains(opening), F.array_distinct(cut)).otherwise(F.array().cast("array<string>"))
+
+    known = F.array(*[F.lit(i.lower()) for i in SPDX_IDS])
+    ids = F.filter(F.flatten(F.transform("expressions", lambda x: F.regexp_extract_all(F.lower(x), F.lit("[a-z0-9.+-]+"), F.lit(0)))), lambda x: F.array_contains(known, x))
+    named = F.array_distinct(F.transform(ids, lambda i: bare(F.concat(F.lit("SPDX License Identifier "), i))))
+    longs = F.array_distinct(F.concat(*[long(*x) for x in openings(texts)])) if openings(texts) else F.array().cast("array<string>")
     cues = F.filter(F.transform("ws", lambda w, i: F.when(w.rlike(CUE_WORD), F.floor(i / BLOCK).cast("int"))), lambda x: x.isNotNull())
     cut = lambda b: F.array_join(F.slice("ws", F.greatest((b - 1) * BLOCK, F.lit(0)) + 1, F.when(b > 0, 3 * BLOCK).otherwise(2 * BLOCK)), " ")
-    return picked.select("row", "id", "path", F.transform(F.array_distinct(cues), cut).alias("blocks"), F.when(F.col("is_file") & (F.col("bare") != ""), F.col("bare")).alias("whole"))
+    return picked.select("row", "id", "path", F.transform(F.array_distinct(cues), cut).alias("blocks"), F.when(F.col("is_file") & (F.col("bare") != ""), F.col("bare")).alias("whole"), longs.alias("longs"), named.alias("named"))
 
 
 def windows(blocks: DataFrame) -> DataFrame:
@@ -166,7 +213,9 @@ def windows(blocks: DataFrame) -> DataFrame:
     places = F.filter(F.transform("ws", lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: F.array_contains(listed, x["word"]))
     laid = once.select("block_key", "ws", F.explode(places).alias("x")).select("block_key", "ws", "x.at", "x.word").join(F.broadcast(table), "word")
     laid = laid.select("block_key", "ws", "length", "need", "at", F.explode("offsets").alias("offset"))
-    cut = laid.select("block_key", "need", F.slice("ws", F.greatest(F.col("at") - F.col("offset"), F.lit(0)) + 1, F.col("length")).alias("w"))
+    start = F.greatest(F.col("at") - F.col("offset"), F.lit(0))
+    denied = F.slice("ws", F.greatest(start - REACH, F.lit(0)) + 1, F.col("at") - F.greatest(start - REACH, F.lit(0)))
+    cut = laid.where(~F.arrays_overlap(denied, F.array(*map(F.lit, NEGATIONS)))).select("block_key", "need", F.slice("ws", start + 1, F.col("length")).alias("w"))
     return cut.where(F.size(F.array_except("need", "w")) == 0).select("block_key", F.array_join("w", " ").alias("passage")).distinct()
 
 
@@ -196,19 +245,25 @@ def _rank(close: Column | None = None) -> Column:
 def scan(
     files: DataFrame, id_col: str = "id", path_col: str = "path", text_col: str = "text", threshold: float = THRESHOLD, texts: tuple[tuple[str, str], ...] = TEXTS
 ) -> DataFrame:
-    """``id``, ``path``, ``license``, ``score``, ``origin`` (own, inherited or null), ``of`` (the directory inherited from)."""
-    rows = staged(marked(files, id_col, path_col, text_col), "license-rows")
+    """``id``, ``path``, ``license``, ``score``, ``origin`` (own, inherited or null), ``of`` (the directory inherited from), ``licenses`` (of its own, by name)."""
+    rows = staged(marked(files, id_col, path_col, text_col, texts), "license-rows")
     around = rows.select("row", F.explode("blocks").alias("block")).select("row", "block", F.sha2("block", 256).alias("block_key"))
     cut = windows(around).select(F.col("block_key").alias("of"), "passage")
-    whole = rows.where("whole IS NOT NULL").select("row", F.col("whole").alias("passage"))
     cut = staged(cut.withColumn("key", F.sha2("passage", 256)), "license-windows")
-    whole = whole.withColumn("key", F.sha2("passage", 256))
+    # whole files and windows of whole texts may be close to one; passages of identifiers are as windows
+    whole = rows.select("row", F.explode(F.concat(F.filter(F.array("whole"), lambda x: x.isNotNull()), "longs")).alias("passage")).withColumn("may", F.lit(True))
+    whole = whole.unionByName(rows.select("row", F.explode("named").alias("passage")).withColumn("may", F.lit(False))).withColumn("key", F.sha2("passage", 256))
     named = staged(scored(cut.select("key", "passage").unionByName(whole.select("key", "passage")), texts, threshold), "license-scores")
-    of_block = cut.select("of", "key").join(named, "key").groupBy("of").agg(F.min(_rank()).alias("rank"))
-    found = around.select("row", F.col("block_key").alias("of")).join(of_block, "of").select("row", "rank")
-    found = found.unionByName(whole.select("row", "key").join(named, "key").select("row", _rank(F.col("score") >= CLOSE).alias("rank")))
-    best = found.groupBy("row").agg(F.min("rank").alias("best"))
-    own = staged(best.select("row", F.col("best.license").alias("own"), (-F.col("best.minus")).alias("own_score")), "license-own")
+    # a block's best licences, one row each: there are no more than licences
+    of_block = cut.select("of", "key").join(named, "key").groupBy("of", "license").agg(F.min(_rank()).alias("rank"))
+    found = around.select("row", F.col("block_key").alias("of")).join(of_block, "of").select("row", "license", "rank")
+    found = found.unionByName(whole.select("row", "key", "may").join(named, "key").select("row", "license", _rank(F.col("may") & (F.col("score") >= CLOSE)).alias("rank")))
+    per_licence = found.groupBy("row", "license").agg(F.min("rank").alias("rank"))
+    second = F.when((-F.col("rank.minus") >= ALSO) & (F.col("license") != "Proprietary"), F.col("license"))
+    best = per_licence.groupBy("row").agg(F.min("rank").alias("best"), F.collect_set(second).alias("more"))
+    close = F.col("best.first") == 0  # a whole text names its licence alone
+    listed = F.array_sort(F.when(close, F.array("best.license")).otherwise(F.array_union("more", F.array("best.license"))))
+    own = staged(best.select("row", F.col("best.license").alias("own"), (-F.col("best.minus")).alias("own_score"), listed.alias("licenses")), "license-own")
     folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", r"/[^/]*$", "")).otherwise(F.lit(""))
     placed = rows.select("row", "id", "path", F.when(F.col("path").isNotNull(), folder).alias("folder"))
     # as the licence files have licences of their own, they are few
@@ -224,7 +279,7 @@ def scan(
     return out.select(
         "id", "path", F.coalesce("own", "near.given").alias("license"), F.coalesce("own_score", "near.given_score").alias("score"),
         F.when(F.col("own").isNotNull(), "own").when(F.col("near").isNotNull(), "inherited").alias("origin"),
-        F.when(F.col("own").isNull(), F.col("near.above")).alias("of"),
+        F.when(F.col("own").isNull(), F.col("near.above")).alias("of"), F.coalesce("licenses", F.array().cast("array<string>")).alias("licenses"),
     )
 
 
@@ -243,9 +298,10 @@ def documents_as_files(docs: DataFrame) -> DataFrame:
 def oracle() -> str:
     """DuckDB SQL for ``scan`` of ``documents_as_files``; documents are told apart by row number."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    rows = ", ".join(f"({k}, {quoted(name)}, {quoted(text)}, {quoted(rest[0]) if rest else 'NULL'})" for k, (name, text, *rest) in enumerate((*NOTICES, *TEXTS)))
+    rows = ", ".join(f"({k}, {quoted(name)}, {quoted(text)}, {quoted(rest[0]) if rest else 'NULL'})" for k, (name, text, *rest) in enumerate((*NOTICES, *TEXTS, *identifiers())))
+    opened = ", ".join(f"({[*o.split()]}, {k}, {n})" for o, k, n in openings(TEXTS))
     laid = ", ".join(f"({k}, {quoted(anchor)})" for k, (anchor, *_) in enumerate(anchors()))
-    n = len(NOTICES) + len(TEXTS)
+    n = len(NOTICES) + len(TEXTS) + len(identifiers())
     bare_sql = r"trim(regexp_replace(regexp_replace(lower(regexp_replace({}, '[^A-Za-z0-9.]+', ' ', 'g')), '\.+( |$)', ' ', 'g'), ' +', ' ', 'g'))"
     folder = "concat_ws('/', source, CAST(doc_id // 1000 AS VARCHAR), CAST(doc_id // 100 % 10 AS VARCHAR))"
     return f"""
@@ -260,14 +316,21 @@ def oracle() -> str:
               string_split({bare_sql.format('need')}, ' ') AS need FROM tws JOIN laid USING (k)),
     files AS (SELECT row_number() OVER () AS r, doc_id, {folder} AS folder, coalesce(text, '') AS text,
               regexp_matches(regexp_extract(coalesce(text, ''), '^[^\\n]*'), '{CUE}') AS is_file FROM documents),
+    opened(words, before, length) AS (VALUES {opened}),
+    ids AS (SELECT DISTINCT r, {bare_sql.format("'SPDX License Identifier ' || id")} AS passage FROM (
+            SELECT r, unnest(regexp_extract_all(lower(x), '[a-z0-9.+-]+')) AS id FROM (SELECT r, unnest(regexp_extract_all(text, '{EXPRESSION.replace("'", "''")}', 1)) AS x FROM files WHERE regexp_matches(text, '{CUE}')))
+            WHERE id IN ({', '.join(quoted(i.lower()) for i in SPDX_IDS)})),
     cued AS (SELECT r, is_file, {bare_sql.format('text')} AS bare FROM files WHERE is_file OR regexp_matches(text, '{CUE}')),
     ws AS (SELECT r, string_split(bare, ' ') AS ws FROM cued),
     near AS (SELECT DISTINCT r, (i - 1) // {BLOCK} AS b FROM (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM ws) WHERE regexp_matches(w, '{CUE_WORD}')),
     block AS (SELECT r, b, ws[greatest(b - 1, 0) * {BLOCK} + 1 : (b + 2) * {BLOCK}] AS ws FROM near JOIN ws USING (r)),
     hit AS (SELECT r, ws, unnest(ws) AS anchor, generate_subscripts(ws, 1) AS pos FROM block),
-    cut AS (SELECT r, ws[greatest(pos - shift, 0) + 1 : greatest(pos - shift, 0) + length] AS w, need FROM hit JOIN tried USING (anchor)),
+    cut AS (SELECT r, ws[greatest(pos - shift, 0) + 1 : greatest(pos - shift, 0) + length] AS w, need FROM hit JOIN tried USING (anchor)
+            WHERE NOT list_has_any(ws[greatest(greatest(pos - shift, 0) - {REACH}, 0) + 1 : pos - 1], {[*NEGATIONS]})),
+    long AS (SELECT DISTINCT r, array_to_string(ws[greatest(pos - 1 - before, 0) + 1 : greatest(pos - 1 - before, 0) + length], ' ') AS passage
+             FROM (SELECT r, ws, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM ws) JOIN opened ON w = words[1] AND ws[pos : pos + len(words) - 1] = words),
     found AS (SELECT DISTINCT r, array_to_string(w, ' ') AS passage, false AS whole FROM cut WHERE list_has_all(w, need)
-              UNION ALL SELECT r, bare, true FROM cued WHERE is_file AND bare <> ''),
+              UNION ALL SELECT r, bare, true FROM cued WHERE is_file AND bare <> '' UNION ALL SELECT r, passage, true FROM long UNION ALL SELECT r, passage, false FROM ids),
     pt AS (SELECT passage, word, count(*) AS tf FROM
            (SELECT passage, unnest(string_split(passage, ' ')) AS word FROM (SELECT DISTINCT passage FROM found)) GROUP BY ALL),
     pw AS (SELECT passage, word, (1 + ln(tf)) * coalesce(idf, 1 + ln(1.0 + {n})) AS w FROM pt LEFT JOIN idf USING (word)),
@@ -275,9 +338,11 @@ def oracle() -> str:
     cosine AS (SELECT pw.passage, tw.license, round(sum(pw.w * tw.w) / any_value(pn.size) / any_value(tn.size), 6) AS score
                FROM pw JOIN tw USING (word) JOIN pn ON pn.passage = pw.passage JOIN tn ON tn.k = tw.k GROUP BY pw.passage, tw.k, tw.license),
     named AS (SELECT passage, arg_min(license, (-score, license)) AS license, max(score) AS score FROM cosine WHERE score >= {THRESHOLD} GROUP BY passage),
-    ranked AS (SELECT r, license, score, row_number() OVER (PARTITION BY r ORDER BY CASE WHEN whole AND score >= {CLOSE} THEN 0 ELSE 1 END,
+    ranked AS (SELECT r, license, score, whole AND score >= {CLOSE} AS close, row_number() OVER (PARTITION BY r ORDER BY CASE WHEN whole AND score >= {CLOSE} THEN 0 ELSE 1 END,
                license = 'Proprietary', score DESC, license) AS place FROM found JOIN named USING (passage)),
-    own AS (SELECT r, license AS own, score AS own_score FROM ranked WHERE place = 1),
+    own AS (SELECT r, max(license) FILTER (WHERE place = 1) AS own, max(score) FILTER (WHERE place = 1) AS own_score,
+            array_to_string(list_sort(list_distinct(list(license) FILTER (WHERE place = 1 OR (score >= {ALSO} AND license <> 'Proprietary' AND NOT first_close)))), ',') AS licenses
+            FROM (SELECT *, bool_or(close) OVER (PARTITION BY r) AS first_close FROM ranked) GROUP BY r),
     given AS (SELECT folder, arg_min(own, (-own_score, own)) AS given, max(own_score) AS given_score
               FROM files JOIN own USING (r) WHERE is_file GROUP BY folder),
     up AS (SELECT DISTINCT folder, folder AS above, 0 AS steps FROM files
@@ -287,5 +352,5 @@ def oracle() -> str:
              FROM up JOIN given ON given.folder = up.above GROUP BY up.folder)
     SELECT doc_id, coalesce(own, given) AS license, coalesce(own_score, given_score) AS score,
            CASE WHEN own IS NOT NULL THEN 'own' WHEN given IS NOT NULL THEN 'inherited' END AS origin,
-           CASE WHEN own IS NULL THEN closest.above END AS "of"
+           CASE WHEN own IS NULL THEN closest.above END AS "of", coalesce(licenses, '') AS licenses
     FROM files LEFT JOIN own USING (r) LEFT JOIN closest USING (folder)"""

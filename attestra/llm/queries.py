@@ -25,7 +25,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = licenses.documents_as_files(documents(spark, sf_dir))
-    return licenses.scan(files, "doc_id").select(F.col("id").alias("doc_id"), "license", "score", "origin", "of")
+    return licenses.scan(files, "doc_id").select(F.col("id").alias("doc_id"), "license", "score", "origin", "of", F.array_join("licenses", ",").alias("licenses"))
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

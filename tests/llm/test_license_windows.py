@@ -41,6 +41,31 @@ CASES = [
 ]
 
 
+TEXT = dict(licenses.TEXTS)
+#: Text, licence, all licences.
+PROBES = [
+    ("/*\n * " + TEXT["BSD-2-Clause"] + "\n */\nint main() { return 0; }\n" + WORDS * 3, "BSD-2-Clause", ["BSD-2-Clause"]),
+    ("/*\n * " + TEXT["BSD-3-Clause"] + "\n */\nint main() { return 0; }\n" + WORDS * 3, "BSD-3-Clause", ["BSD-3-Clause"]),
+    (WORDS + TEXT["ISC"] + WORDS, "ISC", ["ISC"]),
+    ("This is not released under the MIT License " + WORDS, None, []),
+    ("This software was never licensed under the Apache License, Version 2.0. " + WORDS, None, []),
+    ("// SPDX-License-Identifier: MIT OR Apache-2.0\n" + WORDS, "Apache-2.0", ["Apache-2.0", "MIT"]),
+    ("// SPDX-License-Identifier: (GPL-2.0-only OR BSD-3-Clause)\n" + WORDS, "BSD-3-Clause", ["BSD-3-Clause", "GPL-2.0"]),
+    (WORDS + "available under the MIT license. " + WORDS, "MIT", ["MIT"]),
+    (WORDS + "licensed under the GPLv3 " + WORDS, "GPL-3.0", ["GPL-3.0"]),
+    ("Name: thing\nLicense: GPL-2.0-or-later\n" + WORDS, "GPL-2.0", ["GPL-2.0"]),
+    ("# SPDX-License-Identifier: EPL-2.0\n" + WORDS, "EPL-2.0", ["EPL-2.0"]),
+    ("# SPDX-License-Identifier: BSL-1.0\n" + WORDS, "BSL-1.0", ["BSL-1.0"]),
+    ("# SPDX-License-Identifier: Zlib\n" + WORDS, "Zlib", ["Zlib"]),
+]
+
+
+def test_texts_choices_negations_and_identifiers(spark):
+    rows = [(k, f"{k}/f.c", text, "x") for k, (text, *_) in enumerate(PROBES)]
+    got = {r.id: (r.license, r.licenses) for r in licenses.scan(spark.createDataFrame(rows, FILES)).collect()}
+    assert got == {k: (name, every) for k, (_, name, every) in enumerate(PROBES)}
+
+
 def test_notices_in_context(spark):
     rows = [(k, f"{k}/f.txt", text, "x") for k, (text, _) in enumerate(CASES)]
     got = {r.id: r.license for r in licenses.scan(spark.createDataFrame(rows, FILES)).collect()}

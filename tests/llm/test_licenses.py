@@ -36,7 +36,7 @@ def test_cosines_match_brute_force(spark):
     passages = [" ".join(licenses.words(t)) for t in texts]
     found = spark.createDataFrame(list(enumerate(passages)), "key long, passage string")
     got = {passages[r.key]: (r.license, r.score) for r in licenses.scored(found, threshold=0.0).collect()}
-    templates = [(name, Counter(licenses.words(text))) for name, text, *_ in (*licenses.NOTICES, *licenses.TEXTS)]
+    templates = [(name, Counter(licenses.words(text))) for name, text, *_ in (*licenses.NOTICES, *licenses.TEXTS, *licenses.identifiers())]
     idf = lambda w: 1 + math.log((1 + len(templates)) / (1 + sum(w in c for _, c in templates)))
     vector = lambda c: {w: (1 + math.log(n)) * idf(w) for w, n in c.items()}
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
