@@ -443,19 +443,23 @@ def q_strict_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@register("""
-    SELECT CAST(n_nationkey AS VARCHAR) AS folder, CASE WHEN length(n_name) > 7 THEN 'too_large' ELSE 'present' END AS status,
-           CASE WHEN length(n_name) <= 7 THEN sha256(n_name || chr(10)) END AS sha256, CAST(NULL AS VARCHAR) AS case_hint FROM nation
-    UNION ALL SELECT 'none', 'absent', NULL, NULL UNION ALL SELECT NULL, 'no_path', NULL, NULL UNION ALL SELECT '..', 'unreadable', NULL, NULL""")
+#: Of each part, its file and the path asked for: another case in the folder or (by full folding) in the name, one that isn't there, none, one out of the root, the folder itself, a path below a file, or its own.
+PART_FILE = "'P' || CAST(p_partkey % 40 AS STRING) || '/' || CAST(p_partkey AS STRING) || '-straße.txt'"
+PART_PATH = f"""CASE p_partkey % 13 WHEN 0 THEN replace({PART_FILE}, 'P', 'p') WHEN 1 THEN replace({PART_FILE}, 'straße.txt', 'STRASSE.TXT') WHEN 2 THEN {PART_FILE} || '.old' WHEN 3 THEN NULL
+    WHEN 4 THEN '../' || {PART_FILE} WHEN 5 THEN 'P' || CAST(p_partkey % 40 AS STRING) WHEN 6 THEN {PART_FILE} || '/below' ELSE {PART_FILE} END"""
+
+
+@register(f"""
+    WITH f AS (SELECT p_partkey, {PART_FILE} AS file, {PART_PATH} AS path, p_name || chr(10) || p_type AS content FROM part),
+    a AS (SELECT path, p_partkey % 13 AS way, CASE WHEN strlen(content) > 40 THEN 'too_large' ELSE 'present' END AS there, file, content FROM f)
+    SELECT DISTINCT path AS relative_path, CASE WHEN way IN (0, 1, 2, 6) THEN 'absent' WHEN way = 3 THEN 'no_path' WHEN way IN (4, 5) THEN 'unreadable' ELSE there END AS status,
+           CASE WHEN way > 6 AND there = 'present' THEN sha256(content) END AS sha256, CASE WHEN way IN (0, 1) THEN file END AS case_hint FROM a""")
 def q_evidence_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations' names as files of a folder each, probed with paths that aren't there, aren't given or aren't allowed."""
-    root = scratch(spark, "nations")
-    named = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("value"))
-    named.repartition("k").write.partitionBy("k").text(root)
-    files = evidence.listed(spark, root, 8)
-    asked = files.select("relative_path").unionByName(spark.createDataFrame([("k=none/x.txt",), (None,), ("k=../x.txt/../y",)], "relative_path string"))
-    found = evidence.probe(asked, files)
-    return found.select(F.regexp_extract("relative_path", "^k=([^/]*)/", 1).alias("folder"), "status", "sha256", "case_hint")
+    """A file of each part, written and then probed by paths that hit or miss in every way."""
+    root = scratch(spark, "part-files")
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    evidence.write_files(part.selectExpr(f"{PART_FILE} AS relative_path", "p_name || '\n' || p_type AS content").repartition("relative_path"), root)
+    return evidence.probe(part.selectExpr(f"{PART_PATH} AS relative_path"), root, 40)
 
 
 def payloads(spark: SparkSession, sf_dir: str, binding: str = "digest", dangling: bool = False) -> DataFrame:
