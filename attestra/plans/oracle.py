@@ -280,8 +280,8 @@ def citations() -> str:
     citations AS (SELECT DISTINCT key, dataset, locator FROM ({" UNION ALL ".join(parts)}))"""
 
 
-def snapshot() -> str:
-    """CTE ``snapshot``: digest of each dataset, by a tree over the hashes of its canonical rows."""
+def bodies() -> str:
+    """Every row's dataset, subject and canonical JSON."""
     parts = []
     for name, spec in DATASETS.items():
         shown = {f.name: f"CASE WHEN {f.name} THEN 'true' WHEN NOT {f.name} THEN 'false' ELSE 'null' END" if f.kind == "bool" else f"coalesce('\"' || {f.name} || '\"', 'null')" for f in spec.fields}
@@ -295,13 +295,18 @@ def snapshot() -> str:
             shown["evidence"] = f"""CASE WHEN {status} = 'present' THEN '{{"sha256":"' || f.sha256 || '","status":"present"}}' ELSE '{{"status":"' || {status} || '"}}' END"""
             source = "v_artifacts v LEFT JOIN files f USING (relative_path)"
         plain = "'{' || " + " || ',' || ".join(f"""'"{k}":' || {e}""" for k, e in sorted(shown.items())) + " || '}'"
-        parts.append(f"""SELECT '{name}' AS dataset, CASE WHEN quarantined THEN '{{"quarantined":' || {strings(listed)} || ',"raw":' || {raw} || '}}' ELSE {plain} END AS body FROM {source}""")
+        parts.append(f"""SELECT '{name}' AS dataset, subject, CASE WHEN quarantined THEN '{{"quarantined":' || {strings(listed)} || ',"raw":' || {raw} || '}}' ELSE {plain} END AS body FROM {source}""")
+    return " UNION ALL ".join(parts)
+
+
+def snapshot() -> str:
+    """CTE ``snapshot``: digest of each dataset, by a tree over the hashes of its canonical rows."""
     levels, at = "", "leaf"
     for k, digits in enumerate((8, 5, 2, 0)):
         levels += f", level{k} AS (SELECT dataset, substr(node, 1, {digits}) AS node, sha256(string_agg(digest, ',' ORDER BY digest)) AS digest FROM {at} GROUP BY ALL)"
         at = f"level{k}"
     return f"""
-    hashed AS (SELECT dataset, sha256(body) AS h, count(*) AS n FROM ({" UNION ALL ".join(parts)}) GROUP BY ALL),
+    hashed AS (SELECT dataset, sha256(body) AS h, count(*) AS n FROM ({bodies()}) GROUP BY ALL),
     leaf AS (SELECT dataset, h AS node, sha256(h || ':' || n) AS digest FROM hashed){levels},
     snapshot AS (SELECT dataset, CAST(n_rows AS BIGINT) AS n_rows, digest FROM {at} JOIN (SELECT dataset, sum(n) AS n_rows FROM hashed GROUP BY dataset) USING (dataset))"""
 

@@ -373,6 +373,40 @@ def q_snapshot_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.snapshot_digest(done.case, done.records)
 
 
+def _identity_sql() -> str:
+    root = lambda n: f"coalesce('\"' || max(digest) FILTER (WHERE dataset = '{n}') || '\"', 'null')"
+    claim = '{"basis":["' + '","'.join(sorted(shapes.BASES[0])) + '"],"consistency":"stable_verified","coverage":"complete_for_declared_scope"}'
+    member = lambda n: f"""'"{n}":{{"declared":{claim},"rows":' || {root(n)} || '}}'"""
+    datasets = f"""'"approval_items":{{"rows":' || {root('approval_items')} || '}},' || {member('approvals')} || ',' || {member('artifacts')} || ',"evidence_files":{{"declared":{claim}}},' || {member('inspections')}"""
+    tail = f"""'}},"project":{{"project_id":"{shapes.PROJECT}"}},"scheme":"{identity.SCHEME}","scope":{{"accepted":true,"rows":' || {root('scope')} || ',"scope_revision":"{shapes.REVISION}"}}}}'"""
+    return f"""SELECT 'sha256:' || sha256('{{"datasets":{{' || {datasets} || {tail}) AS digest FROM snapshot"""
+
+
+@register(oracle.over_shapes(_identity_sql(), oracle.snapshot()))
+def q_snapshot_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One digest over all datasets' roots and what the snapshot declares."""
+    done = assessed(spark, sf_dir, dangling=True)
+    return identity.snapshot_identity(done.case, identity.snapshot_digest(done.case, done.records))
+
+
+_SIDE = "SELECT dataset, coalesce(subject, sha256(body)) AS subject, sha256(body) AS h, count(*) AS n FROM (" + oracle.bodies() + ") GROUP BY ALL"
+
+
+@register(f"""
+    WITH before AS ({oracle.over_shapes(_SIDE)}), after AS ({oracle.over_shapes(_SIDE, dangling=False)}),
+    d AS (SELECT dataset, subject, coalesce(a.n, 0) - coalesce(b.n, 0) AS more FROM before b FULL JOIN after a USING (dataset, subject, h) WHERE coalesce(a.n, 0) <> coalesce(b.n, 0))
+    SELECT dataset, subject, CASE WHEN min(more) > 0 THEN 'added' WHEN max(more) < 0 THEN 'removed' ELSE 'changed' END AS change,
+           CAST(sum(greatest(-more, 0)) AS BIGINT) AS n_removed, CAST(sum(greatest(more, 0)) AS BIGINT) AS n_added FROM d GROUP BY dataset, subject""")
+def q_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records with defects in references, and without: which rows differ, by their kept trees."""
+    kept = []
+    for dangling in (True, False):
+        done = assessed(spark, sf_dir, dangling=dangling)
+        kept.append(scratch(spark, "snapshot-tree"))
+        identity.keep_tree(done.case, done.records, kept[-1])
+    return identity.snapshot_diff(spark, *kept)
+
+
 @register(oracle.over_chain("SELECT count(*) AS findings, count(DISTINCT key) AS keys FROM findings", dangling=True))
 def q_unique_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As many keys as findings: the guard of the assessment, as counts."""
