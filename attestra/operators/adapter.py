@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.canonical import canonical_json
 from ..functions.grammar import sanitized_file_name
 from ..functions.schema import COMPLETE
+from ..sources.sinks import guarded
 
 
 def first_occurrences(records: DataFrame, key: str = "rid", order: tuple[str, ...] = ("page", "pos")) -> DataFrame:
@@ -55,7 +57,7 @@ def converted(kind: str, value: Column) -> tuple[Column, Column]:
     unexpected, so that it is never taken for a valid value.
     """
     shape = F.schema_of_variant(value)
-    text, void = F.to_json(value), shape == "VOID"
+    text, void = canonical_json(value), shape == "VOID"
     string = F.try_variant_get(value, "$", "string")
     if kind in ("text", "timestamp"):
         good, cell = shape == "STRING", F.when(string != "", string)
@@ -87,6 +89,16 @@ def latest_versions(versions: DataFrame, key: str = "rid") -> DataFrame:
     return best.select(key, "b.version", "b.file_name")
 
 
+def closed_world(asked: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame:
+    """``asked`` with the columns of ``index`` (unique by ``keys``); ``RunError`` with the first key that the index lacks.
+
+    The misses are counted by the job that writes the result; there is no other one.
+    """
+    found = asked.join(index.withColumn("__there", F.lit(True)), keys, "left")
+    shown = F.concat_ws("/", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    return guarded(found, "closed-world", {"EXPORT_INVALID": F.col("__there").isNull()}, shown).drop("__there")
+
+
 def attachment_path(table: str, rid: Column, field: int, version: Column, name: Column) -> Column:
     return F.concat(F.lit(f"files/{table}/"), rid.cast("string"), F.lit(f"/{field}/v"), version.cast("string"), F.lit("/"), sanitized_file_name(name))
 
@@ -150,7 +162,6 @@ def records_of_pages(pages: DataFrame) -> DataFrame:
     ``pages`` has ``page`` and ``body``, the text of ``{"data": [{"3": {"value": ...}}, ...]}``.
     """
     parsed = pages.select("page", F.try_parse_json("body").alias("v"))
-    parsed.createOrReplaceTempView("__attestra_pages")
     return parsed.sparkSession.sql("""
         SELECT p.page, r.pos, CAST(c.key AS INT) AS field, try_variant_get(c.value, '$.value', 'variant') AS value
-        FROM __attestra_pages p, LATERAL variant_explode(try_variant_get(p.v, '$.data', 'variant')) r, LATERAL variant_explode(r.value) c""")
+        FROM {pages} p, LATERAL variant_explode(try_variant_get(p.v, '$.data', 'variant')) r, LATERAL variant_explode(r.value) c""", pages=parsed)

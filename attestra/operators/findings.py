@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.canonical import canonical_json
 from ..functions.schema import CHECKS, OUTCOMES, SUBJECTS
 from ..sources.staging import staged
 from .integrity import finding_key
@@ -48,6 +49,19 @@ def numbered(findings: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(start), "part").select("key", (F.col("at") + F.col("before") + 1).alias("place"))
 
 
+#: Members of a finding in a document, by name.
+MEMBERS = ("blocked_by", "caused_by", "check_id", "expected", "key", "observed", "outcome", "reason", "required", "subject_id", "subject_kind")
+
+
+def as_json(findings: DataFrame, members: tuple[str, ...] = MEMBERS) -> DataFrame:
+    """``json``, canonical text of each finding, beside the columns ``by0`` to ``by3`` of the order; ``expected`` and ``observed`` are JSON already."""
+    keep = {"ignoreNullFields": "false"}
+    # an element of its own array, so that a string is quoted and a null is written
+    text = lambda n: canonical_json(F.parse_json(n)) if n in ("expected", "observed") else F.regexp_replace(F.to_json(F.array(n), keep), r"^\[|\]$", "")
+    body = F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{n}":'), text(n)) for n in sorted(members)]), F.lit("}"))
+    return keyed(findings).select(*[c.alias(f"by{k}") for k, c in enumerate(rank_columns())], body.alias("json"))
+
+
 def roots(findings: DataFrame) -> DataFrame:
     """Required findings that failed or can't be told, and that no coverage caused."""
     return findings.where("required AND outcome IN ('FAIL', 'UNKNOWN') AND size(caused_by) = 0")

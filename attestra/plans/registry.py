@@ -13,11 +13,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import grammar
-from ..functions.schema import DATASETS
+from ..functions import canonical, grammar
+from ..functions.schema import DATASETS, SUBJECTS
 from ..operators import adapter, chain, citations, coverage, findings, identity, integrity, rules
 from ..operators.case import Pack
-from ..sources import evidence, shapes, strict_csv
+from ..sources import evidence, shapes, sinks, strict_csv
 from ..sources.staging import scratch, staged
 from . import oracle
 
@@ -496,6 +496,86 @@ def q_evidence_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.probe(part.selectExpr(f"{PART_PATH} AS relative_path"), root, 40)
 
 
+#: Rows as they are written: every row's first cell, some with a line end, quotes and commas in it.
+_ODD_CELL = "{c} || CASE row_number % 23 WHEN 7 THEN chr(10) || '\"x\",' WHEN 9 THEN ', ' WHEN 11 THEN '\"' ELSE '' END"
+
+
+def _written_sql() -> str:
+    parts = []
+    for name, spec in DATASETS.items():
+        cells = [_ODD_CELL.format(c=spec.fields[0].name), *[f"coalesce({f.name}, '')" for f in spec.fields[1:]]]
+        parts.append(f"SELECT '{name}' AS dataset, {" || '|' || ".join(cells)} AS body, TRUE AS in_order FROM raw_{name}")
+    return " UNION ALL ".join(parts)
+
+
+@register(oracle.over_shapes(_written_sql()))
+def q_written_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All five datasets written as CSV in the order of their keys, and read back by the strict source. ``in_order``: no record comes before its file's last one."""
+    raw, out = assessed(spark, sf_dir, dangling=True).case.raw, None
+    for name, spec in DATASETS.items():
+        path = scratch(spark, f"{name}-written")
+        sinks.write_csv(raw[name].withColumn(spec.fields[0].name, F.expr(_ODD_CELL.format(c=spec.fields[0].name))), name, path)
+        rows = strict_csv.read_dataset(spark, path, name)
+        key = F.concat_ws("\x01", *[F.coalesce(k, F.lit("\U0010ffff")) for k in spec.key])
+        place = Window.partitionBy("file").orderBy("row_number")  # a file is one range
+        in_order = ~F.col("malformed") & (F.coalesce(F.lag(key).over(place), F.lit("")) <= key)
+        part = rows.select(F.lit(name).alias("dataset"), F.array_join(F.array(*[F.coalesce(f.name, F.lit("")) for f in spec.fields]), "|").alias("body"), in_order.alias("in_order"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _escaped(c: str) -> str:
+    """DuckDB SQL of a text's JSON string, for the characters that stand in the tables and those planted."""
+    for plain, shown in (("chr(92)", "chr(92) || chr(92)"), ("chr(34)", "chr(92) || chr(34)"), ("chr(10)", "chr(92) || 'n'"), ("chr(13)", "chr(92) || 'r'"), ("chr(9)", "chr(92) || 't'"), ("chr(31)", "chr(92) || 'u001f'"), ("chr(11)", "chr(92) || 'u000b'")):
+        c = f"replace({c}, {plain}, {shown})"
+    return f"'\"' || {c} || '\"'"
+
+
+_PLANTED = "coalesce(text, '') || chr(31) || chr(92) || 'u001F' || chr(11) || chr(34) || chr(127) || '\U0001F600'"
+
+
+@register(f"""
+    WITH d AS (SELECT doc_id, {_PLANTED} AS t, coalesce(source, '') AS source FROM documents)
+    SELECT doc_id, sha256('{{"A":null,"B":[{{"x":' || {_escaped('t')} || ',"y":' || doc_id || '.5}},[],{{}},[true,' || doc_id || ']],"a":{{"k":"v","k2":' || {_escaped('source')} || '}},"b":-0.25}}') AS sha256,
+           'a number is no integer' AS outside FROM d""")
+def q_canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text in a nested object of unsorted keys, with control characters and escapes of its own, in canonical form."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.expr(_PLANTED).alias("t"), F.coalesce("source", F.lit("")).alias("source"))
+    n = F.col("doc_id").cast("string")
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    made = F.concat(F.lit('{"b": -0.250, "a": {"k2":'), quoted("source"), F.lit(', "k": "v"}, "B": [{"y": '), n, F.lit('.50, "x":'), quoted("t"), F.lit("}, [], {}, [true, "), n, F.lit(']], "A": null}'))
+    text = docs.select("doc_id", canonical.canonical_json(F.parse_json(made)).alias("text"))
+    return text.select("doc_id", F.sha2("text", 256).alias("sha256"), canonical.outside_domain(F.col("text")).alias("outside"))
+
+
+_LISTED = "[" + ",".join(f"'{s}'" for s in SUBJECTS) + "]"
+
+
+@register(oracle.over_chain(f"""
+    , o AS (SELECT *, row_number() OVER (ORDER BY check_id, list_position({_LISTED}, subject_kind), subject_id, coalesce(code_suffix, '')) AS place FROM findings),
+    j AS (SELECT place, '{{"blocked_by":' || {oracle.strings('blocked_by')} || ',"caused_by":' || CASE WHEN caused_by IS NULL THEN '[]' ELSE '["' || caused_by || '"]' END || ',"check_id":"' || check_id || '","key":"' || key || '","outcome":"' || outcome
+          || '","reason":"' || reason || '","required":' || CAST(required AS VARCHAR) || ',"subject_id":"' || subject_id || '","subject_kind":"' || subject_kind || '"}}' AS json FROM o),
+    t AS (SELECT count(*) AS n_findings, '{{"as_of":"{shapes.AS_OF}","findings":[' || chr(10) || string_agg(CASE WHEN place > 1 THEN ',' ELSE '' END || json || chr(10), '' ORDER BY place) || '],"project_id":"{shapes.PROJECT}"}}' || chr(10) AS text FROM j)
+    SELECT n_findings, strlen(text) AS n_bytes, sha256(text) AS sha256 FROM t""", dangling=True).replace("\n\n    , o AS", ",\n o AS").replace("\n    , o AS", ",\n o AS"))
+def q_assessment_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All findings as one JSON document in ranges of their order: its size and the digest of the joined files."""
+    done = assessed(spark, sf_dir, dangling=True)
+    path = scratch(spark, "assessment")
+    shown = tuple(m for m in findings.MEMBERS if m not in ("expected", "observed"))
+    rows = findings.as_json(done.findings, shown)
+    manifest = sinks.write_json(rows, [f"by{k}" for k in range(4)], path, "findings", {"as_of": f'"{done.case.as_of}"', "project_id": f'"{done.case.project_id}"'})
+    whole = sinks.joined_sha256(manifest, path)
+    return done.findings.agg(F.count("*").alias("n_findings")).join(F.broadcast(manifest.agg(F.sum("length").alias("n_bytes")))).withColumn("sha256", F.lit(whole))
+
+
+@register("SELECT l_orderkey, l_linenumber, o_custkey, o_orderdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def q_closed_world(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items looked up in a closed index of orders; a miss would end the run."""
+    index = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate")
+    asked = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber")
+    return adapter.closed_world(asked, index, ["l_orderkey"]).select("l_orderkey", "l_linenumber", "o_custkey", "o_orderdate")
+
+
 def payloads(spark: SparkSession, sf_dir: str, binding: str = "digest", dangling: bool = False) -> DataFrame:
     """What each finding of R2 to R6 expected and observed, as canonical JSON."""
     found = assessed(spark, sf_dir, binding, dangling).findings.where("check_id IN ('R2', 'R3', 'R4', 'R5', 'R6')")
