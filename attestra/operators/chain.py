@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.schema import COMPLETE
-from ..sources.staging import staged, staged_together
+from ..sources.staging import staged
 from . import coverage, integrity, rules
 from .case import Case, RunError
 from .findings import duplicate_findings
@@ -32,7 +32,7 @@ class Evaluated:
 
     @cached_property
     def records(self) -> integrity.Records:
-        return integrity.Records(staged_together(integrity.records(self.case, self.detect_duplicates).rows, "records-"))
+        return integrity.records(self.case, self.detect_duplicates)
 
     @cached_property
     def defects(self) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.schema import DATASETS
-from ..sources.staging import staged_together
+from ..sources.staging import staged, staged_together
 from .case import Case
 from .validation import cells_json, validated
 
@@ -27,6 +27,7 @@ class Records:
     """Validated rows by dataset; ``quarantined`` rows take no part in the rules."""
 
     rows: dict[str, DataFrame]
+    repeated: DataFrame  # dataset, subject, copies, identical
 
     def live(self, dataset: str) -> DataFrame:
         return self.rows[dataset].where(~F.col("quarantined"))
@@ -37,19 +38,23 @@ class Records:
         return self.rows["scope"].where("row_key IS NOT NULL").select(F.col("obligation_id")).distinct()
 
 
-def repeated_keys(rows: DataFrame) -> DataFrame:
-    """``subject``, ``copies`` of keys that stand in two rows or more; reads the key columns alone."""
-    return rows.where("row_key IS NOT NULL").groupBy("subject").agg(F.count("*").alias("copies")).where("copies > 1")
+def repeated_keys(valid: dict[str, DataFrame]) -> DataFrame:
+    """``dataset``, ``subject``, ``copies``, ``identical`` of keys that stand in two rows or more; cells are compared only where a key repeats."""
+    keyed = None
+    for name, rows in valid.items():
+        part = rows.where("row_key IS NOT NULL").select("dataset", "subject", F.sha2(cells_json(name), 256).alias("cells"))
+        keyed = part if keyed is None else keyed.unionByName(part)
+    twice = staged(keyed.groupBy("dataset", "subject").agg(F.count("*").alias("copies")).where("copies > 1"), "repeated")
+    found = keyed.join(twice, ["dataset", "subject"]).groupBy("dataset", "subject", "copies")
+    return staged(found.agg((F.min("cells") == F.max("cells")).alias("identical")), "repeated")
 
 
-def duplicate_keys(rows: DataFrame, repeated: DataFrame) -> DataFrame:
-    """``subject``, ``copies``, ``identical`` of ``repeated_keys``; cells are compared only where a key repeats."""
-    groups = rows.where("row_key IS NOT NULL").select("subject", "raw").join(repeated, "subject").groupBy("subject", "copies").agg(F.min("raw").alias("__a"), F.max("raw").alias("__b"))
-    return groups.select("subject", "copies", F.col("__a").eqNullSafe(F.col("__b")).alias("identical"))
+#: Repeated keys up to which they meet the rows whenever these are read; beyond, the rows are written with them once.
+FEW = 200_000
 
 
 def records(case: Case, detect_duplicates: bool = True) -> Records:
-    """The validated datasets. Repeated keys are written first, counted and then compared: where they are few, rows aren't shuffled to meet them."""
+    """The validated datasets: written once, then joined with their repeated keys."""
     valid = {}
     for name in DATASETS:
         raw = case.raw.get(name)
@@ -57,22 +62,19 @@ def records(case: Case, detect_duplicates: bool = True) -> Records:
             empty = ", ".join(f"{f.name} string" for f in DATASETS[name].fields) + ", file string, row_number long"
             raw = case.files.sparkSession.createDataFrame([], empty)
         valid[name] = validated(raw, name, case.unmapped)
-    repeated = {}
-    if detect_duplicates:
-        counted = staged_together({n: repeated_keys(rows) for n, rows in valid.items()}, "counted-")
-        repeated = staged_together({n: duplicate_keys(rows, counted[n]) for n, rows in valid.items()}, "repeated-")
+    valid = staged_together(valid, "valid-")
+    repeated = repeated_keys(valid) if detect_duplicates else case.files.sparkSession.createDataFrame([], "dataset string, subject string, copies long, identical boolean")
     out = {}
     for name, rows in valid.items():
-        if detect_duplicates:
-            rows = rows.join(repeated[name], "subject", "left")
-        else:
-            rows = rows.withColumns({"copies": F.lit(None).cast("long"), "identical": F.lit(None).cast("boolean")})
+        rows = rows.join(repeated.where(F.col("dataset") == name).drop("dataset"), "subject", "left")
         bad = F.col("malformed") | (F.size("violations") > 0) | F.col("copies").isNotNull()
         out[name] = rows.withColumns({
             "quarantined": bad, "named": F.coalesce("subject", unattributable_id(name)),
             "kind": F.when(F.col("row_key").isNull(), "unattributable_row").otherwise(DATASETS[name].subject),
         })
-    return Records(out)
+    if detect_duplicates and repeated.count() > FEW:
+        out = staged_together(out, "records-")
+    return Records(out, repeated)
 
 
 # --- which obligations a row concerns ----------------------------------------

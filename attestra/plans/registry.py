@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import canonical, grammar
 from ..functions.schema import DATASETS, SUBJECTS
-from ..operators import adapter, chain, citations, coverage, findings, identity, integrity, rules
+from ..operators import adapter, chain, citations, coverage, expected, findings, identity, integrity, rules
 from ..operators.case import Pack
 from ..sources import evidence, shapes, sinks, strict_csv
 from ..sources.staging import scratch, staged
@@ -140,12 +140,7 @@ def q_validate_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(oracle.over_shapes(" UNION ALL ".join(f"SELECT '{n}' AS dataset, subject, copies, identical FROM g_{n}" for n in DATASETS)))
 def q_r0_duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = assessed(spark, sf_dir, dangling=True)
-    parts = [integrity.duplicate_keys(rows, integrity.repeated_keys(rows)).select(F.lit(n).alias("dataset"), "subject", "copies", "identical") for n, rows in done.records.rows.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return assessed(spark, sf_dir, dangling=True).records.repeated.select("dataset", "subject", "copies", "identical")
 
 
 R0_COLUMNS = "kind, subject, code, outcome, required, CAST(n_rows AS BIGINT) AS n_rows"
@@ -342,8 +337,8 @@ def q_r7_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def of_check(check: str, dangling: bool = False, binding: str = "digest") -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = assessed(spark, sf_dir, binding, dangling).findings
-        rows = found.where(F.col("check_id") == check)
+        # these five checks are read off the chain; the other findings aren't needed
+        rows = chain.obligation_findings(assessed(spark, sf_dir, binding, dangling).chain).where(F.col("check_id") == check)
         return rows.select("subject_id", "outcome", "reason", joined("blocked_by").alias("blocked_by"), joined("caused_by").alias("caused_by"))
 
     return run
@@ -701,6 +696,29 @@ def q_compare_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.compare(run.where(number % 7 != 0), later).select("key", "change")
 
 
+#: Ranges of a hundred orders each for every check, with a verdict by the range's number.
+_WANTED = """SELECT CAST(row_number() OVER (ORDER BY c, b) AS INT) AS place, c || ':obligation:O-' || CAST(100 * b + 1 AS STRING) || '..' || CAST(100 * b + 100 AS STRING) AS key, c, b,
+    CASE b % 3 WHEN 0 THEN 'PASS' WHEN 1 THEN 'FAIL' ELSE 'NOT_EVALUATED' END AS outcome,
+    CASE b % 3 WHEN 0 THEN 'SINGLE_CURRENT_COMPLETED' WHEN 1 THEN 'NO_CURRENT_INSPECTION' ELSE 'BLOCKED_BY_UPSTREAM' END AS reason, b % 3 = 2 AS blocked
+    FROM (SELECT DISTINCT o_orderkey // 100 AS b FROM orders) CROSS JOIN (SELECT 'R2' AS c UNION ALL SELECT 'R3' UNION ALL SELECT 'R4')"""
+
+
+@register(oracle.over_chain(f"""
+    , w AS ({_WANTED}),
+    f AS (SELECT *, TRY_CAST(regexp_extract(key, 'O-([0-9]+)$', 1) AS BIGINT) AS n FROM findings),
+    m AS (SELECT f.*, w.place, w.outcome AS wo, w.reason AS wr, CASE WHEN w.blocked THEN ['R2:obligation:' || f.subject_id] ELSE [] END AS wb
+          FROM f LEFT JOIN w ON f.check_id = w.c AND f.subject_kind = 'obligation' AND f.n BETWEEN 100 * w.b + 1 AND 100 * w.b + 100 AND (length(CAST(100 * b + 1 AS STRING)) <> length(CAST(100 * b + 100 AS STRING)) OR length(CAST(f.n AS STRING)) = length(CAST(100 * b + 1 AS STRING))))
+    SELECT key, CASE WHEN place IS NULL THEN 'unexpected' ELSE 'different' END AS problem, CAST(1 AS BIGINT) AS n FROM m
+    WHERE CASE WHEN place IS NULL THEN outcome <> 'PASS' ELSE NOT (outcome = wo AND reason = wr AND blocked_by = wb AND caused_by IS NULL AND required) END
+    UNION ALL SELECT w.key, 'missing', 100 - count(m.key) FROM w LEFT JOIN m ON m.place = w.place GROUP BY w.key HAVING count(m.key) < 100""").replace("\n\n    , w AS", ",\n w AS").replace("\n    , w AS", ",\n w AS"))
+def q_expected_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All findings against expectations given for ranges of a hundred orders each."""
+    wanted = spark.sql(_WANTED.replace("//", "DIV").replace("FROM orders", "FROM {orders}"), orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    blocked = F.when(F.col("blocked"), F.array(F.lit("R2:obligation:{id}"))).otherwise(F.array().cast("array<string>"))
+    wanted = wanted.select("place", "key", "outcome", "reason", blocked.alias("blocked_by"), F.array().cast("array<string>").alias("caused_by"), F.lit(True).alias("required"))
+    return expected.mismatches(assessed(spark, sf_dir).findings, staged(wanted, "expected"))
+
+
 @register("SELECT o_custkey, CASE WHEN count(*) > 1 THEN min(o_orderkey) || ' (and ' || (count(*) - 1) || ' more)' ELSE CAST(min(o_orderkey) AS VARCHAR) END AS shown FROM (SELECT o_custkey, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS o_orderkey FROM orders) GROUP BY o_custkey")
 def q_first_and_more(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_custkey").agg(F.min(F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("first"), F.count("*").alias("n"))
