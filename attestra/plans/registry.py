@@ -17,7 +17,7 @@ from ..functions import canonical, grammar
 from ..functions.schema import DATASETS, SUBJECTS
 from ..operators import adapter, chain, citations, coverage, expected, findings, identity, integrity, rules
 from ..operators.case import Pack
-from ..sources import evidence, shapes, sinks, strict_csv
+from ..sources import evidence, pages, shapes, sinks, strict_csv
 from ..sources.staging import scratch, staged
 from . import oracle
 
@@ -746,6 +746,16 @@ def q_reference_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("l_orderkey", "l_linenumber", "l_suppkey", "resolved", "unresolved")
 
 
+@register("SELECT event_id + 1 AS rid, event_id // 500 + 1 AS page, event_id % 500 AS pos, event_type, user_id AS user FROM events")
+def q_export_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as export pages of 500 records, and two of their three fields read back."""
+    path = scratch(spark, "export-pages")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    pages.write_pages(events.select((F.col("event_id") + 1).alias("rid"), F.to_json(F.struct(F.col("event_type").alias("of"))).alias("f6"), F.col("user_id").cast("string").alias("f7"), F.to_json(F.array("props")).alias("f8")), path, 500)
+    rows = pages.read_pages(spark, path, [6, 7], 4)
+    return rows.select("rid", F.col("page").cast("long").alias("page"), F.col("pos").cast("long").alias("pos"), F.get_json_object("f6", "$.of").alias("event_type"), F.col("f7").cast("long").alias("user"))
+
+
 STATUSES = {"purchase": "completed", "click": "in_progress", "view": "not_started"}
 
 
