@@ -19,7 +19,7 @@ from .validation import cells_json, validated
 
 CELL_CODES = ("INVALID_VALUE", "UNMAPPED_VALUE", "INVALID_PATH")
 FAILING = ("DUPLICATE_KEY", "MULTIPLE_CURRENT_REVISIONS", "COMPLETED_WITHOUT_TIMESTAMP")
-DEFECT = "dataset string, kind string, subject string, code string, locator string, detail string, obligations array<string>, unattributable boolean"
+DEFECT = "dataset string, kind string, subject string, code string, locator string, detail string, via string, via_id string, unattributable boolean"
 
 
 @dataclass(frozen=True)
@@ -85,29 +85,46 @@ def entities(rec: Records) -> DataFrame:
     return rec.rows["inspections"].where("inspection_id IS NOT NULL AND obligation_id IS NOT NULL").select("inspection_id", "obligation_id").distinct()
 
 
-def attributed(rec: Records, dataset: str) -> DataFrame:
-    """The rows of a dataset with ``obligations`` (sorted) and ``unattributable``."""
+def lost_approvals(rec: Records) -> DataFrame:
+    """``approval_id`` of approvals of which some row has an unreadable link."""
+    return rec.rows["approvals"].where("row_key IS NOT NULL AND (NOT link_readable OR inspection_id IS NULL)").select("approval_id").distinct()
+
+
+def placed(rec: Records, dataset: str) -> DataFrame:
+    """The rows of a dataset with ``via`` and ``via_id`` (the obligation, inspection or approval by which they concern obligations) and ``unattributable``.
+
+    A row keeps its one link; obligations are looked up for defects alone, as pairs, so that an
+    inspection of very many obligations is no long list in each of its rows.
+    """
     rows = rec.rows[dataset]
-    none = F.array().cast("array<string>")
-    unreadable = F.col("row_key").isNull() | ~F.col("link_readable")
+    readable = F.col("row_key").isNotNull() & F.col("link_readable")
+    via, column = {"scope": ("obligation", "obligation_id"), "inspections": ("obligation", "obligation_id"), "approval_items": ("approval", "approval_id")}.get(dataset, ("inspection", "inspection_id"))
     if dataset == "scope":
-        return rows.withColumns({"obligations": F.when(F.col("row_key").isNotNull(), F.array("obligation_id")).otherwise(none), "unattributable": F.col("row_key").isNull()})
-    if dataset == "inspections":
-        own = F.when(~unreadable & F.col("obligation_id").isNotNull(), F.array("obligation_id")).otherwise(none)
-        return rows.withColumns({"obligations": own, "unattributable": unreadable})
-    of = entities(rec).groupBy("inspection_id").agg(F.array_sort(F.collect_set("obligation_id")).alias("__of"))
-    if dataset in ("artifacts", "approvals"):
-        found = F.when(~unreadable, F.col("__of"))
-        return rows.join(of, "inspection_id", "left").withColumns({"obligations": F.coalesce(found, none), "unattributable": unreadable}).drop("__of")
-    links = rec.rows["approvals"].where("row_key IS NOT NULL").select("approval_id", F.when(F.col("link_readable"), F.col("inspection_id")).alias("inspection_id"))
-    links = links.distinct().join(of, "inspection_id", "left").groupBy("approval_id").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("__of", none))))).alias("__of"), F.bool_or(F.col("inspection_id").isNull()).alias("__lost")
-    )
-    joined = rows.join(links, "approval_id", "left")
-    return joined.withColumns({
-        "obligations": F.when(~unreadable, F.coalesce("__of", none)).otherwise(none),
-        "unattributable": unreadable | F.coalesce("__lost", F.lit(False)),
-    }).drop("__of", "__lost")
+        readable = F.col("row_key").isNotNull()
+    lost = ~readable
+    if dataset == "approval_items":
+        rows = rows.join(lost_approvals(rec).withColumn("__lost", F.lit(True)), "approval_id", "left")
+        lost |= F.coalesce("__lost", F.lit(False))
+    there = readable & F.col(column).isNotNull()
+    out = rows.withColumns({"via": F.when(there, via), "via_id": F.when(there, F.col(column)), "unattributable": lost})
+    return out.drop("__lost")
+
+
+def reached(rec: Records, links: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` and ``obligation_id`` of each obligation that a row of ``links`` (``columns``, ``via``, ``via_id``) leads to."""
+    of = entities(rec)
+    by = lambda via, name: links.where(F.col("via") == via).select(*columns, F.col("via_id").alias(name))
+    approvals = rec.rows["approvals"].where("row_key IS NOT NULL AND link_readable AND inspection_id IS NOT NULL").select("approval_id", "inspection_id").distinct()
+    through = by("inspection", "inspection_id").unionByName(by("approval", "approval_id").join(approvals, "approval_id").drop("approval_id"))
+    return by("obligation", "obligation_id").unionByName(through.join(of, "inspection_id").drop("inspection_id")).distinct()
+
+
+def attributed(rec: Records, dataset: str) -> DataFrame:
+    """``locator``, ``obligations`` (sorted) and ``unattributable`` of a dataset's rows; a report, as the rules look at pairs."""
+    rows = placed(rec, dataset).withColumn("row", F.monotonically_increasing_id())
+    rows = staged(rows.select("row", "locator", "via", "via_id", "unattributable"), "attributed")
+    pairs = reached(rec, rows.where("via IS NOT NULL"), ["row"]).groupBy("row").agg(F.array_sort(F.collect_set("obligation_id")).alias("obligations"))
+    return rows.join(pairs, "row", "left").select("locator", F.coalesce("obligations", F.array().cast("array<string>")).alias("obligations"), "unattributable")
 
 
 # --- the steps -----------------------------------------------------------------
@@ -151,7 +168,7 @@ def defects(case: Case, rec: Records) -> DataFrame:
     live = ~F.col("quarantined")
     out = None
     for name, spec in DATASETS.items():
-        rows = attributed(rec, name)
+        rows = placed(rec, name)
         found: list[Column] = []
 
         def defect(code: str, when: Column, detail: Column | None = None, subject: Column | None = None, found: list[Column] = found, spec=spec) -> None:
@@ -178,8 +195,8 @@ def defects(case: Case, rec: Records) -> DataFrame:
         cells = F.transform("violations", lambda v: F.struct(
             F.col("kind").alias("kind"), F.col("named").alias("subject"), v["code"].alias("code"), _json(field=v["field"], value=v["value"], rule=v["rule"]).alias("detail")))
         every = F.concat(cells, F.filter(F.array(*found), lambda d: d.isNotNull()))
-        part = rows.select("dataset", "locator", "obligations", "unattributable", F.explode(every).alias("d"))
-        part = part.select("dataset", "d.kind", "d.subject", "d.code", "locator", "d.detail", "obligations", "unattributable")
+        part = rows.select("dataset", "locator", "via", "via_id", "unattributable", F.explode(every).alias("d"))
+        part = part.select("dataset", "d.kind", "d.subject", "d.code", "locator", "d.detail", "via", "via_id", "unattributable")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -194,7 +211,7 @@ def unattributable(rec: Records) -> DataFrame:
     """``dataset`` (the coverage declaration it counts against; ``scope`` for the scope), ``n`` quarantined rows that concern no known obligation."""
     out = None
     for name, spec in DATASETS.items():
-        part = attributed(rec, name).where("quarantined AND unattributable").select(F.lit(spec.covered_by or name).alias("dataset"))
+        part = placed(rec, name).where("quarantined AND unattributable").select(F.lit(spec.covered_by or name).alias("dataset"))
         out = part if out is None else out.unionByName(part)
     return out.groupBy("dataset").agg(F.count("*").alias("n"))
 
@@ -218,7 +235,7 @@ def finding_key(check: Column, kind: Column, subject: Column, code: Column | Non
 
 def concerned(found: DataFrame, rec: Records) -> DataFrame:
     """``obligation_id``, ``kind``, ``subject``, ``code``: obligations of the scope that a finding concerns."""
-    pairs = found.select(*KEY, F.explode("obligations").alias("obligation_id")).distinct()
+    pairs = reached(rec, found.where("via IS NOT NULL").select(*KEY, "via", "via_id").distinct(), KEY)
     return pairs.join(rec.obligations, "obligation_id", "left_semi")
 
 
