@@ -46,7 +46,8 @@ class DigestIndex:
     """A table (digest, keep_id, chars, n, batch), bucketed and sorted by digest, and one like it for digests met again.
 
     Both are tables of the session's catalogue, in its warehouse. To outlive the
-    session they need a persistent catalogue, and on a cluster a shared warehouse.
+    session they need a persistent catalogue, and on a cluster a shared warehouse, which
+    must be named: the default one is a folder of each machine's own.
     Batch names are given once; a batch run again after a failure appends nothing twice.
     """
 
@@ -61,8 +62,13 @@ class DigestIndex:
         rows.write.mode("append").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(table)
 
     def create(self) -> None:
-        """Empty tables, unless they are there."""
+        """Empty tables, unless they are there; a table that ``compact`` was about to replace is put back."""
+        context = self.spark.sparkContext
+        if context.master.partition("[")[0] != "local" and not context.getConf().contains("spark.sql.warehouse.dir"):
+            raise ValueError("spark.sql.warehouse.dir must name a folder that the driver and all executors share")
         for table in (self.table, self.again):
+            if not self.spark.catalog.tableExists(table) and self.spark.catalog.tableExists(f"{table}_old"):
+                self.spark.sql(f"ALTER TABLE {table}_old RENAME TO {table}")
             self.spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({self.COLUMNS}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS")
 
     def add(self, rows: DataFrame, batch: str) -> DataFrame:
@@ -99,19 +105,26 @@ class DigestIndex:
         return both.select("digest", F.when(later, F.col("keep_more")).otherwise(F.col("keep_id")).alias("keep_id"), (F.col("n") + F.coalesce("n_more", F.lit(0))).alias("group_size"))
 
     def compact(self) -> None:
-        """Write both tables anew, one sorted file a bucket; every batch has added its own."""
+        """Write both tables anew, one sorted file a bucket; every batch has added its own.
+
+        The new table is whole before the old one steps aside, and the old one goes last: a crash in between loses nothing.
+        """
+        self.create()
         for table in (self.table, self.again):
             fresh = f"{table}_{uuid.uuid4().hex}"
             # the files themselves: a bucketed scan would pass for sorted out already
             files = self.spark.table(table).inputFiles()
             rows = self.spark.read.schema(self.COLUMNS).parquet(*files) if files else self.spark.createDataFrame([], self.COLUMNS)
             self._append(rows, fresh)
-            self.spark.sql(f"DROP TABLE {table}")
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}_old")
+            self.spark.sql(f"ALTER TABLE {table} RENAME TO {table}_old")
             self.spark.sql(f"ALTER TABLE {fresh} RENAME TO {table}")
+            self.spark.sql(f"DROP TABLE {table}_old")
 
     def drop(self) -> None:
         for table in (self.table, self.again):
-            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+            for name in (table, f"{table}_old"):
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def new_table_name(prefix: str = "exact_dedup_index") -> str:

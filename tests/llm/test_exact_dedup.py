@@ -73,6 +73,24 @@ def test_second_batch_meets_the_index(spark):
     index.drop()
 
 
+def test_compaction_keeps_all_and_survives_a_crash(spark):
+    index = exact_dedup.DigestIndex(spark, exact_dedup.new_table_name(), buckets=2)
+    rows = exact_dedup.digests(cases.odd(spark))
+    index.add(rows, "a")
+    index.add(rows, "b")
+    before = sorted(map(tuple, index.standing().collect()))
+    index.compact()
+    assert sorted(map(tuple, index.standing().collect())) == before
+    # a run that ended after the old table stepped aside
+    spark.sql(f"ALTER TABLE {index.table} RENAME TO {index.table}_old")
+    index.create()
+    assert sorted(map(tuple, index.standing().collect())) == before
+    index.compact()
+    assert sorted(map(tuple, index.standing().collect())) == before
+    index.drop()
+    assert not any(spark.catalog.tableExists(f"{t}{end}") for t in (index.table, index.again) for end in ("", "_old"))
+
+
 def test_empty_and_clashing(spark):
     index = exact_dedup.DigestIndex(spark, exact_dedup.new_table_name(), buckets=2)
     assert exact_dedup.dedupe(cases.empty(spark), index, "a").count() == 0
