@@ -1,6 +1,7 @@
 """What is written of the records, and what a reader of them has to join."""
 
 from attestra.operators import chain
+from attestra.sources import staging
 
 from . import support
 
@@ -34,3 +35,14 @@ def test_rows_with_missing_targets_are_told_by_the_values_that_lack(spark):
         ("artifacts", "artifacts.csv#row=2", text("inspection_id", "inspections", "I-none")), ("approvals", "approvals.csv#row=3", text("inspection_id", "inspections", "I-none")),
         ("approval_items", "approval_items.csv#row=3", text("approval_id", "approvals", "Q-none")), ("approval_items", "approval_items.csv#row=3", text("artifact_id", "artifacts", "F-1-photo@2")),
     }
+
+
+def test_files_that_no_candidate_cites_are_not_joined(spark):
+    held = staging.staged(spark.range(0, 300).selectExpr("CASE WHEN id % 3 = 0 THEN 'docs/' || id END AS path"), "test-held")
+    files = spark.range(20_000).selectExpr("'docs/' || id AS path", "id")
+    left = staging.narrowed(files, held, "path")
+    assert left.columns == ["path", "id"]
+    found = {r.id for r in left.collect()}
+    assert set(range(0, 300, 3)) <= found and len(found) < 2_500
+    none = staging.narrowed(files, held.where("path IS NULL"), "path")
+    assert none.count() == 0
