@@ -1,6 +1,6 @@
 """What is written of the records, and what a reader of them has to join."""
 
-from attestra.operators import chain
+from attestra.operators import chain, integrity, rules
 from attestra.sources import staging
 
 from . import support
@@ -46,3 +46,19 @@ def test_files_that_no_candidate_cites_are_not_joined(spark):
     assert set(range(0, 300, 3)) <= found and len(found) < 2_500
     none = staging.narrowed(files, held.where("path IS NULL"), "path")
     assert none.count() == 0
+
+
+def test_references_into_one_dataset_are_looked_up_together(spark, monkeypatch):
+    rows, files = support.clean()
+    done = chain.evaluate(support.case(spark, rows, files))
+    rec, written = done.records, []
+    monkeypatch.setattr(integrity, "staged", lambda df, name: written.append(name) or df)
+    assert len(integrity.dangling(done.case, rec)) == 4 and written.count("missing") == 3
+
+
+def test_the_latest_match_needs_no_second_reading_of_approvals(spark):
+    columns = "obligation_id string, approval_id string, inspection_revision string, evidence_digest string, decision string, decided_at string, mine string, class string"
+    told = [("O", "a", "1", "d", "rejected", "2024-01-01", None, "MATCH"), ("O", "b", "1", "d", "approved", "2024-01-02", None, "MATCH"), ("N", "c", "1", "x", "approved", "2024-01-03", None, "MISMATCH")]
+    found = rules.approval_verdicts(spark.createDataFrame(told, columns), True)
+    assert "Join" not in plan(found)
+    assert {(r.obligation_id, r.r6_reason, *r.r6_approvals) for r in found.collect()} == {("O", "APPROVAL_COVERS_CURRENT", "b"), ("N", "EVIDENCE_CHANGED_SINCE_APPROVAL", "c")}
