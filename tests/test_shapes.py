@@ -8,6 +8,7 @@ import pytest
 
 from attestra.operators import integrity
 from attestra.sources import shapes
+from attestra.sources.staging import staged
 
 from . import support
 
@@ -53,6 +54,19 @@ def test_shapes_have_the_rows_of_the_sql_for_odd_tables_too(spark, tmp_path, dan
         assert want and Counter(map(tuple, made[name].collect())) == Counter(want), name
 
 
+def test_lines_equal_in_what_they_keep_are_ranked_by_their_other_columns(spark, tmp_path):
+    duck = duckdb.connect()
+    duck.execute(f"""COPY (SELECT CASE WHEN i % 9 = 8 THEN NULL ELSE i % 4 END AS l_orderkey, 7 + i % 2 AS l_partkey, 3 AS l_suppkey, 1 AS l_linenumber, CAST(i * 7 % 11 AS DOUBLE) AS l_quantity, CAST(i * 13 % 101 AS DOUBLE) AS l_extendedprice, 0.01 AS l_discount, 0.02 AS l_tax,
+        CASE WHEN i % 3 = 0 THEN 'R' ELSE 'N' END AS l_returnflag, CASE WHEN i % 5 = 0 THEN 'F' ELSE 'O' END AS l_linestatus, TIMESTAMP '1998-01-01' + to_days(CAST(i % 2 AS INT)) AS l_shipdate FROM range(100) r(i)) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)""")
+    duck.execute(f"CREATE TABLE lineitem AS FROM '{tmp_path}/lineitem.parquet'")
+    orders = spark.createDataFrame([(0, "P"), (1, "O")], "o_orderkey long, o_orderstatus string")
+    lineitem = spark.read.parquet(f"{tmp_path}/lineitem.parquet")
+    line = staged(shapes.with_orders(shapes.placed(lineitem), orders), "line")
+    assert "l_extendedprice" not in line.columns and line.where("ties > 1").count() == 100
+    made = shapes.ranked(line, lineitem).select("o", "ln", "p", "s", "shipped", "ls", "rf", "rank")
+    assert Counter(map(tuple, made.collect())) == Counter(duck.execute(shapes.shape_sql("line", True)).fetchall())
+
+
 def test_a_dataset_meets_its_own_repeated_hashes_alone(spark, monkeypatch):
     rows, files = support.clean()
     rows["scope"] += [dict(r) for r in rows["scope"][:2]]
