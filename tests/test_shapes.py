@@ -76,3 +76,26 @@ def test_a_dataset_meets_its_own_repeated_hashes_alone(spark, monkeypatch):
     found = integrity.records(support.case(spark, rows, files)).repeated
     assert sorted((r.dataset, r.copies) for r in found.collect()) == [("artifacts", 2)] * 3 + [("scope", 2)] * 2
     assert max(sizes) == 3
+
+
+def test_repeated_hashes_are_found_in_half_their_bytes(spark):
+    """Hashes met in several tasks, one that fills a third of them, one with the sign bit of its lower half."""
+    odd = (5 << 32) + (1 << 31)
+    hashes = spark.range(0, 800_000, 1, 2).selectExpr(f"CASE WHEN id % 3 = 0 THEN 77 WHEN id IN (100, 799_999) THEN {odd} WHEN id IN (1, 799_997) THEN 8 ELSE shiftrightunsigned(xxhash64(id), 19) | 1 END AS h".replace("_", ""))
+    want = {r.h for r in hashes.groupBy("h").count().where("count > 1").collect()}
+    before = shuffled(spark)
+    found = [r.h for r in integrity._twice(hashes).collect()]
+    assert sorted(found) == sorted(want) and {8, 77, odd} <= want
+    assert shuffled(spark) - before < 5.5 * 800_000 * 2 / 3
+
+
+def test_links_of_few_records_leave_the_other_inspections_where_they_are(spark):
+    rows, files = support.clean(3000)
+    rec = integrity.records(support.case(spark, rows, files))
+    links = spark.createDataFrame([("a", "inspection", "I-7"), ("b", "approval", "Q-8"), ("c", "obligation", "O-9"), ("d", "inspection", "I-0")], "key string, via string, via_id string")
+    links = staged(links, "links")
+    want = {("a", "O-7"), ("b", "O-8"), ("c", "O-9")}
+    assert {tuple(r) for r in integrity.reached(rec, links, ["key"]).collect()} == want
+    before = shuffled(spark)
+    assert {tuple(r) for r in integrity.reached(rec, links, ["key"], links).collect()} == want
+    assert shuffled(spark) - before < 10_000
