@@ -84,11 +84,26 @@ def test_repeated_hashes_are_found_in_half_their_bytes(spark):
     hashes = spark.range(0, 800_000, 1, 2).selectExpr(f"CASE WHEN id % 3 = 0 THEN 77 WHEN id IN (100, 799_999) THEN {odd} WHEN id IN (1, 799_997) THEN 8 ELSE shiftrightunsigned(xxhash64(id), 19) | 1 END AS h".replace("_", ""))
     want = {r.h for r in hashes.groupBy("h").count().where("count > 1").collect()}
     before = shuffled(spark)
-    found = [r.h for r in integrity._twice(hashes).collect()]
+    found = [r.h for r in integrity.twice(hashes).collect()]
     assert sorted(found) == sorted(want) and {8, 77, odd} <= want
     assert shuffled(spark) - before < 5.5 * 800_000 * 2 / 3
 
 
+def test_repeated_hashes_need_no_row_of_memory_each(spark):
+    n = 2_000_000
+    hashes = spark.range(0, n, 1, 2).selectExpr("CASE WHEN id % 2 = 0 AND id < 6 THEN 8L ELSE shiftrightunsigned(xxhash64(id), 19) END AS h")
+    spark.sparkContext.setJobGroup("repeated hashes", "")
+    try:
+        assert [r.h for r in integrity.twice(hashes).collect()] == [8]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker, store = spark.sparkContext.statusTracker(), spark._jsc.sc().statusStore()
+    spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = {s for j in tracker.getJobIdsForGroup("repeated hashes") for s in tracker.getJobInfo(j).stageIds}
+    used = [store.lastStageAttempt(s) for s in stages if tracker.getStageInfo(s).numCompletedTasks]
+    assert used and sum(s.peakExecutionMemory() for s in used) < 100 * n
+
+
 def test_links_of_few_records_leave_the_other_inspections_where_they_are(spark):
     rows, files = support.clean(3000)
     rec = integrity.records(support.case(spark, rows, files))
