@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from attestra.operators import integrity
+from attestra.operators import integrity, rules
 from attestra.sources import shapes
 from attestra.sources.staging import staged
 
@@ -114,3 +114,16 @@ def test_links_of_few_records_leave_the_other_inspections_where_they_are(spark):
     before = shuffled(spark)
     assert {tuple(r) for r in integrity.reached(rec, links, ["key"], links).collect()} == want
     assert shuffled(spark) - before < 10_000
+
+
+def test_superseded_inspections_are_only_counted(spark):
+    columns = "inspection_id string, revision string, is_current boolean, obligation_id string, project_id string, asset_id string, activity_kind string, completion_status string"
+    row = lambda i, r, now, o: (i, r, now, o, "P", "A", "visual", "completed")
+    inspections = spark.createDataFrame([row("I-1", "1", False, "O-1"), row("I-1", "2", True, "O-1"), row("I-2", "1", False, "O-2"), row("I-3", "1", None, "O-3"), row("I-4", "1", True, None)], columns)
+    scope = spark.createDataFrame([(f"O-{k}", "P", "A", "visual") for k in (1, 2, 3, 4)], "obligation_id string, project_id string, asset_id string, activity_kind string")
+    found = rules.cardinality(scope, inspections)
+    told = {(r.obligation_id, r.n_current, r.n_completed, r.n_superseded, tuple(r.current), r.candidate and r.candidate.revision) for r in found.collect()}
+    assert told == {("O-1", 1, 1, 1, ("I-1@2",), "2"), ("O-2", 0, 0, 1, (), None), ("O-3", 0, 0, 0, (), None), ("O-4", 0, 0, 0, (), None)}
+    # the sort of lists and structs doesn't see them
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert any("Filter" in p and "is_current" in p for p in plan)
