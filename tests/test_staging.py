@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from attestra.sources.staging import FEW_BYTES, few_or_many, staged
+from attestra.sources.staging import FEW_BYTES, few_or_many, narrowed, staged
 
 
 def joins(df):
@@ -24,3 +24,9 @@ def test_a_table_of_many_bytes_is_not_few(spark):
     assert 1_900_000 * 56 > FEW_BYTES
     assert joins(spark.range(3).join(few_or_many(numbers), "id")) == ["BroadcastHashJoin"]
     assert joins(spark.range(3).select(F.col("id").cast("string")).join(few_or_many(named), "id", "left_semi")) == ["SortMergeJoin"]
+
+
+def test_narrowed_rows_keep_columns_of_any_name(spark):
+    rows = spark.range(1000).select("id", F.col("id").cast("string").alias("at"), F.col("id").alias("piece"), F.col("id").alias("bit"))
+    asked = staged(spark.range(3, 5), "asked")
+    assert {(3, "3", 3, 3), (4, "4", 4, 4)} <= set(map(tuple, narrowed(rows, asked, "id").collect()))
